@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import langid, quality, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bucket(n: int):
+    """crc32 of doc_id as text, modulo n; a null id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, bucket(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (bucket(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -19,8 +30,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in counts], failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.select("doc_id", "text", "lang"), bucket(3) != 1)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (bucket(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_quality_rules,)}
+    return {f.__name__: f for f in (op1_toxicity, op6_quality_rules, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

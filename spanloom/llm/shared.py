@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,8 @@ def local_path(path: str) -> str:
     if "://" in path:
         raise ValueError(f"memory-mapped files need a shared folder that is mounted as a path, not {path}")
     return os.path.abspath(path)
+
+
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """df's schema with more columns, given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
