@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, token_files, toxicity
+from . import langid, packing, quality, secrets, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.joined(F.filter("secrets", lambda s: s["kind"] != "novel"))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"), of("novel"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -49,8 +56,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (bucket(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op6_quality_rules, op7_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op5_secrets, op6_quality_rules, op7_language_id, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
