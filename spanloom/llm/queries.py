@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, token_files, toxicity
+from . import decontam, langid, packing, quality, secrets, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_words")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets")
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -61,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op5_secrets, op6_quality_rules, op7_language_id, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
