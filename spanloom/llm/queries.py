@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, token_files, toxicity
+from . import decontam, langid, packing, quality, secrets, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (bucket(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
