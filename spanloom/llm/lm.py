@@ -22,23 +22,19 @@ training set gives p = 1 / (V + 1) with V = 0.
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import extended, fresh, local_path
+from .tables import BLOBS, Gather, Table, buckets_for, stored
 
 ORDER = 2
 END, START = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x0F1E2D3C4B5A6978)
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Distinct n-grams that a task holds before it sends them on.
-HELD = 6_000_000
+#: Bytes of text that are taken at a time.
 STEP = 1 << 22
 
 
@@ -68,124 +64,6 @@ def sequence(data: np.ndarray, off: np.ndarray, order: int) -> tuple[list[np.nda
     return grams, contexts, first
 
 
-def tally(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys, and the sums of each value over equal keys."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], [np.add.reduceat(v[order], new) if len(new) else v for v in values]
-
-
-class Tally:
-    """Sums by key and table in a task, sent on as blobs: one row for a table and a range of hashes."""
-
-    def __init__(self, buckets: int, widths: list[int]):
-        self.shift, self.widths = np.uint64(64 - buckets.bit_length() + 1), widths
-        self.held, self.size = [[] for _ in widths], 0
-
-    def add(self, table: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
-        got = tally(keys, values)
-        self.held[table].append(got)
-        self.size += len(got[0]) * self.widths[table]
-
-    def full(self) -> bool:
-        return self.size > HELD
-
-    def rows(self):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for t, held in enumerate(self.held):
-            if held:
-                keys, values = tally(np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*[v for _, v in held])])
-                which = (keys >> self.shift).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-                ends = np.append(cut[1:], len(keys))
-                blobs = [(int(which[a]), keys[a:b].tobytes(), pack(b"".join(v[a:b].tobytes() for v in values))) for a, b in zip(cut, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(blobs), pa.int32()), pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary()), pa.array([x[2] for x in blobs], pa.binary())], names=["t", "bucket", "keys", "vals"])
-        self.held, self.size = [[] for _ in self.widths], 0
-
-
-class Table:
-    """Sorted arrays of one table, mapped into memory."""
-
-    def __init__(self, index: list[dict], buckets: int, width: int):
-        self.shift, self.width = np.uint64(64 - buckets.bit_length() + 1), width
-        self.parts = {r["bucket"]: (r["path"], r["start"], r["stop"], r["kind"]) for r in index}
-
-    def lookup(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The values of each key, 0 for one that is not there."""
-        maps = tx.store().__dict__.setdefault("maps", {})
-        u, at = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(u)) for _ in range(self.width)]
-        which = (u >> self.shift).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(u) else []
-        for a, b in zip(cut, np.append(cut[1:], len(u)).astype(int)):
-            if (part := self.parts.get(int(which[a]))) is None:
-                continue
-            path, start, stop, kind = part
-            if path not in maps:
-                maps[path] = [np.memmap(f"{path}.keys", np.uint64, "r"), *[np.memmap(f"{path}.{i}", kind, "r") for i in range(self.width)]]
-            own = maps[path][0][start:stop]
-            k = np.searchsorted(own, u[a:b])
-            k[k == len(own)] = 0
-            hit = own[k] == u[a:b]
-            for o, v in zip(out, maps[path][1:]):
-                o[a:b] = np.where(hit, v[start:stop][k], 0)
-        return [o[at] for o in out]
-
-
-def gathered(blobs: DataFrame, widths: list[int], buckets: int, folder: str, whole: bool) -> list[list[dict]]:
-    """Adds up the blobs of a pass and writes its tables; the index of each table.
-
-    An index row per table and range reaches the driver: its place, and how many values of
-    the first column are 1, 2, 3, 4 with their number and sum. whole: values are counts;
-    else they are sums of fractions, that add up to whole numbers.
-    """
-    schema = "t int, bucket int, path string, start long, stop long, kind string, n1 long, n2 long, n3 long, n4 long, n long, total double"
-
-    def write(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        part, outs, done, held, key = TaskContext.get().partitionId(), {}, [], [], None
-
-        def close():
-            t, bucket = key
-            keys, values = tally(np.concatenate([np.frombuffer(k, np.uint64) for k, _ in held]), [np.concatenate(c) for c in zip(*[np.frombuffer(unpack(v), np.int64 if whole else np.float64).reshape(widths[t], -1) for _, v in held])])
-            values = [v if whole else np.rint(v).astype(np.int64) for v in values]
-            kind = "<u4" if max(int(v.max()) for v in values) < 1 << 32 else "<u8"
-            path = f"{folder}/t{t}-{part:06d}-{kind[1:]}"
-            if path not in outs:
-                os.makedirs(folder, exist_ok=True)
-                outs[path] = [0, [(f"{path}.{x}", open(f"{path}.{x}.{os.getpid()}.tmp", "wb")) for x in ("keys", *range(widths[t]))]]
-            state = outs[path]
-            for (_, f), v in zip(state[1], [keys, *[v.astype(kind) for v in values]]):
-                f.write(v.tobytes())
-            start, state[0] = state[0], state[0] + len(keys)
-            ones = np.bincount(np.minimum(values[0], 5), minlength=6)
-            done.append((t, bucket, path, start, state[0], kind, *map(int, ones[1:5]), len(keys), float(values[0].sum())))
-
-        for b in batches:
-            for t, bucket, keys, vals in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held and key != (t, bucket):
-                    close()
-                    held = []
-                key = (t, bucket)
-                held.append((keys, vals))
-        if held:
-            close()
-        for _, files in outs.values():
-            for name, f in files:
-                f.close()
-                os.replace(f.name, name)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], schema=pa.schema([("t", pa.int32()), ("bucket", pa.int32()), ("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)], ("n", pa.int64()), ("total", pa.float64())]))
-
-    parts = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = [r.asDict() for r in blobs.repartition(parts, "bucket").sortWithinPartitions("t", "bucket").mapInArrow(write, schema).collect()]
-    return [[r for r in rows if r["t"] == t] for t in range(len(widths))]
-
-
-BLOBS = "t int, bucket int, keys binary, vals binary"
-
-
 def discounts(index: list[dict]) -> tuple[float, float, float]:
     n1, n2, n3, n4 = (sum(r[f"n{i}"] for r in index) for i in (1, 2, 3, 4))
     if not n1 or not n2:
@@ -203,12 +81,11 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
     """The model of all texts in `text`: its tables' indices and its totals."""
     spark, texts = docs.sparkSession, docs.select("text")
     folder = local_path(fresh(spark, "ngrams"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(8, (4 * parts - 1).bit_length())
+    buckets = buckets_for(spark)[1]
 
-    def run(widths, visit):
+    def run(widths, visit, whole=False):
         def mapped(batches):
-            sums = Tally(buckets, widths)
+            sums = Gather(buckets, widths, whole=whole)
             for b in batches:
                 for _, _, data, off in tx.blocks(b.column(0), STEP):
                     visit(sums, *sequence(data, off, order)[:2])
@@ -222,7 +99,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
         for k, g in enumerate(grams):
             sums.add(k, g, [np.ones(len(g), np.int64)])
 
-    raw = gathered(run([1] * order, counts), [1] * order, buckets, f"{folder}/counts", True)
+    raw = stored(run([1] * order, counts, True), [1] * order, f"{folder}/counts")
     tables = {f"c{k + 1}": Table(r, buckets, 1) for k, r in enumerate(raw)}
 
     def stats(sums, table, ctx, c, a):
@@ -231,24 +108,24 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
         sums.add(table, ctx, [a * share, (a == 1) * share, (a == 2) * share, (a >= 3) * share])
 
     def neighbours(sums, grams, contexts):
-        c = {k: tables[f"c{k}"].lookup(grams[k - 1])[0] for k in range(2, order + 1)}
+        c = {k: tables[f"c{k}"].lookup(grams[k - 1])[1][0] for k in range(2, order + 1)}
         for k in range(1, order):
             sums.add(k - 1, grams[k - 1], [1 / c[k + 1]])
         if order > 1:
             stats(sums, order - 1, contexts[-1], c[order], c[order])
 
     widths = [*[1] * (order - 1), *[4] * (order > 1)]
-    left = gathered(run(widths, neighbours), widths, buckets, f"{folder}/neighbours", False) if order > 1 else []
+    left = stored(run(widths, neighbours), widths, f"{folder}/neighbours", whole=False) if order > 1 else []
     tables |= {f"a{k + 1}": Table(r, buckets, 1) for k, r in enumerate(left[: order - 1])}
     if order > 1:
         tables[f"s{order}"] = Table(left[-1], buckets, 4)
 
     def middle(sums, grams, contexts):
         for k in range(2, order):
-            stats(sums, k - 2, contexts[k - 1], tables[f"c{k}"].lookup(grams[k - 1])[0], tables[f"a{k}"].lookup(grams[k - 1])[0])
+            stats(sums, k - 2, contexts[k - 1], tables[f"c{k}"].lookup(grams[k - 1])[1][0], tables[f"a{k}"].lookup(grams[k - 1])[1][0])
 
     if order > 2:
-        more = gathered(run([4] * (order - 2), middle), [4] * (order - 2), buckets, f"{folder}/contexts", False)
+        more = stored(run([4] * (order - 2), middle), [4] * (order - 2), f"{folder}/contexts", whole=False)
         tables |= {f"s{k + 2}": Table(r, buckets, 4) for k, r in enumerate(more)}
     adjusted = [*left[: order - 1], raw[-1]]
     ones = adjusted[0]
@@ -268,9 +145,9 @@ def probabilities(model: dict, grams: list[np.ndarray], contexts: list[np.ndarra
     n, tables = model["order"], model["tables"]
     p = np.full(len(grams[0]), 1 / (model["words"] + 1))
     for k in range(1, n + 1):
-        a = tables[f"c{n}" if k == n else f"a{k}"].lookup(grams[k - 1])[0]
+        a = tables[f"c{n}" if k == n else f"a{k}"].lookup(grams[k - 1])[1][0]
         d = model["discounts"][k - 1]
-        s, n1, n2, n3 = [np.full(len(p), float(x)) for x in model["unigrams"]] if k == 1 else tables[f"s{k}"].lookup(contexts[k - 1])
+        s, n1, n2, n3 = [np.full(len(p), float(x)) for x in model["unigrams"]] if k == 1 else tables[f"s{k}"].lookup(contexts[k - 1])[1]
         whole = np.maximum(s, 1)
         p = np.where(s > 0, (a - discount(a, d)) / whole + (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole * p, p)
     return p
@@ -285,7 +162,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for b in batches:
             for lo, hi, data, off in tx.blocks(b.column(at), STEP):
                 grams, contexts, first = sequence(data, off, model["order"])
-                c = model["tables"]["c1"].lookup(grams[0])[0]
+                c = model["tables"]["c1"].lookup(grams[0])[1][0]
                 cut = first[:-1]
                 add = lambda x: np.add.reduceat(x, cut)  # noqa: B023, E731
                 base = np.log10((c + 0.5) / (total + 0.5 * (words + 1)))
