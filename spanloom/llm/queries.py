@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, packing, quality, secrets, simhash, token_files, toxicity
+from . import decontam, langid, lm, packing, quality, secrets, simhash, substrings, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
