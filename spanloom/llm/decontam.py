@@ -22,15 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text as tx
-from .shared import written
+from .shared import extended, written
 
 WINDOW, K = 10, 5
 #: Largest benchmark, in windows, that is sent to every task (about 24 bytes each).
 BROADCAST_WINDOWS = 1_000_000
-HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_words array<int>"
+HITS = "n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, hit_words: array<int>"
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +133,16 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def result(keys: pa.Array, n_words, hit, items) -> pa.RecordBatch:
-    cols = [keys, pa.array(n_words, pa.int64()), pa.array(list(map(len, hit)), pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(list(map(digest, items)), pa.string()), pa.array([len(h) > 0 for h in hit]), pa.array([h.tolist() for h in hit], pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", *(c.split()[0] for c in HITS.split(", "))])
+def result(rows: pa.RecordBatch, names: list[str], n_words, hit, items) -> pa.RecordBatch:
+    """The rows with the struct column `hits`."""
+    values = [pa.array(n_words, pa.int64()), pa.array(list(map(len, hit)), pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(list(map(digest, items)), pa.string()), pa.array([len(h) > 0 for h in hit]), pa.array([h.tolist() for h in hit], pa.list_(pa.int32()))]
+    found = pa.StructArray.from_arrays(values, names=[c.split(": ")[0] for c in HITS.split(", ")])
+    return pa.RecordBatch.from_arrays([*rows.columns[: len(names)], found], names=[*names, "hits"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_words of every document."""
-    docs = docs.select("doc_id", "text")
+    """docs with a struct column `hits`: n_words, n_hit, n_items, items_sha256, contaminated and
+    hit_words (places of the hit words). docs need a column `text`; their others stay."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
     # A window starts at a word, and a word takes two bytes of text with its separator.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
@@ -150,20 +151,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     rows = items.collect()
     index = Index([r[0] for r in rows], [r[1] or "" for r in rows], window, k)
     shared = docs.sparkSession.sparkContext.broadcast(vars(index))
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches):
         index = object.__new__(Index)
         vars(index).update(shared.value)
         for batch in batches:
-            for lo, hi, data, off in tx.blocks(batch.column(1)):
-                yield result(batch.column(0).slice(lo, hi - lo), *index.block(data, off))
+            for lo, hi, data, off in tx.blocks(batch.column(at)):
+                yield result(batch.slice(lo, hi - lo), names, *index.block(data, off))
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(HITS).fields]))
+    return docs.mapInArrow(run, extended(docs, f"hits struct<{HITS}>"))
 
 
 def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     """The same for a benchmark of any size: fingerprints, then windows, meet by shuffle."""
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
+    names = docs.columns
+    stored = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
+    rows, text_at = stored.select("_row", "text"), names.index("text")
 
     def item_rows(batches):
         for b in batches:
@@ -179,7 +184,7 @@ def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
 
     def marks_of(batches):
         for b in batches:
-            keys = b.column(2).to_numpy()
+            keys = b.column(0).to_numpy()
             for lo, hi, data, off in tx.blocks(b.column(1)):
                 a, _, first = words(data, off)
                 at, marks = fingerprints(a, first, window, k)
@@ -187,8 +192,8 @@ def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array((at - first[row]).astype(np.int32)), pa.array(marks.view(np.int64))], names=["_row", "at", "mark"])
 
     seen = bench.filter("n = 0").select(F.col("a").alias("mark")).distinct()
-    hits = docs.mapInArrow(marks_of, "_row long, at int, mark long").join(seen, "mark", "left_semi")
-    near = docs.join(hits.groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("_at")), "_row", "left").select("_row", "text", "_at")
+    hits = rows.mapInArrow(marks_of, "_row long, at int, mark long").join(seen, "mark", "left_semi")
+    near = rows.join(hits.groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("_at")), "_row", "left").select("_row", "text", "_at")
 
     def windows_of(batches):
         for b in batches:
@@ -213,11 +218,11 @@ def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            w, names = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for lo, hi, data, off in tx.blocks(b.column(1)):
+            w, found_items = (b.column(len(names) + i).to_pylist() for i in (0, 1))
+            for lo, hi, data, off in tx.blocks(b.column(text_at)):
                 first = words(data, off)[2]
                 hit = [np.unique(np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in w[i]])) if w[i] else np.zeros(0, np.int64) for i in range(lo, hi)]
-                yield result(b.column(0).slice(lo, hi - lo), np.diff(first), hit, [names[i] or [] for i in range(lo, hi)])
+                yield result(b.slice(lo, hi - lo), names, np.diff(first), hit, [found_items[i] or [] for i in range(lo, hi)])
 
-    every = docs.join(per_doc, "_row", "left").select("doc_id", "text", "_w", "_i")
-    return every.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(HITS).fields]))
+    every = stored.join(per_doc, "_row", "left").select(*names, "_w", "_i")
+    return every.mapInArrow(run, extended(docs, f"hits struct<{HITS}>"))

@@ -162,12 +162,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
-    """doc_id, fp and component_id of every row of (doc_id, text)."""
-    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fp"), "simhash-prints")
+def named(prints: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
+    """(fp, component_id, kept_fp) of each fingerprint of a stored table (doc_id, fp): the least
+    doc_id of its component, and the least fingerprint that has that id."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reached = components(links(prints.select("fp").distinct(), near, blocks, most))
     labelled = written(classes.join(reached, classes.fp == reached.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    order = F.struct(F.col("first").isNull(), "first", "fp")
+    least = labelled.groupBy("label").agg(F.min(order).alias("m")).select("label", F.col("m.first").alias("component_id"), F.col("m.fp").alias("kept_fp"))
+    return labelled.join(least, "label").select("fp", "component_id", "kept_fp")
+
+
+def near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
+    """doc_id, fp and component_id of every row of (doc_id, text)."""
+    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fp"), "simhash-prints")
+    return prints.join(named(prints, near, blocks, most), "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
+    """One row of each component, that of the least doc_id; all columns stay."""
+    with_prints = written(fingerprints(docs, name="_fp"), "simhash-docs")
+    prints = with_prints.select("doc_id", F.col("_fp").alias("fp"))
+    kept = named(prints, near, blocks, most).filter("fp = kept_fp").select(F.col("fp").alias("_kept_fp"), F.col("component_id").alias("_id"))
+    # By id and fingerprint, so that no row of a large group meets its copies in one task.
+    rows = with_prints.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
