@@ -1 +1,4 @@
+"""Queries over the driver's tables, each with the SQL that says what it returns."""
 
+from . import interval_queries  # noqa: F401
+from . import signal_queries  # noqa: F401
