@@ -2,3 +2,4 @@
 
 from . import interval_queries  # noqa: F401
 from . import signal_queries  # noqa: F401
+from . import detect_queries  # noqa: F401

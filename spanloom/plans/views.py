@@ -31,7 +31,7 @@ points AS (
 WORDS = r"""
 exploded AS (
   SELECT conv_id AS media_id, turn, generate_subscripts(ws, 1) AS pos, unnest(ws) AS text
-  FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t\r]+'), x -> x <> '') AS ws FROM conversations)),
+  FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS ws FROM conversations)),
 numbered AS (
   SELECT *, row_number() OVER w AS idx,
     coalesce(sum(CASE WHEN regexp_matches(text, '[.?!]$') THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY turn, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops
