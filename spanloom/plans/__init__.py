@@ -4,3 +4,4 @@ from . import interval_queries  # noqa: F401
 from . import signal_queries  # noqa: F401
 from . import detect_queries  # noqa: F401
 from . import edit_queries, store_queries  # noqa: F401
+from . import media_queries  # noqa: F401
