@@ -16,7 +16,8 @@ from ..config import STOP_WORDS, Fillers, Retakes, Silence
 from ..functions.text import content_words, ends_sentence, grouped, normalized
 from .intervals import KEY
 
-ORDER = W.partitionBy(KEY).orderBy("idx")
+def by_idx():
+    return W.partitionBy(KEY).orderBy("idx")
 
 
 def clean_words(words: DataFrame, media: DataFrame, unit: float = 1) -> DataFrame:
@@ -40,7 +41,7 @@ def clean_words(words: DataFrame, media: DataFrame, unit: float = 1) -> DataFram
 def gaps(words: DataFrame, media: DataFrame) -> DataFrame:
     """Gaps before the first word, between words and after the last, with the text before each;
     media without words have none."""
-    inner = words.select(KEY, F.col("end").alias("lo"), F.lead("start").over(ORDER).alias("hi"), F.col("text").alias("before"), "idx")
+    inner = words.select(KEY, F.col("end").alias("lo"), F.lead("start").over(by_idx()).alias("hi"), F.col("text").alias("before"), "idx")
     head = words.groupBy(KEY).agg(F.lit(0).alias("lo"), F.min_by("start", "idx").alias("hi"), F.lit("").alias("before"), (F.min("idx") - 1).alias("idx"))
     inner = inner.join(media.select(KEY, "duration"), KEY).withColumn("hi", F.coalesce("hi", "duration")).drop("duration")
     return inner.unionByName(head)
@@ -72,10 +73,10 @@ def silences_in_signal(gaps: DataFrame, runs: DataFrame, speech: DataFrame, conf
 def padding(words: DataFrame, span: int, config: Fillers, unit: float) -> Column:
     """Whether `span` words from here stand between pauses, or commas of their neighbours; a
     missing neighbour counts as either."""
-    before, after = F.lag("end").over(ORDER), F.lead("start", span).over(ORDER)
-    last = F.lead("end", span - 1).over(ORDER) if span > 1 else F.col("end")
+    before, after = F.lag("end").over(by_idx()), F.lead("start", span).over(by_idx())
+    last = F.lead("end", span - 1).over(by_idx()) if span > 1 else F.col("end")
     pause = config.pause * unit
-    comma = F.coalesce(F.lag("text").over(ORDER), F.lit(",")).rlike("[,.?!]$") | F.coalesce(F.lead("text", span).over(ORDER), F.lit(",")).rlike(",$")
+    comma = F.coalesce(F.lag("text").over(by_idx()), F.lit(",")).rlike("[,.?!]$") | F.coalesce(F.lead("text", span).over(by_idx()), F.lit(",")).rlike(",$")
     return F.coalesce(F.col("start") - before >= pause, F.lit(True)) | F.coalesce(after - last >= pause, F.lit(True)) | comma
 
 
@@ -84,21 +85,21 @@ def fillers(words: DataFrame, config: Fillers = Fillers(), unit: float = 1) -> D
     exact for phrases of which none can start inside another, as the default ones."""
     if not config.enabled:
         return words.select(KEY, "start", "end", F.lit("filler").alias("reason"), F.lit(1.0).alias("confidence"), F.lit("").alias("detail")).limit(0)
-    w = words.withColumn("_t", normalized(F.col("text"))).withColumn("_prev", F.coalesce(F.lag("end").over(ORDER), F.col("start")))
+    w = words.withColumn("_t", normalized(F.col("text"))).withColumn("_prev", F.coalesce(F.lag("end").over(by_idx()), F.col("start")))
     longest = max(map(len, config.phrases), default=1)
     phrase, size = F.lit(None).cast("string"), F.lit(None).cast("int")
     for p in reversed(config.phrases):
         k = len(p)
-        same = reduce(lambda a, b: a & b, [F.lead("_t", i).over(ORDER) == t if i else F.col("_t") == t for i, t in enumerate(p)])
-        length = F.lead("end", k - 1).over(ORDER) - F.col("start")
+        same = reduce(lambda a, b: a & b, [F.lead("_t", i).over(by_idx()) == t if i else F.col("_t") == t for i, t in enumerate(p)])
+        length = F.lead("end", k - 1).over(by_idx()) - F.col("start")
         hit = F.coalesce(same & (length <= config.max_duration * k * unit), F.lit(False))
         phrase = F.when(hit, F.when(padding(w, k, config, unit), F.lit(" ".join(p)))).otherwise(phrase)
         size = F.when(hit, F.lit(k)).otherwise(size)
     w = w.withColumn("_phrase", phrase).withColumn("_size", F.when(F.col("_phrase").isNotNull(), size))
-    ends = F.coalesce(*[F.when(F.col("_size") == k, F.lead("end", k - 1).over(ORDER)) for k in range(1, longest + 1)])
+    ends = F.coalesce(*[F.when(F.col("_size") == k, F.lead("end", k - 1).over(by_idx())) for k in range(1, longest + 1)])
     taken = F.lit(False)
     for back in range(1, longest):
-        taken = taken | F.coalesce(F.lag("_size", back).over(ORDER) > back, F.lit(False))
+        taken = taken | F.coalesce(F.lag("_size", back).over(by_idx()) > back, F.lit(False))
     short = F.col("end") - F.col("start") <= config.max_duration * unit
     single = short & (F.col("_t").isin(list(config.lexicon)) | (F.col("_t").isin(list(config.ambiguous)) & padding(w, 1, config, unit)))
     w = w.withColumn("_taken", taken).withColumn("_single", single).withColumn("_ends", ends)
@@ -109,8 +110,8 @@ def fillers(words: DataFrame, config: Fillers = Fillers(), unit: float = 1) -> D
 def repeated_grams(words: DataFrame, config: Retakes = Retakes(), unit: float = 1) -> DataFrame:
     """(first, second) places of a repeated n-gram and its following occurrence, whose words start
     at most `window` apart, with a pause of at least `pause` before the later one."""
-    w = words.withColumn("_t", normalized(F.col("text"))).withColumn("_gap", F.col("start") - F.lag("end").over(ORDER)).withColumn("_n", F.count("*").over(W.partitionBy(KEY)))
-    tokens = F.array(*[F.lead("_t", i).over(ORDER) if i else F.col("_t") for i in range(config.n)])
+    w = words.withColumn("_t", normalized(F.col("text"))).withColumn("_gap", F.col("start") - F.lag("end").over(by_idx())).withColumn("_n", F.count("*").over(W.partitionBy(KEY)))
+    tokens = F.array(*[F.lead("_t", i).over(by_idx()) if i else F.col("_t") for i in range(config.n)])
     grams = w.withColumn("_g", tokens).filter((F.col("_n") >= config.least_words) & F.get("_g", F.lit(config.n - 1)).isNotNull() & ~F.array_contains("_g", ""))
     same = W.partitionBy(KEY, "_g").orderBy("idx")
     pairs = grams.select(KEY, "_g", F.col("idx").alias("second"), "start", "_gap", F.lag("idx").over(same).alias("first"), F.lag("start").over(same).alias("_s"))
@@ -155,7 +156,7 @@ def retakes(words: DataFrame, config: Retakes = Retakes(), unit: float = 1) -> D
 
 def prompt(words: DataFrame, pause: float = 0.3, unit: float = 1) -> DataFrame:
     """Each media's words as numbered lines, pauses of at least `pause` told."""
-    gap = F.col("start") - F.lag("end").over(ORDER)
+    gap = F.col("start") - F.lag("end").over(by_idx())
     told = F.when(gap >= pause * unit, F.format_string("  [pause %.1fs]", gap / unit)).otherwise(F.lit(""))
     lines = words.select(KEY, F.struct(F.col("idx").alias("order"), F.concat(F.col("idx").cast("string"), F.lit(": "), "text", told).alias("text")).alias("line"))
     return lines.groupBy(KEY).agg(grouped(F.col("line"), "\n").alias("prompt"))
@@ -163,7 +164,7 @@ def prompt(words: DataFrame, pause: float = 0.3, unit: float = 1) -> DataFrame:
 
 def chunks(words: DataFrame, config: Retakes = Retakes()) -> DataFrame:
     """Words by chunk of `chunk` words, one each `step`; chunks of under `least_words` end the list."""
-    n = words.withColumn("_p", F.row_number().over(ORDER) - 1).withColumn("_n", F.count("*").over(W.partitionBy(KEY)))
+    n = words.withColumn("_p", F.row_number().over(by_idx()) - 1).withColumn("_n", F.count("*").over(W.partitionBy(KEY)))
     last = F.floor(F.col("_p") / config.step)
     first = F.greatest(F.lit(0), F.ceil((F.col("_p") - config.chunk + 1) / config.step))
     every = n.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("_size", F.least(F.lit(config.chunk), F.col("_n") - F.col("chunk") * config.step))
