@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import extended, fresh, local_path
+from .shared import fresh, local_path
 from .tables import BLOBS, Gather, Table, buckets_for, firsts, shift_of, stored
 from .tokens import NULL_ID
 
@@ -41,7 +41,7 @@ WINDOW, K = 20, 6
 GROUP = 1000
 #: Windows in a run at most (a longer one is cut there).
 RUN = 32
-STEP = 1 << 21
+STEP = 1 << 20
 TOP = 20
 
 
@@ -148,8 +148,10 @@ def tree_repeats(words: np.ndarray, run: np.ndarray, j: np.ndarray, doc: np.ndar
     return run[later], np.int64(1) << j[later]
 
 
-def removals(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
-    """(doc_id, text) with `_cut`, the words (by place) that repeat an earlier window's."""
+def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
+    """What finish(rows, data, runs, gone) makes of each block of rows (doc_id, text): gone are
+    the places in the block's words that repeat an earlier window. finish gives a record batch
+    of the schema; it runs where the places are found, so that no text passes on."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = local_path(fresh(spark, "substrings"))
@@ -257,7 +259,7 @@ def removals(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GRO
 
     def cut(batches):
         for b in batches:
-            for lo, hi, _, r, doc in each(b):
+            for lo, hi, data, r, doc in each(b):
                 there, first, size = known(r, doc)
                 bits = np.where(there & ~first, np.int64(-1), 0)
                 some = first & (size > 1)
@@ -265,32 +267,49 @@ def removals(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GRO
                     bits[some] = marks.lookup(r.keys()[some], np.int64)[1][0]
                 window_at, run = tx.ranges(r.at, r.at + r.n), np.repeat(np.arange(len(r.n)), r.n)
                 gone = window_at[(bits[run] >> (window_at - r.at[run])) & 1 == 1]
-                edge = np.zeros(len(r.words) + 1, np.int64)
-                np.add.at(edge, gone, 1)
-                np.add.at(edge, gone + window, -1)
+                size = len(r.words) + 1
+                edge = np.bincount(gone, minlength=size) - np.bincount(gone + window, minlength=size)
                 words = np.flatnonzero(np.cumsum(edge)[:-1])
-                where = np.searchsorted(words, r.first)
-                places = pa.array((words - np.repeat(r.first[:-1], np.diff(where))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(np.diff(r.first)), pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), places)], names=["doc_id", "text", "n_words", "_cut"])
+                yield finish(b.slice(lo, hi - lo), data, r, words)
 
-    return docs.mapInArrow(cut, extended(docs, "n_words long, _cut array<int>"))
+    return docs.mapInArrow(cut, schema)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space) of every row."""
 
-    def run(batches):
-        for b in batches:
-            kept, n = [], []
-            for t, gone in zip(b.column(1).to_pylist(), b.column(3)):
-                words = (t or "").encode().split()
-                gone = gone.values.to_numpy()
-                n.append(len(gone))
-                if len(gone):
-                    keep = np.ones(len(words), bool)
-                    keep[gone] = False
-                    words = [w for w, k in zip(words, keep.tolist()) if k]
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return removals(docs, window, k, group).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    def finish(rows, data, r, gone):
+        keep = np.ones(len(r.words), bool)
+        keep[gone] = False
+        left = np.flatnonzero(keep)
+        # Each kept word with a space after it, as one run of bytes for the block.
+        start, end = r.start[left], r.end[left] + 1
+        padded = np.append(data, np.uint8(0x20))
+        joined = padded[tx.ranges(start, end)]
+        ends = np.cumsum(end - start)
+        joined[ends - 1] = 0x20
+        counts = np.add.reduceat(np.append(keep, False).astype(np.int64), r.first[:-1]) if len(r.first) > 1 else np.zeros(0, np.int64)
+        n = np.diff(r.first)
+        counts = np.where(n > 0, counts, 0)
+        last = np.cumsum(counts)
+        bytes_at = np.append(0, ends)
+        kept = [joined[bytes_at[z - c] : max(bytes_at[z] - 1, 0)].tobytes() if c else b"" for c, z in zip(counts, last)]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(n - counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return with_repeats(docs, "doc_id long, n_words long, n_removed long, kept string", finish, window, k, group)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
+    """doc_id, start and end (words) of each maximal span of repeated windows, as an array `spans`."""
+
+    def finish(rows, data, r, gone):
+        row = np.searchsorted(r.first, gone, "right") - 1
+        new = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (row[1:] != row[:-1]))) if len(gone) else np.zeros(0, np.int64)
+        spans = [[] for _ in range(len(r.first) - 1)]
+        for a, b in zip(new, np.append(new[1:], len(gone)).astype(int)):
+            base = r.first[row[a]]
+            spans[row[a]].append({"start": int(gone[a] - base), "end": int(gone[b - 1] + 1 - base)})
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+
+    return with_repeats(docs, "doc_id long, spans array<struct<start: bigint, end: bigint>>", finish, window, k, group)
