@@ -26,13 +26,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared storage, if it is there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def local_path(path: str) -> str:
     """The mounted path of a file: URI, for code that maps files into memory."""
     if path.startswith("file:"):
