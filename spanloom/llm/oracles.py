@@ -18,7 +18,7 @@ q AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
   len(list_filter(ws, lambda x: lower(x) IN ({STOPS}))) AS stops, len(ls) AS n_lines FROM w LEFT JOIN rep USING (doc_id)),
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS n, CAST(greatest(n_lines, 1) AS DOUBLE) AS l FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words >= 50 AND word_chars / n >= 1.5::DOUBLE AND word_chars / n <= 14::DOUBLE AND n_symbols / n <= 0.2::DOUBLE AND stops / n >= 0.05::DOUBLE AND n_dup_lines / l <= 0.3::DOUBLE AND n_repeat_words / n <= 0.5::DOUBLE AS kept FROM r
+  NOT base_failed AND n_words >= 50 AND word_chars / n >= 1.5::DOUBLE AND word_chars / n <= 14::DOUBLE AND n_symbols / n <= 0.2::DOUBLE AND stops / n >= 0.03::DOUBLE AND n_dup_lines / l <= 0.5::DOUBLE AND n_repeat_words / n <= 0.5::DOUBLE AS kept FROM r
 """
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -24,8 +24,8 @@ RULES = (
     ("mean_word_chars", "least", 1.5),
     ("mean_word_chars", "most", 14.0),
     ("symbols_per_word", "most", 0.2),
-    ("stop_word_ratio", "least", 0.05),
-    ("duplicate_line_ratio", "most", 0.3),
+    ("stop_word_ratio", "least", 0.03),
+    ("duplicate_line_ratio", "most", 0.5),
     ("repeated_word_ratio", "most", 0.5),
 )
 
