@@ -184,10 +184,19 @@ def overlapping(left: DataFrame, right: DataFrame, bucket=None) -> DataFrame:
     return l.join(r, [KEY, "_b"]).withColumn("overlap", width).filter((F.col("overlap") > 0) & (F.col("_b") == home)).drop("_b")
 
 
-def contained(words: DataFrame, spans: DataFrame, slack=0) -> DataFrame:
-    """Pairs of words and the spans (s_*) of their media that hold them whole."""
+def contained(words: DataFrame, spans: DataFrame, slack=0, bucket=None) -> DataFrame:
+    """Pairs of words and the spans (s_*) of their media that hold them whole.
+
+    bucket: a length of time; a word is then joined only with spans that touch the bucket of
+    its start, so that a media's words do not meet all its spans.
+    """
     s = spans.select(KEY, *[F.col(c).alias(f"s_{c}") for c in spans.columns if c != KEY])
-    return words.join(s, KEY).filter((F.col("start") >= F.col("s_start") - slack) & (F.col("end") <= F.col("s_end") + slack))
+    inside = (F.col("start") >= F.col("s_start") - slack) & (F.col("end") <= F.col("s_end") + slack)
+    if bucket is None:
+        return words.join(s, KEY).filter(inside)
+    touched = F.sequence(F.floor((F.col("s_start") - slack) / bucket), F.floor((F.col("s_end") + slack) / bucket))
+    s = s.filter("s_end >= s_start").withColumn("_b", F.explode(touched))
+    return words.withColumn("_b", F.floor(F.col("start") / bucket)).join(s, [KEY, "_b"]).filter(inside).drop("_b")
 
 
 def kept_fraction(words: DataFrame, segments: DataFrame) -> DataFrame:

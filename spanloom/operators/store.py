@@ -62,6 +62,7 @@ def recovered(jobs: DataFrame) -> DataFrame:
     """Jobs as a restart finds them (has_timeline, has_output): status, message and error follow
     the first rule that fits."""
     status, timeline, output = F.col("status"), F.col("has_timeline"), F.col("has_output")
+    # The states, messages and errors of a restart.
     rules = [
         ((status == "analyzing") | ((status == "queued") & ~timeline), ("error", "upload it again", "interrupted by a restart")),
         (status.isin("queued", "rendering"), ("review", "render interrupted by a restart; render again", None)),

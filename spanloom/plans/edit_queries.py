@@ -15,6 +15,8 @@ from .registry import query
 from .views import WORDS
 
 MS = 1000
+#: Length of the buckets that words and parts are joined by.
+BUCKET = 10_000
 NAMES = {"start": "s", "end": "e"}
 
 
@@ -40,7 +42,7 @@ parts AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, e) - 1
 
 def _parts(spark, sf_dir):
     w, media, cut, kept = _edit(spark, sf_dir)
-    return w, media, cut, kept, edl.parts(cut, media, w, 0, 350)
+    return w, media, cut, kept, edl.parts(cut, media, w, 0, 350, BUCKET)
 
 
 @query(f"WITH {WORDS}, {PARTS} SELECT media_id, CAST(part AS INTEGER) AS part, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, reason FROM parts")
@@ -57,7 +59,7 @@ SELECT p.media_id, CAST(p.part AS INTEGER) AS part, coalesce(t.text, '') AS text
   coalesce(p.reason, CASE WHEN NOT coalesce(k.c / (p.e - p.s) > 0.5, false) THEN 'offcut' WHEN t.n IS NULL AND p.e - p.s >= 50 THEN 'untranscribed' END) AS reason FROM parts p LEFT JOIN t USING (media_id, part) LEFT JOIN k USING (media_id, part)""")
 def parts_payload(spark, sf_dir):
     w, _, _, kept, parts = _parts(spark, sf_dir)
-    return edl.parts_payload(parts, w, kept, 50).select("media_id", "part", "text", "words", "uncertain", "keep", "reason")
+    return edl.parts_payload(parts, w, kept, 50, bucket=BUCKET).select("media_id", "part", "text", "words", "uncertain", "keep", "reason")
 
 
 @query(f"""WITH {WORDS}, {PARTS}, k AS (SELECT media_id, s, e FROM parts WHERE part % 3 <> 1 AND media_id % 10 <> 4), r AS (SELECT *, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM k),

@@ -96,6 +96,8 @@ def test_operators_do_not_depend_on_partitioning(spark):
     rows = [(m, i, float(a), a + rng.randint(1, 9) * 1.0, "filler", 0.5, "x") for m in range(5) for i, a in enumerate(rng.sample(range(60), 20))]
     one, many = spark.createDataFrame(rows, SPANS).coalesce(1), spark.createDataFrame(rows[::-1], SPANS).repartition(7)
     assert got(iv.union(one), "media_id", "start", "end") == got(iv.union(many), "media_id", "start", "end")
+    flat = one.select("media_id", "idx", "start", "end")
+    assert got(iv.contained(flat, flat, 1), "media_id", "idx", "s_idx") == got(iv.contained(flat, flat, 1, bucket=4), "media_id", "idx", "s_idx")
     assert got(iv.overlapping(one, one), "media_id", "l_idx", "r_idx") == got(iv.overlapping(many, many, bucket=5), "media_id", "l_idx", "r_idx")
 
 
