@@ -165,6 +165,31 @@ def holes(gaps: DataFrame, frames: DataFrame, confident: Column, least: int, sus
     return longest_run(long, frames, confident, ["lo", "hi"]).filter(F.col("longest") >= sustained)
 
 
+def trimmed(words: DataFrame, silent: DataFrame, frame: float, longest: float, least: int) -> DataFrame:
+    """Words (idx, start, end) of over `longest` end where the first silence inside them starts;
+    one that starts at their start is left alone. silent: runs (lo, hi) of frames below the level."""
+    spans = words.filter(F.col("end") - F.col("start") > longest).select(KEY, "idx", "start", (F.col("start") / frame).cast("int").alias("_a"), (F.col("end") / frame).cast("int").alias("_b"))
+    runs_in = spans.join(silent, KEY).withColumn("_lo", F.greatest("lo", "_a")).withColumn("_hi", F.least("hi", "_b")).filter(F.col("_hi") - F.col("_lo") >= least)
+    first = runs_in.groupBy(KEY, "idx").agg((F.min("_lo") * F.lit(frame)).alias("_at"))
+    moved = F.when(F.col("_at") > F.col("start"), F.greatest(F.col("_at"), F.col("start") + 0.02))
+    return words.join(first, [KEY, "idx"], "left").withColumn("end", F.coalesce(moved, F.col("end"))).drop("_at")
+
+
+def snapped_boundaries(times: DataFrame, signal: DataFrame, frame: float, radius: float = 0.06) -> DataFrame:
+    """Times (idx, t) of a media moved to the quietest frame near each, in order; one that would
+    fall before the one before it, as moved, stays where it was. One ordered fold per media."""
+    near = times.join(signal, KEY).withColumn("_n", quietest_time_near(F.col("t"), F.col("db"), frame, radius))
+    per = near.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("t", "idx", F.col("_n").alias("n")))).alias("w"))
+    kind = "array<struct<idx: bigint, t: double>>"
+    zero = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        t = F.when(F.coalesce(w["n"] < acc["at"], F.lit(False)), w["t"]).otherwise(w["n"])
+        return F.struct(t.alias("at"), F.concat(acc["out"], F.array(F.struct(w["idx"].cast("bigint").alias("idx"), t.alias("t")))).alias("out"))
+
+    return per.select(KEY, F.inline(F.aggregate("w", zero, step, lambda acc: acc["out"])))
+
+
 # --- tracks ----------------------------------------------------------------------------
 
 

@@ -145,3 +145,20 @@ def signal_silences(spark, sf_dir):
     speech = sg.longest_run(keyed.withColumnsRenamed({"g_lo": "lo", "g_hi": "hi"}), wide, F.col("db") > F.col("middle") + 8, ["lo", "hi"]).withColumnsRenamed({"lo": "g_lo", "hi": "g_hi"})
     config = dt.Silence(min_gap=2, pad=0, sentence_pause=1, sustained=3, least=0.5)
     return dt.silences_in_signal(gaps, inside, speech, config).withColumnsRenamed({"start": "s", "end": "e"})
+
+
+@query("WITH c AS (SELECT l_orderkey AS media_id, l_linenumber AS chunk, l_linenumber * 50.0::DOUBLE AS base, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity AS q FROM lineitem) SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY chunk, k) - 1 AS idx, q + base AS s, q + 1 + base AS e FROM c")
+def restored_offsets(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    line = src.table(spark, sf_dir, "lineitem")
+    words = line.select(F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("chunk"), k.alias("idx"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 1).alias("end"))
+    chunks = line.select(F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("chunk"), (F.col("l_linenumber") * 50.0).alias("start")).distinct()
+    return md.restored(words, chunks).select("media_id", "idx", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+@query(f"WITH {FRAMES} SELECT media_id, list(db ORDER BY i) AS part FROM frames WHERE i >= 12 AND i < 31 GROUP BY media_id")
+def sliced_signal(spark, sf_dir):
+    signal = sg.packed(src.vector_frames(spark, sf_dir))
+    return signal.select("media_id", md.sliced(F.col("db"), F.lit(1.25), F.lit(3.17), 10).alias("part"))

@@ -186,3 +186,22 @@ FROM (SELECT *, lead(t) OVER (PARTITION BY media_id ORDER BY t) AS t1 FROM keyfr
 def track_step_expression(spark, sf_dir):
     f = src.vector_frames(spark, sf_dir).filter("i % 16 = 3")
     return sg.piecewise_expression(f.select("media_id", F.col("i").alias("t"), F.col("db").alias("v")), step=True)
+
+
+@query(f"""WITH {FRAMES}, {ISLES}, w AS (SELECT media_id, k AS idx, k * 1.7::DOUBLE AS s, k * 1.7::DOUBLE + 0.4::DOUBLE + (k % 3) * 0.6::DOUBLE AS e FROM levels, (SELECT unnest(range(0, 4)) AS k)),
+c AS (SELECT w.media_id, idx, min(greatest(lo, CAST(trunc(s / 0.1::DOUBLE) AS BIGINT))) AS lo FROM w JOIN silent r ON r.media_id = w.media_id AND least(hi, CAST(trunc(e / 0.1::DOUBLE) AS BIGINT)) - greatest(lo, CAST(trunc(s / 0.1::DOUBLE) AS BIGINT)) >= 2 WHERE e - s > 0.8::DOUBLE GROUP BY ALL)
+SELECT w.media_id, w.idx, w.s, CASE WHEN c.lo * 0.1::DOUBLE > w.s THEN greatest(c.lo * 0.1::DOUBLE, w.s + 0.02::DOUBLE) ELSE w.e END AS e FROM w LEFT JOIN c USING (media_id, idx)""")
+def trimmed_words(spark, sf_dir):
+    frames, known = _frames(spark, sf_dir)
+    k = F.col("idx")
+    words = known.select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("idx"))
+    words = words.withColumn("start", k * 1.7).withColumn("end", k * 1.7 + 0.4 + (k % 3) * 0.6)
+    silent = sg.silent_runs(frames, known.withColumn("silence", F.col("middle")), 2)
+    return sg.trimmed(words, silent, 0.1, 0.8, 2).withColumnsRenamed({"start": "s", "end": "e"})
+
+
+@query()
+def snapped_boundaries(spark, sf_dir):
+    frames, _ = _frames(spark, sf_dir)
+    times = frames.filter("i % 9 = 4").select("media_id", F.col("i").cast("long").alias("idx"), (F.col("i") * 0.1).alias("t"))
+    return sg.snapped_boundaries(times, sg.packed(frames), 0.1, 0.3)

@@ -159,3 +159,37 @@ def event_sessions(spark, sf_dir):
     e = src.table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").alias("media_id"), F.col("ts").cast("timestamp").alias("ts"))
     w = e.groupBy("media_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
     return w.select("media_id", F.unix_micros("w.start").alias("s"), F.unix_micros("w.end").alias("e"), "n")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS job, l_linenumber AS part FROM lineitem), j AS (SELECT DISTINCT job FROM p), c AS (SELECT job, list(DISTINCT part + CASE WHEN job % 5 = 1 THEN 90 ELSE 0 END ORDER BY part + CASE WHEN job % 5 = 1 THEN 90 ELSE 0 END) AS keep FROM p WHERE job % 7 <> 2 AND part % 2 = 1 GROUP BY job)
+SELECT job, CASE WHEN job % 5 <> 1 THEN keep END AS keep, CASE WHEN keep IS NULL THEN 'empty' WHEN job % 5 = 1 THEN 'unknown' END AS error FROM j LEFT JOIN c USING (job)""")
+def store_approved(spark, sf_dir):
+    parts = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("part"))
+    chosen = parts.filter("job % 7 <> 2 and part % 2 = 1").withColumn("part", F.col("part") + F.when(F.col("job") % 5 == 1, 90).otherwise(0))
+    return st.approved(parts, chosen)
+
+
+@query("""WITH w AS (SELECT conv_id AS media_id, turn AS idx, role AS text FROM conversations), e AS (SELECT media_id, idx + CASE WHEN media_id % 6 = 1 THEN 900 ELSE 0 END AS idx, CASE WHEN media_id % 6 = 2 AND idx = 0 THEN ' ' ELSE 'second' END AS t FROM w WHERE idx % 3 = 0),
+bad AS (SELECT DISTINCT e.media_id FROM e LEFT JOIN w USING (media_id, idx) WHERE w.idx IS NULL OR trim(t) = '')
+SELECT w.media_id, w.idx, CASE WHEN e.t IS NULL OR w.media_id IN (SELECT media_id FROM bad) THEN w.text ELSE e.t END AS text FROM w LEFT JOIN e USING (media_id, idx)""")
+def store_corrected(spark, sf_dir):
+    w = src.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("idx"), F.col("role").alias("text"))
+    at = F.col("idx") + F.when(F.col("media_id") % 6 == 1, 900).otherwise(0)
+    new = F.when((F.col("media_id") % 6 == 2) & (F.col("idx") == 0), " ").otherwise("second")
+    edits = w.filter("idx % 3 = 0").select("media_id", at.alias("idx"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("first").alias("text")), F.struct(F.lit(2).alias("seq"), new.alias("text")))).alias("e")).select("media_id", "idx", "e.*")
+    return st.corrected(w, edits).select("media_id", "idx", "text")
+
+
+@query("SELECT l_orderkey AS job, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber IN (1, 3, 4) GROUP BY l_orderkey")
+def store_freed(spark, sf_dir):
+    path = F.when(F.col("l_linenumber") == 1, "audio.wav").when(F.col("l_linenumber") == 3, "captions/00001.png").when(F.col("l_linenumber") == 4, "part-7.mkv").otherwise("edit.json")
+    files = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), path.alias("path"), F.col("l_quantity").cast("long").alias("length"))
+    return st.freed(files)
+
+
+@query("SELECT user_id AS owner, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' UNION SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0) GROUP BY user_id")
+def owner_lists(spark, sf_dir):
+    """Rows of the owners on either of two lists: a set union and a semi-join."""
+    e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), "event_type")
+    listed = e.filter("event_type = 'signup'").select("owner").union(e.filter("event_type = 'purchase' and owner % 2 = 0").select("owner")).distinct()
+    return e.join(listed, "owner", "left_semi").groupBy("owner").agg(F.count("*").alias("n"))

@@ -6,6 +6,9 @@ text source, a Parquet column or a stream.
 
 from __future__ import annotations
 
+import io
+import wave
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +101,29 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def wav_samples(files: DataFrame, rate: int | None = None) -> DataFrame:
+    """Samples in -1..1 of WAV files (media_id, content), channels averaged; error says what is not
+    16-bit, or not of the rate that is asked for."""
+
+    def run(batches):
+        for p in batches:
+            rows = []
+            for m, content in zip(p[KEY], p["content"]):
+                try:
+                    with wave.open(io.BytesIO(bytes(content))) as w:
+                        if w.getsampwidth() != 2:
+                            raise ValueError("not 16-bit audio")
+                        if rate is not None and w.getframerate() != rate:
+                            raise ValueError(f"not {rate} Hz audio")
+                        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()) / 32768.0
+                        rows.append((m, w.getframerate(), x.mean(1) if len(x) else np.zeros(0), None))
+                except (ValueError, wave.Error, EOFError) as e:
+                    rows.append((m, None, None, str(e) or "not a WAV file"))
+            yield pd.DataFrame(rows, columns=[KEY, "rate", "samples", "error"])
+
+    return files.select(KEY, "content").mapInPandas(run, f"{KEY} long, rate int, samples array<double>, error string")
+
+
 def chunk_plan(signal: DataFrame, frame: float, length: float = 1200.0, search: float = 15.0) -> DataFrame:
     """(chunk, start, end) of long signals (media_id, duration, db): a boundary goes to the first
     quietest frame within `search` of its place. Each depends on the one before: a pandas call."""

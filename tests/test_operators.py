@@ -229,3 +229,23 @@ def test_presets():
     assert Captions().max_words == 4
     with pytest.raises(ValueError):
         preset("other")
+
+
+def test_wav_files_are_read_or_say_why_not(spark):
+    import io
+    import struct
+    import wave
+
+    def wav(width, rate, channels, samples):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            w.setnchannels(channels)
+            w.writeframes(struct.pack(f"<{len(samples)}{'h' if width == 2 else 'B'}", *samples))
+        return out.getvalue()
+
+    files = [(1, wav(2, 16000, 2, [16384, 0, -16384, -16384])), (2, wav(1, 16000, 1, [1, 2])), (3, wav(2, 8000, 1, [0])), (4, b"junk")]
+    got_ = {r["media_id"]: r for r in md.wav_samples(spark.createDataFrame(files, "media_id long, content binary"), 16000).collect()}
+    assert got_[1]["samples"] == [0.25, -0.5] and got_[1]["error"] is None
+    assert got_[2]["error"] == "not 16-bit audio" and got_[3]["error"] == "not 16000 Hz audio" and got_[4]["error"]
