@@ -57,14 +57,55 @@ class PunchIns:
     min_segment: float = 1.2
 
 
+@dataclass(frozen=True)
+class Voice:
+    enabled: bool = True
+    threshold: float = 0.5
+    max_shift: float = 1.0
+
+
 @dataclass(frozen=True)
 class Captions:
+    """How captions are timed and how a renderer draws them; colours are #RRGGBB or #RRGGBBAA,
+    null for none."""
+
+    enabled: bool = True
     max_words: int = 4
     max_chars: int = 22
     line_gap: float = 0.4
     visible: float = 0.5
     pop: float = 0.09
     offset: float = 0.0
+    review: float = 0.5
+    font: str = "Arial Black"
+    size: int = 82
+    text: str = "#FFFFFF"
+    highlight: str = "#FFD44A"
+    outline: int = 8
+    outline_colour: str = "#000000"
+    shadow: int = 4
+    shadow_colour: str = "#00000099"
+    uppercase: bool = False
+    position: str = "bottom"
+    margin: int = 420
+    active_text: str | None = None
+    active_box: str | None = None
+    line_box: str | None = None
+    box_padding: int = 14
+    box_radius: int = 18
+    glow: int = 0
+    pop_scale: float = 1.14
+
+
+# What each named look changes.
+STYLES: dict[str, dict] = {
+    "classic": {},
+    "hormozi": {"font": "Anton-Regular", "size": 96, "uppercase": True, "outline": 10, "shadow": 6, "max_words": 3, "pop": 0.0},
+    "pill": {"font": "Montserrat-ExtraBold", "active_box": "#7C3AED", "active_text": "#FFFFFF", "highlight": "#FFFFFF", "outline": 4, "pop_scale": 1.06},
+    "minimal": {"font": "Montserrat-SemiBold", "size": 64, "outline": 2, "shadow": 3, "highlight": "#FFFFFF", "pop": 0.0},
+    "boxed": {"font": "Montserrat-ExtraBold", "size": 72, "line_box": "#000000B3", "outline": 0, "shadow": 0, "max_words": 5, "max_chars": 28},
+    "neon": {"font": "BebasNeue-Regular", "size": 110, "uppercase": True, "outline_colour": "#22D3EE", "outline": 4, "glow": 18, "highlight": "#67E8F9", "position": "centre", "shadow": 0},
+}
 
 
 @dataclass(frozen=True)
@@ -76,6 +117,16 @@ class Reframe:
     dead_zone: float = 0.06
     detection_rate: float = 0.6
     bias: float = 0.42
+    enabled: bool = True
+
+
+@dataclass(frozen=True)
+class Encode:
+    crf: int = 20
+    preset: str = "veryfast"
+    audio_bitrate: str = "192k"
+    loudness: float = -14.0
+    intermediate_crf: int = 16
 
 
 @dataclass(frozen=True)
@@ -87,6 +138,9 @@ class Preset:
     punch_ins: PunchIns = field(default_factory=PunchIns)
     captions: Captions = field(default_factory=Captions)
     reframe: Reframe = field(default_factory=Reframe)
+    voice: Voice = field(default_factory=Voice)
+    encode: Encode = field(default_factory=Encode)
+    holes: float = 0.8
     min_segment: float = 0.25
     relax: float = 0.25
     review_min_pause: float = 1.0
@@ -94,6 +148,13 @@ class Preset:
     wordless: float = 1.0
     budget: float = 0.6
 
+    def styled(self, name: str) -> Preset:
+        """The same edit in a named look: what moves a caption in time stays."""
+        if name not in STYLES:
+            raise ValueError(f"unknown caption style {name!r}; there are {', '.join(STYLES)}")
+        now = self.captions
+        return replace(self, captions=Captions(enabled=now.enabled, visible=now.visible, offset=now.offset, review=now.review, **STYLES[name]))
+
 
 DEFAULT = Preset()
 PRESETS = {

@@ -13,6 +13,11 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_']+", "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def ends_sentence(text: Column) -> Column:
     """Whether . ? ! or an ellipsis stands at the end, before any closing quotes or brackets."""
     return F.coalesce(text.rlike("[.?!…][\"')\\]}»”’]*\\s*$"), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Captions
+from ..functions.text import stripped
 from . import intervals as iv
 from .intervals import KEY
 
@@ -16,7 +17,7 @@ def placed(words: DataFrame, mapped: DataFrame, config: Captions = Captions(), u
     the end of the one before yields to it. One ordered fold per media."""
     seen = iv.kept_fraction(words, mapped).filter(F.col("fraction") >= config.visible)
     spans = iv.map_span(seen.select(KEY, "idx", "text", "start", "end"), mapped)
-    named = F.struct("idx", F.trim("text").alias("text"), (F.col("out_from").cast("double") + config.offset * unit).alias("a"), (F.col("out_to").cast("double") + config.offset * unit).alias("b"))
+    named = F.struct("idx", stripped(F.col("text")).alias("text"), (F.col("out_from").cast("double") + config.offset * unit).alias("a"), (F.col("out_to").cast("double") + config.offset * unit).alias("b"))
     per = spans.groupBy(KEY).agg(F.array_sort(F.collect_list(named)).alias("w"))
     kind = "array<struct<idx: bigint, text: string, start: double, end: double>>"
     zero = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast(kind).alias("out"))

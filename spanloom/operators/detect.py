@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, Fillers, Retakes, Silence
-from ..functions.text import content_words, ends_sentence, grouped, normalized
+from ..functions.text import content_words, ends_sentence, grouped, normalized, stripped
 from .intervals import KEY
 
 def by_idx():
@@ -23,7 +25,7 @@ def by_idx():
 def clean_words(words: DataFrame, media: DataFrame, unit: float = 1) -> DataFrame:
     """Words that have a token, made to follow each other: a start is at least the end before it,
     both lie in the media, and a word without length gets 0.02 s. One ordered fold per media."""
-    named = F.struct("idx", F.trim("text").alias("text"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    named = F.struct("idx", stripped(F.col("text")).alias("text"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     sequences = words.filter(normalized(F.col("text")) != "").groupBy(KEY).agg(F.array_sort(F.collect_list(named)).alias("w")).join(media.select(KEY, F.col("duration").cast("double").alias("duration")), KEY)
     kind = "array<struct<idx: bigint, text: string, start: double, end: double>>"
     zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(kind).alias("out"))
@@ -39,11 +41,12 @@ def clean_words(words: DataFrame, media: DataFrame, unit: float = 1) -> DataFram
 
 
 def gaps(words: DataFrame, media: DataFrame) -> DataFrame:
-    """Gaps before the first word, between words and after the last, with the text before each;
-    media without words have none."""
+    """Gaps before the first word, between words and after the last, with the text before each and
+    their kind (leading, gap, trailing); media without words have none."""
     inner = words.select(KEY, F.col("end").alias("lo"), F.lead("start").over(by_idx()).alias("hi"), F.col("text").alias("before"), "idx")
-    head = words.groupBy(KEY).agg(F.lit(0).alias("lo"), F.min_by("start", "idx").alias("hi"), F.lit("").alias("before"), (F.min("idx") - 1).alias("idx"))
-    inner = inner.join(media.select(KEY, "duration"), KEY).withColumn("hi", F.coalesce("hi", "duration")).drop("duration")
+    head = words.groupBy(KEY).agg(F.lit(0).alias("lo"), F.min_by("start", "idx").alias("hi"), F.lit("").alias("before"), (F.min("idx") - 1).alias("idx"), F.lit("leading").alias("kind"))
+    kind = F.when(F.col("hi").isNull(), "trailing").otherwise("gap")
+    inner = inner.withColumn("kind", kind).join(media.select(KEY, "duration"), KEY).withColumn("hi", F.coalesce("hi", "duration")).drop("duration")
     return inner.unionByName(head)
 
 
@@ -51,8 +54,57 @@ def silences(gaps: DataFrame, config: Silence = Silence(), unit: float = 1) -> D
     """Removals of gaps longer than min_gap, less the pads and a pause after a sentence."""
     floor = F.when(ends_sentence(F.col("before")), F.col("lo") + config.sentence_pause * unit).otherwise(F.lit(0))
     start, end = F.greatest(F.col("lo") + config.pad * unit, floor), F.col("hi") - config.pad * unit
-    cut = gaps.filter(F.col("hi") - F.col("lo") > config.min_gap * unit).select(KEY, start.alias("start"), end.alias("end"))
-    return cut.filter(F.col("end") - F.col("start") > config.least * unit).select("*", F.lit("silence").alias("reason"), F.lit(1.0).alias("confidence"), F.lit("pause").alias("detail"))
+    cut = gaps.filter(F.col("hi") - F.col("lo") > config.min_gap * unit).select(KEY, start.alias("start"), end.alias("end"), F.col("kind").alias("detail"))
+    return cut.filter(F.col("end") - F.col("start") > config.least * unit).select(KEY, "start", "end", F.lit("silence").alias("reason"), F.lit(1.0).alias("confidence"), "detail")
+
+
+def silences_heard(words: DataFrame, media: DataFrame, signal: DataFrame, frame: float, config: Silence = Silence()) -> DataFrame:
+    """The same given packed signals (db, silence, confident; see edl.levelled): gaps, and words of
+    over max_word, are cut where the signal is silent. Runs are joined over up to `bridge` of sound
+    that is not speech for `sustained`. A gap without runs is cut whole unless it holds speech, a
+    word without runs is left; media without a signal are cut by their words alone."""
+    floor = F.when(ends_sentence(F.col("before")), F.col("lo") + config.sentence_pause).otherwise(F.lit(0.0))
+    between = gaps(words, media).select(KEY, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), floor.cast("double").alias("floor"), "kind")
+    inside = words.filter(F.col("end") - F.col("start") > config.max_word).select(KEY, F.col("start").cast("double").alias("lo"), F.col("end").cast("double").alias("hi"), F.lit(0.0).alias("floor"), F.lit("within-word").alias("kind"))
+    every = between.unionByName(inside).filter(F.col("hi") - F.col("lo") > config.min_gap)
+    per = every.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "floor", "kind"))).alias("g")).join(signal.select(KEY, "db", "silence", "confident"), KEY, "left")
+    shortest = max(round(config.min_gap / frame), 1)
+
+    def stretches(holds: np.ndarray) -> np.ndarray:
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], holds, [False]]).astype(np.int8)))
+        return edges.reshape(-1, 2)
+
+    def cuts(g, db, silence, confident):
+        if db is None or not len(db):
+            return [] if g["kind"] == "within-word" else [(g["lo"], g["hi"])]
+        at = lambda t: min(max(int(t / frame), 0), len(db) - 1)
+        speech = lambda a, b: max((int(y - x) for x, y in stretches(db[at(a) : at(b)] > confident)), default=0) * frame
+        lo, hi = at(g["lo"]), at(g["hi"])
+        out = []
+        for a, b in stretches(db[lo:hi] < silence):
+            if b - a < shortest:
+                continue
+            a, b = float((lo + a) * frame), float((lo + b) * frame)
+            if out and 0 < config.bridge and a - out[-1][1] <= config.bridge and speech(out[-1][1], a) < config.sustained:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        if out:
+            return out
+        loud = g["kind"] == "within-word" or speech(g["lo"], g["hi"]) >= config.sustained
+        return [] if loud else [(g["lo"], g["hi"])]
+
+    def run(batches):
+        for p in batches:
+            rows = []
+            for r in p.to_dict("records"):
+                db = None if r["db"] is None else np.asarray(r["db"], float)
+                rows += [(r[KEY], a, b, g["floor"], g["kind"]) for g in r["g"] for a, b in cuts(g, db, r["silence"], r["confident"])]
+            yield pd.DataFrame(rows, columns=[KEY, "lo", "hi", "floor", "kind"])
+
+    found = per.mapInPandas(run, f"{KEY} long, lo double, hi double, floor double, kind string").filter(F.col("hi") - F.col("lo") > config.min_gap)
+    cut = found.select(KEY, F.greatest(F.col("lo") + config.pad, "floor").alias("start"), (F.col("hi") - config.pad).alias("end"), F.col("kind").alias("detail"))
+    return cut.filter(F.col("end") - F.col("start") > config.least).select(KEY, "start", "end", F.lit("silence").alias("reason"), F.lit(1.0).alias("confidence"), "detail")
 
 
 def silences_in_signal(gaps: DataFrame, runs: DataFrame, speech: DataFrame, config: Silence = Silence(), unit: float = 1) -> DataFrame:
@@ -187,11 +239,14 @@ def validated(proposals: DataFrame, words: DataFrame, config: Retakes = Retakes(
     holds = (F.col("r_first") > F.col("last")) & (F.col("r_last") <= F.col("_top")) & (F.col("r_last") - F.col("r_first") + 1 >= 2) & (F.col("_s_r_first") - F.col("_e_last") <= config.horizon * unit)
     p = superseded(p, words, config, unit)
     sure = F.when(F.col("overlap") >= config.overlap, F.lit(0.7)).when(F.coalesce(holds, F.lit(False)), F.lit(0.45))
+    why = F.substring("why", 1, 80) if "why" in proposals.columns else F.lit("model")
     p = p.withColumn("confidence", sure).filter("confidence is not null").withColumn("_cut", F.sum(F.col("_e_last") - F.col("_s_first")).over(W.partitionBy(KEY)))
-    return p.filter(F.col("_cut") <= config.ceiling * F.col("_speech")).select(KEY, F.col("_s_first").alias("start"), F.col("_e_last").alias("end"), F.lit("retake").alias("reason"), "confidence", F.lit("model").alias("detail"))
+    return p.filter(F.col("_cut") <= config.ceiling * F.col("_speech")).select(KEY, F.col("_s_first").alias("start"), F.col("_e_last").alias("end"), F.lit("retake").alias("reason"), "confidence", why.alias("detail"))
 
 
-def analyzed(words: DataFrame, media: DataFrame, silence: Silence = Silence(), filler: Fillers = Fillers(), retake: Retakes = Retakes(), unit: float = 1) -> DataFrame:
-    """All removals of the word-based detectors."""
-    found = silences(gaps(words, media), silence, unit).unionByName(fillers(words, filler, unit))
+def analyzed(words: DataFrame, media: DataFrame, silence: Silence = Silence(), filler: Fillers = Fillers(), retake: Retakes = Retakes(), unit: float = 1, signal: DataFrame | None = None, frame: float = 0.01) -> DataFrame:
+    """All removals of the word-based detectors; with packed signals and their frame, in seconds,
+    silences are those that the signal agrees with."""
+    quiet = silences(gaps(words, media), silence, unit) if signal is None else silences_heard(words, media, signal, frame, silence)
+    found = quiet.unionByName(fillers(words, filler, unit))
     return found.unionByName(retakes(words, retake, unit)) if retake.enabled else found

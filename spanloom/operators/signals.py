@@ -271,16 +271,17 @@ def piecewise(times: DataFrame, keys: DataFrame, step: bool = False) -> DataFram
     return found.withColumn("value", F.coalesce(line, "_head")).drop("_t0", "_v0", "_t1", "_v1", "_head")
 
 
-def piecewise_expression(keys: DataFrame, step: bool = False) -> DataFrame:
-    """The same as a nested if() text of each media, from its keyframes (t, v)."""
+def piecewise_expression(keys: DataFrame, step: bool = False, time: str = "t") -> DataFrame:
+    """The same as a nested if() text of each media, from its keyframes (t, v); `time` is the name
+    of the time in it."""
     k = keys.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v")))).alias("k"))
     five = lambda x: F.format_string("%.5f", x)
 
     def wrap(acc: Column, i: Column) -> Column:
         a, b = F.get("k", i), F.get("k", i + 1)
         flat = five(a["v"])
-        line = flat if step else F.when(b["t"] > a["t"], F.format_string("(%.5f+(%.5f)*(t-%.5f))", a["v"], F.try_divide(b["v"] - a["v"], b["t"] - a["t"]), a["t"])).otherwise(flat)
-        return F.concat(F.lit("if(lt(t,"), five(b["t"]), F.lit("),"), line, F.lit(","), acc, F.lit(")"))
+        line = flat if step else F.when(b["t"] > a["t"], F.format_string(f"(%.5f+(%.5f)*({time}-%.5f))", a["v"], F.try_divide(b["v"] - a["v"], b["t"] - a["t"]), a["t"])).otherwise(flat)
+        return F.concat(F.lit(f"if(lt({time},"), five(b["t"]), F.lit("),"), line, F.lit(","), acc, F.lit(")"))
 
     n = F.size("k")
     back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))

@@ -60,7 +60,9 @@ def expired(jobs: DataFrame, now: Column, keep: Column) -> DataFrame:
 
 def recovered(jobs: DataFrame) -> DataFrame:
     """Jobs as a restart finds them (has_timeline, has_output): status, message and error follow
-    the first rule that fits."""
+    the first rule that fits. Where jobs have them, a render that was interrupted goes back to
+    stage review at 100 percent, a lost video takes its summary along, and a publication that was
+    under way (publish_status, publish_error, publish_message) has failed."""
     status, timeline, output = F.col("status"), F.col("has_timeline"), F.col("has_output")
     # The states, messages and errors of a restart.
     rules = [
@@ -73,7 +75,19 @@ def recovered(jobs: DataFrame) -> DataFrame:
     new = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(named, out)]) for _, out in rules]
     kept = F.struct(*[F.col(n).cast("string").alias(n) for n in named])
     chain = reduce(lambda acc, x: acc.when(x[0][0], x[1]), list(zip(rules, new))[1:], F.when(rules[0][0], new[0])).otherwise(kept)
-    rest = [c for c in jobs.columns if c not in named]
+    again = ~rules[0][0] & rules[1][0]
+    lost = (status == "done") & ~output
+    cut_off = F.col("publish_status") == "publishing"
+    also = {
+        "stage": F.when(again, "review"),
+        "percent": F.when(again, 100),
+        "summary": F.when(~lost, F.col("summary")) if "summary" in jobs.columns else None,
+        "publish_status": F.when(cut_off, "error"),
+        "publish_error": F.when(cut_off, "interrupted by a restart"),
+        "publish_message": F.when(cut_off, "failed"),
+    }
+    change = lambda c: also[c] if c == "summary" else F.coalesce(also[c], F.col(c))
+    rest = [change(c).alias(c) if c in also else F.col(c) for c in jobs.columns if c not in named]
     return jobs.withColumn("_r", chain).select(*rest, *[F.col(f"_r.{n}").alias(n) for n in named])
 
 
@@ -136,7 +150,8 @@ def landed(uploads: DataFrame, writes: DataFrame, part: int = 50_000_000) -> Dat
     return done
 
 
-INTERMEDIATE = r"^(audio\.wav|cut\.mkv|captions\.txt|concat\.txt|.*\.tmp|part-\d+\..*)$|^(captions|chunks)/"
+# What a finished render no longer needs, as names, patterns of the top folder, and folders.
+INTERMEDIATE = r"^(audio\.wav|captions\.txt|cut[^/]*\.mkv|[^/]*\.filter)$|^(captions|holes)/"
 
 
 def freed(files: DataFrame) -> DataFrame:

@@ -180,9 +180,9 @@ def store_corrected(spark, sf_dir):
     return st.corrected(w, edits).select("media_id", "idx", "text")
 
 
-@query("SELECT l_orderkey AS job, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber IN (1, 3, 4) GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS job, count(*) AS files, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber IN (1, 3, 4, 6) GROUP BY l_orderkey")
 def store_freed(spark, sf_dir):
-    path = F.when(F.col("l_linenumber") == 1, "audio.wav").when(F.col("l_linenumber") == 3, "captions/00001.png").when(F.col("l_linenumber") == 4, "part-7.mkv").otherwise("edit.json")
+    path = F.when(F.col("l_linenumber") == 1, "audio.wav").when(F.col("l_linenumber") == 3, "captions/00001.png").when(F.col("l_linenumber") == 4, "cut-7.mkv").when(F.col("l_linenumber") == 5, "old/cut.mkv").when(F.col("l_linenumber") == 6, "reframe.filter").otherwise("edit.json")
     files = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), path.alias("path"), F.col("l_quantity").cast("long").alias("length"))
     return st.freed(files)
 
