@@ -203,8 +203,10 @@ def test_punch_ins_hold(spark):
 def test_chosen_parts_must_exist(spark):
     parts = spark.createDataFrame([(1, 0, 0.0, 2.0), (1, 1, 2.0, 5.0)], "media_id long, part int, start double, end double")
     media = spark.createDataFrame([(1, 5.0)], "media_id long, duration double")
-    with pytest.raises(ValueError, match="unknown"):
-        edl.chosen_segments(parts, spark.createDataFrame([(1, 7)], "media_id long, part int"), media)
+    with pytest.raises(Exception, match="unknown parts"):
+        edl.chosen_segments(parts, spark.createDataFrame([(1, 7)], "media_id long, part int"), media).collect()
+    assert got(edl.chosen_segments(parts, spark.createDataFrame([(1, 1)], "media_id long, part int"), media), "start", "end") == [(2.0, 5.0)]
+    assert got(edl.chosen_segments(parts, spark.createDataFrame([], "media_id long, part int"), media), "start", "end") == [(0.0, 5.0)]
 
 
 def test_seams_are_deterministic(spark):
