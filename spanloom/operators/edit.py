@@ -1,4 +1,4 @@
-"""A whole edit as one plan: repair words, detect, build the decisions, then cut as chosen.
+"""A whole edit, step by step: repair words, detect, build the decisions, then cut as chosen.
 
 Tables: words (media_id, idx, text, start, end, probability), media (media_id, duration), both in
 seconds; signal (media_id, db), a packed level per frame; track (media_id, probs), a packed voice
