@@ -163,14 +163,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def named(prints: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
-    """(fp, component_id, kept_fp) of each fingerprint of a stored table (doc_id, fp): the least
-    doc_id of its component, and the least fingerprint that has that id."""
+    """(fp, component_id, kept_fp) of each fingerprint of a stored table (doc_id, fp)."""
+    return labelled(prints, links(prints.select("fp").distinct(), near, blocks, most))
+
+
+def labelled(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id, kept_fp) of each fp of a stored table (doc_id, fp): the least doc_id
+    of its component by the links (a, b), and the least fp that has that id."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    reached = components(links(prints.select("fp").distinct(), near, blocks, most))
-    labelled = written(classes.join(reached, classes.fp == reached.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+    reached = components(edges)
+    named = written(classes.join(reached, classes.fp == reached.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
     order = F.struct(F.col("first").isNull(), "first", "fp")
-    least = labelled.groupBy("label").agg(F.min(order).alias("m")).select("label", F.col("m.first").alias("component_id"), F.col("m.fp").alias("kept_fp"))
-    return labelled.join(least, "label").select("fp", "component_id", "kept_fp")
+    least = named.groupBy("label").agg(F.min(order).alias("m")).select("label", F.col("m.first").alias("component_id"), F.col("m.fp").alias("kept_fp"))
+    return named.join(least, "label").select("fp", "component_id", "kept_fp")
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, lm, packing, quality, queries, secrets, simhash, substrings, token_files, toxicity
+from spanloom.llm import decontam, jaccard, langid, lm, packing, quality, queries, secrets, simhash, substrings, token_files, toxicity
 from spanloom.llm import text as tx
 from spanloom.llm.tokens import Encoder, Reader, Writer
 
@@ -405,6 +405,40 @@ def test_dense_balls_and_chains_of_fingerprints(spark, most):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def plain_shingles(t):
+    w = WORD.findall((t or "").translate(LOW))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_pipeline_drops_near_copies_by_five_word_shingles(spark, docs, none):
+    """All pairs of similarity 0.8 or more link; equal to a search of all pairs."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    rows = [(r[0], r[1]) for r in corpus()]
+    for n in (8, 30, 90, 400):
+        for _ in range(6):
+            w = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(w)))
+            for changes in (1, 2, max(1, n // 60), max(1, n // 40), max(1, n // 12)):
+                x = list(w)
+                for k in rng.sample(range(n), changes):
+                    x[k] = f"u{rng.randrange(5000)}"
+                rows.append((len(rows), " ".join(x)))
+    sets = [plain_shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    d = spark.createDataFrame([(i, t, "en", "s", None, "c", "h", "s") for i, t in rows], DOCS).repartition(3)
+    kept = cp.drop_near_copies(spark, d.unionByName(d), "")
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+    assert len(simhash.drop_near_duplicates(d).collect()) > len(set(label))  # three bits of three-word shingles miss some
+    assert cp.drop_near_copies(spark, none, "").count() == 0
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 
