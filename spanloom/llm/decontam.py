@@ -11,7 +11,9 @@ larger one is joined with the documents' fingerprints by shuffle. Both ways give
 
 Words are runs of ASCII digits and letters and of all that is not ASCII; A-Z count as a-z.
 Null and empty texts have no words. Item ids are taken as strings; items with equal words
-are all reported; an id that repeats counts once. Documents with equal ids get one row each.
+are all reported; an id that repeats counts once. Items whose id is null count
+for hit words and contamination and as one item together; only the list of ids (items_sha256)
+leaves them out. Documents with equal ids get one row each.
 """
 
 from __future__ import annotations
@@ -72,12 +74,12 @@ def item_windows(ids: list, texts: pa.Array, window: int, k: int):
 class Index:
     """A small benchmark's windows as sorted arrays."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW, k: int = K):
+    def __init__(self, ids: list[str | None], texts: list[str], window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
-        self.names = sorted(set(ids))
+        self.names = sorted(set(ids) - {None})
         rows, marks = item_windows(ids, pa.array(texts, pa.string()), window, k)
         self.marks = np.unique(marks)
-        number = {n: i for i, n in enumerate(self.names)}
+        number = {None: -1} | {n: i for i, n in enumerate(self.names)}
         self.tables = {}
         for n in sorted({r[0] for r in rows}):
             mine = sorted({(a, b, number[i]) for m, a, b, i in rows if m == n})
@@ -126,11 +128,11 @@ def collected(first, places, lengths, items, names):
     pairs = np.unique(np.stack([row, item], 1), axis=0)
     cut = np.searchsorted(pairs[:, 0], np.arange(rows + 1))
     bounds = np.searchsorted(hit, first)
-    return [hit[bounds[i] : bounds[i + 1]] - first[i] for i in range(rows)], [[names[j] for j in pairs[cut[i] : cut[i + 1], 1]] for i in range(rows)]
+    return [hit[bounds[i] : bounds[i + 1]] - first[i] for i in range(rows)], [[names[j] if j >= 0 else None for j in pairs[cut[i] : cut[i + 1], 1]] for i in range(rows)]
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def digest(items: list[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
 
 
 def result(rows: pa.RecordBatch, names: list[str], n_words, hit, items) -> pa.RecordBatch:
@@ -143,7 +145,7 @@ def result(rows: pa.RecordBatch, names: list[str], n_words, hit, items) -> pa.Re
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs with a struct column `hits`: n_words, n_hit, n_items, items_sha256, contaminated and
     hit_words (places of the hit words). docs need a column `text`; their others stay."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     # A window starts at a word, and a word takes two bytes of text with its separator.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
     if size > most:
@@ -214,7 +216,7 @@ def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array((at - first[row]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(ga[at].view(np.int64)), pa.array(gb[at].view(np.int64))], names=["_row", "at", "n", "a", "b"])
 
     found = near.mapInArrow(windows_of, "_row long, at int, n int, a long, b long").join(bench.filter("n > 0").distinct(), ["n", "a", "b"])
-    per_doc = found.groupBy("_row").agg(F.collect_set(F.struct("at", "n")).alias("_w"), F.collect_set("item_id").alias("_i"))
+    per_doc = found.groupBy("_row").agg(F.collect_set(F.struct("at", "n")).alias("_w"), F.collect_set(F.struct("item_id")).alias("_i"))
 
     def run(batches):
         for b in batches:
@@ -222,7 +224,7 @@ def joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
             for lo, hi, data, off in tx.blocks(b.column(text_at)):
                 first = words(data, off)[2]
                 hit = [np.unique(np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in w[i]])) if w[i] else np.zeros(0, np.int64) for i in range(lo, hi)]
-                yield result(b.slice(lo, hi - lo), names, np.diff(first), hit, [found_items[i] or [] for i in range(lo, hi)])
+                yield result(b.slice(lo, hi - lo), names, np.diff(first), hit, [[x["item_id"] for x in found_items[i] or []] for i in range(lo, hi)])
 
     every = stored.join(per_doc, "_row", "left").select(*names, "_w", "_i")
     return every.mapInArrow(run, extended(docs, f"hits struct<{HITS}>"))

@@ -273,6 +273,24 @@ def test_decontamination_finds_every_window(spark, docs, none, most):
     assert not any(r["hits"]["contaminated"] for r in decontam.decontaminate(docs.drop("hits"), bench.limit(0), most=most).collect())
 
 
+@pytest.mark.parametrize("most", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination_counts_items_without_an_id(spark, tmp_path, most):
+    import duckdb
+
+    say = lambda a, n: " ".join(f"n{i}" for i in range(a, a + n))
+    rows = [(1, f"x {say(0, 12)} y"), (2, say(3, 10)), (3, f"{say(0, 9)} other"), (4, f"{say(50, 10)} {say(0, 10)} short one"), (5, None)]
+    items = [(None, say(0, 14)), (None, "short one"), (7, say(50, 10)), (8, None)]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", d), ("benchmark", bench)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    there = sorted(con.sql(f"select {', '.join(cols)} from ({queries.oracle_sql()['op4_decontamination']}) where doc_id < 5").fetchall())
+    got = decontam.decontaminate(d, bench, most=most).filter("doc_id < 5").select("doc_id", *[f"hits.{c}" for c in cols[1:]]).collect()
+    assert sorted(map(tuple, got)) == there and [x[2] for x in there] == [12, 10, 0, 22]
+
+
 # --- 5 -----------------------------------------------------------------------------------
 
 
