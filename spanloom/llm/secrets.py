@@ -1,8 +1,9 @@
 """Secret scan: patterns, and strings that zstandard finds new where a secret would stand.
 
 Base kinds: assign (a secret's name, = or :, a value), access (AKIA...), hex (long runs).
-Novel spans: a candidate is a long run of identifier or base-64 characters with letters and
-digits, shortly after a sensitive word. Its surroundings and a dictionary of identifiers
+Novel spans: a candidate is a run of LONG or more identifier or base-64 characters that starts
+within REACH characters after a sensitive word (not before it), whatever it is made of. Its
+surroundings and a dictionary of identifiers
 prime a zstandard compressor; the bytes that the candidate adds, against what it has, tell
 a new string from a name that the code already uses. Novel spans that overlap a base span
 are not reported.
@@ -29,8 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20}
 SENSITIVE = re.compile(r"(?:pass|pwd|secret|token|key|auth|bearer|credential|private|session|cookie|signature|salt|connection)[a-z_]*", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=-]")
+LONG = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LONG},}}")
 # Names that occur in code and configuration.
 IDENTIFIERS = b"""
 access_key access_token account api_key api_url application argument array attribute authorization base64 boolean buffer
@@ -71,16 +72,14 @@ def all_spans(text: str) -> list[tuple[int, int, str]]:
     known = sorted(out)
     seen = set()
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), word.end() + REACH):
-            end = m.end()
-            while end < len(text) and CANDIDATE_CHAR.match(text, end):
-                end += 1
-            span, s = (m.start(), end), text[m.start() : end]
+        at = word.end()
+        while m := CANDIDATE.search(text, at, word.end() + REACH + LONG - 1):
+            span = m.start(), CANDIDATE.match(text, m.start()).end()  # whole, wherever it ends
+            at = span[1]
             if span in seen:
                 continue
             seen.add(span)
-            digits = sum(c.isdigit() for c in s)
-            if digits < 3 or sum(c.isalpha() for c in s) < 3 or any(a < end and m.start() < b for a, b, _ in known):
+            if any(a < span[1] and span[0] < b for a, b, _ in known):
                 continue
             if novelty(text, *span) >= NEW:
                 out.append((*span, "novel"))

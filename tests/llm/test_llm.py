@@ -294,6 +294,19 @@ def test_decontamination_counts_items_without_an_id(spark, tmp_path, most):
 # --- 5 -----------------------------------------------------------------------------------
 
 
+def test_secrets_of_few_digits_and_far_starts():
+    """Random strings without digits, and ones that start in reach but end beyond it."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (16, 20, 32, 200):
+        s = "".join(rng.choice(letters) for _ in range(n))
+        for lead in ("Authorization: Bearer ", "the key " + "of it " * 9):
+            text = f"{lead}{s} then"
+            assert (len(lead), len(lead) + n, "novel") in secrets.all_spans(text)
+    far = "key" + " ." * 32 + " " + "".join(rng.choice(letters) for _ in range(20))
+    assert secrets.all_spans(far) == []  # starts beyond REACH
+
+
 def test_secrets_by_pattern_and_by_novelty(spark, docs, none):
     key = "Zx9Qm4Lk2Vt7Rp1Ws8Yd3"
     rows = [
