@@ -4,8 +4,8 @@ A document's ids are cut into full sequences and one rest. The lengths 1..size a
 longest first, by their counts alone: each goes to the pack with the most room (the
 shortest pack) or starts a new one, which updates counts of packing patterns. Patterns are
 then joined back to the pieces by rank within a length: the k-th piece of a length takes
-the k-th place for that length. Packs that stay the emptiest are dissolved: their pieces
-are cut to fill the gaps of the others, as long as a gap of at least `least` ids is left.
+the k-th place for that length. Every piece is packed once and whole, so the gaps that the
+histogram leaves stay as padding.
 
 Null and empty texts are one piece, their end id. Rows are packed one by one, so repeated
 rows (and ids) each get their own pieces; ties of length are broken by doc_id, start and
