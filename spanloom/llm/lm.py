@@ -31,7 +31,7 @@ from . import text as tx
 from .shared import extended, fresh, local_path
 from .tables import BLOBS, Gather, Table, buckets_for, stored
 
-ORDER = 2
+ORDER = 3
 END, START = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x0F1E2D3C4B5A6978)
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are taken at a time.

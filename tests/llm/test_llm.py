@@ -243,6 +243,14 @@ def test_language_model_is_modified_kneser_ney(spark, docs, none, order):
         assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in some.collect())
 
 
+def test_the_query_scores_with_middle_orders(spark, docs):
+    d, train = docs.select("doc_id", "text"), queries.bucket(5) != 1
+    model = lm.fit(d.filter(train))
+    assert model["order"] >= 3 and {"c3", "a2", "s2", "s3"} <= set(model["tables"])
+    ours, three = (by_id(x) for x in (lm.score_documents(d, train), lm.score_documents(d, train, 3)))
+    assert all(ours[i]["score"] == pytest.approx(three[i]["score"]) for i in ours)
+
+
 # --- 4 -----------------------------------------------------------------------------------
 
 
