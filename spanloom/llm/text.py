@@ -11,7 +11,13 @@ import types
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Spans of up to so many bytes are hashed many at a time.
+SHORT = 64
+#: Masks of the first 0 to 8 of eight bytes.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -38,26 +44,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    kept = store().__dict__.setdefault("powers", {})
-    have = kept.get(salt)
-    if have is None or len(have[0]) < n:
-        size = max(n, BLOCK + 4096)
-        base = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[salt] * 8 + 3 & (1 << 64) - 1
-        up, down = (np.empty(size, np.uint64) for _ in range(2))
-        for out, b in ((up, base), (down, pow(base, -1, 1 << 64))):
-            out[0], done = 1, 1
-            while done < size:
-                take = min(done, size - done)
-                out[done : done + take] = out[:take] * np.uint64(pow(b, done, 1 << 64))
-                done += take
-        have = kept[salt] = (up, down)
-    return have[0][:n], have[1][:n]
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    return mix(a * ODD + b)
 
 
-def table(salt: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(salt + 1))
+def uniq(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct entries (sorting is many times faster than numpy's hashed unique)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def seeds(salt: int) -> np.ndarray:
+    """A start value for each length of a span up to SHORT bytes."""
+    return mix(np.arange(SHORT + 1, dtype=np.uint64) + np.uint64((salt + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -98,30 +98,60 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return start, end, np.searchsorted(start, off, side="left")
 
 
-def sums(values: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Prefix sums of values times powers of a base: any span's hash is a difference of two."""
-    out = np.empty(len(values) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(len(values), salt)[0], out=out[1:])
-    return out
-
-
-def span_hash(acc: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    return mix((acc[end] - acc[start]) * powers(len(acc), salt)[1][start])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros past the end), as integers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    return span_hash(sums(table(salt)[data], salt), start, end, salt)
-
-
-def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hashes of each k successive entries of `words`, whatever text they are in."""
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand. Eight bytes at a
+    time go through a mixing that is one to one in them; spans of over SHORT bytes are hashed by
+    XXH64. No sum or polynomial: words of a regular make-up collide no more than others."""
+    n = end - start
+    at, first = lanes(data), seeds(salt)
+    h = mix(first[np.minimum(n, SHORT)] ^ (at[start] & MASKS[np.minimum(n, 8)]))
+    todo = np.flatnonzero((n > 8) & (n <= SHORT))
+    for j in range(8, SHORT, 8):
+        todo = todo[n[todo] > j]
+        if not len(todo):
+            break
+        h[todo] = mix(h[todo] * ODD ^ (at[start[todo] + j] & MASKS[np.minimum(n[todo] - j, 8)]))
+    for i in np.flatnonzero(n > SHORT):
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], salt + 1)
+    return h
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> bool:
+    """Whether all spans a[a_at : a_at + n] equal b[b_at : b_at + n]; b has 8 bytes past its spans."""
+    va, vb = lanes(a), np.ndarray((max(len(b) - 7, 0),), "<u8", b, 0, (1,))
+    todo = np.flatnonzero(n <= SHORT)
+    for j in range(0, SHORT, 8):
+        todo = todo[n[todo] > j]
+        if not len(todo):
+            break
+        mask = MASKS[np.minimum(n[todo] - j, 8)]
+        if ((va[a_at[todo] + j] ^ vb[b_at[todo] + j]) & mask).any():
+            return False
+    return all(np.array_equal(a[a_at[i] : a_at[i] + n[i]], b[b_at[i] : b_at[i] + n[i]]) for i in np.flatnonzero(n > SHORT))
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of each k successive entries of `words`, whatever text they are in: of spans of
+    1, 2, 4, ... entries, then of the ones that make up k."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc, at = sums(words, salt), np.arange(n)
-    return span_hash(acc, at, at + k, salt)
+    powers, have = {1: words}, 1
+    while have * 2 <= k:
+        powers[have * 2] = pair(powers[have][:-have], powers[have][have:])
+        have *= 2
+    out, used = powers[have], have
+    while used < k:
+        have = 1 << ((k - used).bit_length() - 1)
+        out = pair(out[:n], powers[have][used : used + n])
+        used += have
+    return out[:n]
 
 
 def room(first: np.ndarray, total: int) -> np.ndarray:
