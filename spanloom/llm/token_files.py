@@ -1,8 +1,11 @@
 """Writing a table's token ids to seekable files in id order, and reading them back.
 
-Null texts are empty (their end id alone); null ids come first and are given back as
-null; rows that repeat an id all stay, in the order of their texts. An empty table makes
-no file. The files stay in the shared folder; a task that runs again replaces its file.
+Texts are encoded first and stored; what is sorted and sent are their ids. Null texts are
+empty (their end id alone); long texts are taken whole. Null ids come first and are given back
+as null. Rows that repeat an id all stay, in the order of the input's partitions; they may fill
+several files, so that an id that much of the table has is no single task's. Only doc_id and
+text are read, so other columns, whatever their names, play no part. An empty table makes no
+file. The files stay in the shared folder; a task that runs again replaces its file.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import fresh, local_path
+from .shared import fresh, local_path, written
 from .tokens import NULL_ID, Encoder, Reader, Writer
 
 
@@ -28,23 +31,31 @@ def encode(docs: DataFrame, tokenizer: str, end: int = 0, width: int = 2) -> lis
     """
     folder = local_path(fresh(docs.sparkSession, "tokens"))
 
-    def write(batches):
-        out, path, encoder = None, f"{folder}/part-{TaskContext.get().partitionId():06d}.zst", Encoder.of(tokenizer, end)
+    def ids_of(batches):
+        encoder = Encoder.of(tokenizer, end)
         for batch in batches:
-            doc_ids = batch.column(0).fill_null(NULL_ID).to_pylist()
             for lo, hi, data, off in tx.blocks(batch.column(1)):
+                ids, at = encoder.block(data, off)
+                if len(ids) and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"an id does not fit {width} bytes")
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at * width), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), raw.cast(pa.binary())], names=["doc_id", "ids"])
+
+    def write(batches):
+        out, path = None, f"{folder}/part-{TaskContext.get().partitionId():06d}.zst"
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).fill_null(NULL_ID).to_pylist(), batch.column(1)):
                 if out is None:
                     os.makedirs(folder, exist_ok=True)
                     out = Writer(path, width)
-                ids, at = encoder.block(data, off)
-                for i in range(hi - lo):
-                    out.add(doc_ids[lo + i], ids[at[i] : at[i + 1]])
+                out.add(doc_id, np.frombuffer(ids.as_buffer(), f"<u{width}"))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out.count]), pa.array([out.total])], names=["path", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(write, "path string, n_docs long, n_tokens long").collect()
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids_of, "doc_id long, ids binary")
+    rows = written(coded.withColumn("tie", F.monotonically_increasing_id()), "tokens-ids")
+    made = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids").mapInArrow(write, "path string, n_docs long, n_tokens long").collect()
     files = sorted((r.asDict() for r in made), key=lambda r: r["path"])
     start = 0
     for f in files:

@@ -2,7 +2,8 @@
 
 Encoding. No pre-token of the byte-level pattern spans a change from non-space to white
 space, so a text is cut there and each distinct piece is encoded once by the tokenizers
-library; its ids are kept by the piece's hash. Ids equal those of the whole text.
+library; its ids are kept by the piece's hash, and its bytes are compared with those that the
+ids are taken for. Ids equal those of the whole text.
 
 Files. A token file is a series of independent zstandard frames, each holding some whole
 documents, then a skippable frame with the first document and the number of documents of
@@ -41,6 +42,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         self.width[list(vocab.values())] = list(map(len, vocab))
+        self.salt = 0
         self.clear()
 
     @classmethod
@@ -54,6 +56,9 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        # The bytes of the pieces, to tell those of one hash apart.
+        self.raw, self.raw_used = np.zeros(1 << 18, np.uint8), 0
+        self.raw_at, self.raw_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces, ascending by key. Those that start with white space and end with a solid
@@ -76,6 +81,12 @@ class Encoder:
         self.used += len(flat)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        own, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if self.raw_used + len(own) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw[: self.raw_used], np.zeros(max(self.raw_used, 2 * len(own)) + 8, np.uint8)])
+        self.raw[self.raw_used : self.raw_used + len(own)] = own
+        self.raw_at, self.raw_n = np.insert(self.raw_at, where, self.raw_used + np.cumsum(size) - size), np.insert(self.raw_n, where, size)
+        self.raw_used += len(own)
 
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and the offset of each text in them."""
@@ -89,7 +100,7 @@ class Encoder:
             cut[off[:-1][off[:-1] < off[1:]]] = True
             start = np.flatnonzero(cut)
             end = np.append(start[1:], len(data))
-            keys, first, at = np.unique(tx.word_hashes(data, start, end), return_index=True, return_inverse=True)
+            keys, first, at = np.unique(tx.word_hashes(data, start, end, self.salt), return_index=True, return_inverse=True)
             have = np.searchsorted(self.keys, keys)
             new = np.ones(len(keys), bool)
             inside = have < len(self.keys)
@@ -102,6 +113,10 @@ class Encoder:
                 self.learn(keys[new], [raw[start[i] : end[i]] for i in first[new]])
                 have = np.searchsorted(self.keys, keys)
             have = have[at]
+            if (self.raw_n[have] != end - start).any() or not tx.same_bytes(data, start, self.raw, self.raw_at[have], end - start):
+                self.salt += 1  # two pieces of one hash: start anew with another
+                self.clear()
+                return self.block(data, off)
             n = self.n[have]
             ids = self.pool[tx.ranges(self.at[have], self.at[have] + n)]
             where = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, off)]
@@ -122,6 +137,8 @@ class Writer:
         self.frames, self.index, self.ids, self.docs, self.held, self.total, self.count = [], [], [], [], 0, 0, 0
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"an id does not fit {self.width} bytes")
         self.docs.append((doc_id, len(ids)))
         self.ids.append(ids.astype(f"<u{self.width}"))
         self.held += len(ids)
