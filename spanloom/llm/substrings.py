@@ -5,23 +5,29 @@ the least hash of its k-word grams is the window's prefix, so equal windows have
 prefixes at equal places. Successive windows of one prefix are a run.
 
 1. Count runs by prefix. A prefix that occurs once leads to no repeat and is dropped.
-2. Of the others, find the first place of each distinct run (prefix and whole content), and
-   how many distinct runs each prefix has. All other occurrences of a run repeat it whole.
-3. Runs that share a prefix but differ: their suffixes are split by prefixes of variable
-   length. Where a prefix has at most GROUP distinct runs they form one group, and a task
-   builds its suffix tree (sorted suffixes and their common prefixes); nodes at least
-   `window` words deep are the repeats, and all leaves below one but the earliest repeat.
-   Beyond GROUP the prefix is extended to the whole window, which makes a group one node:
-   only its earliest leaf in each task needs to travel.
-4. Each text's runs are looked up again in what 2 and 3 stored, and the words of repeating
+2. Of the others, find the first place of each distinct run (by prefix and whole content).
+   All other occurrences of a run repeat it whole: they are leaves of one path of a tree, and
+   each task sends the earliest of them, however many there are.
+3. Count the distinct runs of each prefix. Up to GROUP of them are a group; of a prefix with
+   more, each window is grouped by its own first words instead: the fewest of LONGER of which
+   at most GROUP windows share as many, or the whole window, where a group is one node and each
+   task sends its earliest leaf. Windows whose first words no other has are dropped. So no
+   group outgrows a task.
+4. Tasks build the suffix trees of their groups (sorted suffixes and their common prefixes);
+   nodes at least `window` words deep are the repeats, and all leaves below one but the
+   earliest repeat.
+5. Each text's runs are looked up again in what 2 and 4 stored, and the words of repeating
    windows go.
 
 The tables are sorted arrays in the shared folder that tasks map into memory; no text is
-shuffled, and a key costs each task one entry however often it occurs.
+shuffled, and a key costs each task one entry however often it occurs. Runs are told apart by
+two independent 64-bit hashes of their words, suffixes by one of each word.
 
 Words are runs of what is not white space, unchanged. Null and empty texts have none. Rows
-of one doc_id are the same document: the same start in both is no earlier one. A null id
-counts as the least. Texts shorter than a window keep all words.
+of one doc_id are the same document: the same start in both is no earlier one, so copies of a
+row all keep their words. A null id counts as the least. Texts shorter than a window keep all
+words; long texts are taken whole. An empty table gives no rows. Only doc_id and text are
+read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -37,17 +43,18 @@ from .tables import BLOBS, Gather, Table, buckets_for, firsts, shift_of, stored
 from .tokens import NULL_ID
 
 WINDOW, K = 20, 6
-#: Distinct runs of a prefix that one suffix tree takes.
+#: Distinct runs of a prefix, or windows of longer first words, that one suffix tree takes.
 GROUP = 1000
+#: First words by which windows of a common prefix are grouped (shares of a window).
+LONGER = (0.4, 0.7, 1.0)
 #: Windows in a run at most (a longer one is cut there).
 RUN = 32
 STEP = 1 << 20
-TOP = 20
 
 
 class Runs:
-    """Runs of windows of a block: row, first word in the text, windows, prefix, content, and
-    whether a prefix occurs in its run more than once."""
+    """Runs of windows of a block: row, first word in the text, windows, prefix, key and content
+    (two hashes of the prefix and all words), and whether a prefix occurs in its run more than once."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int, k: int):
         start, end, self.first = tx.spans(data, off, tx.WORD)
@@ -71,29 +78,23 @@ class Runs:
         head = np.flatnonzero(new)
         if len(head):  # cut long runs
             place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-            head = np.flatnonzero(place % RUN == 0)
+            head = np.flatnonzero(place % min(RUN, 2 * window) == 0)
         self.at = at[head]
         self.n = np.diff(np.append(head, len(at)))
-        self.prefix = prefix[head]
+        self.prefix = tx.mix(prefix[head])  # least hashes are small ones
         self.row = np.searchsorted(self.first, self.at, "right") - 1
         self.lo = self.at - self.first[self.row]
-        acc = tx.sums(tx.mix(self.words ^ np.uint64(0x94D049BB133111EB)), 1)
-        self.content = tx.span_hash(acc, self.at, self.at + self.n + window - 1, 1)
+        # At most three windows cover a run.
+        self.windows = [tx.gram_hashes(w, window) for w in (self.words, tx.word_hashes(data, start, end, 1))]
+        cover = [self.at, np.minimum(self.at + window, self.at + self.n - 1), self.at + self.n - 1]
+        self.key, self.content = (tx.pair(tx.pair(w[cover[0]], w[cover[1]]), tx.pair(w[cover[2]], self.n.astype(np.uint64))) for w in self.windows)
+        self.key = tx.pair(self.key, self.prefix)
         if len(head):
             leftmost, rightmost = np.minimum.reduceat(at + low[at], head), np.maximum.reduceat(at + high[at], head)
             self.twice = leftmost != rightmost
         else:
             self.twice = np.zeros(0, bool)
 
-    def keys(self) -> np.ndarray:
-        """Keys of (prefix, content), in the range of the prefix."""
-        return run_keys(self.prefix, self.content)
-
-
-def run_keys(prefix: np.ndarray, content: np.ndarray) -> np.ndarray:
-    low = np.uint64((1 << 64 - TOP) - 1)
-    return (prefix & ~low) | (tx.mix(prefix * np.uint64(0xD6E8FEB86659FD93) + content) & low)
-
 
 def earliest(keys: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The row of each key with the least (second, third) column: content, doc, lo, ..."""
@@ -109,22 +110,12 @@ def repeated(keys, cols):
     return keys[more], [c[more] for c in cols]
 
 
-def sized(keys, cols):
-    """(prefix; content, doc, lo, twice) to (run key; content, doc, lo, distinct runs of the prefix)."""
-    new = firsts(keys)
-    count = np.diff(np.append(new, len(keys))) + (np.maximum.reduceat(cols[3], new) if len(new) else 0)
-    size = np.repeat(count, np.diff(np.append(new, len(keys))))
-    key = run_keys(keys, cols[0].view(np.uint64))
-    order = np.argsort(key, kind="stable")
-    return key[order], [c[order] for c in (*cols[:3], size)]
-
-
 def either(keys, cols):
-    """Sorted distinct keys, and the union of their bits."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = firsts(keys)
-    return keys[new], [np.bitwise_or.reduceat(c[order], new) if len(new) else c for c in cols]
+    """Sorted distinct (key, content), and the union of their bits."""
+    order = np.lexsort((cols[0], keys))
+    keys, cols = keys[order], [c[order] for c in cols]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (cols[0][1:] != cols[0][:-1]))) if len(keys) else firsts(keys)
+    return keys[new], [cols[0][new], np.bitwise_or.reduceat(cols[1], new) if len(new) else cols[1]]
 
 
 def suffix_tree(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,15 +128,31 @@ def suffix_tree(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     return order, lcp, np.cumsum(lcp < depth) - 1
 
 
-def tree_repeats(words: np.ndarray, run: np.ndarray, j: np.ndarray, doc: np.ndarray, lo: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run key, bit of its window) of each suffix below a deep node that is not its earliest."""
+def tree_repeats(words: np.ndarray, j: np.ndarray, doc: np.ndarray, lo: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each suffix below a deep node that is not its earliest, bit of its window)."""
     order, _, node = suffix_tree(words, depth)
-    run, j, doc, lo = run[order], j[order], doc[order], lo[order]
-    rank = np.lexsort((lo, doc, node))
-    node, run, j, doc, lo = node[rank], run[rank], j[rank], doc[rank], lo[rank]
-    head = np.maximum.accumulate(np.where(np.append(True, node[1:] != node[:-1]), np.arange(len(node)), 0)) if len(node) else node
-    later = (doc != doc[head]) | (lo != lo[head])
-    return run[later], np.int64(1) << j[later]
+    rank = np.lexsort((lo[order], doc[order], node))
+    node, order = node[rank], order[rank]
+    head = order[np.maximum.accumulate(np.where(np.append(True, node[1:] != node[:-1]), np.arange(len(node)), 0))] if len(node) else order
+    later = order[(doc[order] != doc[head]) | (lo[order] != lo[head])]
+    return later, np.int64(1) << j[later]
+
+
+#: What a tree is built from, a row for each group of blobs: runs (or windows) with their words.
+SUFFIXES = (("run", "u8"), ("content", "i8"), ("doc", "i8"), ("lo", "i8"), ("j", "i8"), ("words", "u8"))
+SENT = "t int, bucket int, " + ", ".join(f"{name} binary" for name, _ in SUFFIXES)
+
+
+def sent(t: int, group: np.ndarray, shift: np.uint64, lengths: np.ndarray, cols: list[np.ndarray]):
+    """Rows of SENT: what each range of groups gets. cols end with the words, `lengths` of each entry."""
+    where = (group >> shift).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    cut, at, out = firsts(where[order]), np.cumsum(lengths) - lengths, []
+    for a, b in zip(cut, np.append(cut[1:], len(order)).astype(int)):
+        own = order[a:b]
+        out.append((t, int(where[own[0]]), *[c[own].tobytes() for c in cols[:-1]], cols[-1][tx.ranges(at[own], at[own] + lengths[own])].tobytes()))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), [pa.int32(), pa.int32(), *[pa.binary()] * len(SUFFIXES)])], names=[c.split()[0] for c in SENT.split(", ")])
 
 
 def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
@@ -156,6 +163,8 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = local_path(fresh(spark, "substrings"))
     parts, buckets = buckets_for(spark)
+    shift = shift_of(buckets)
+    lengths = sorted({max(k, round(x * window)) for x in LONGER})
 
     def each(batch):
         ids = batch.column(0).fill_null(NULL_ID).to_numpy()
@@ -163,85 +172,105 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
             r = Runs(data, off, window, k)
             yield lo, hi, data, r, ids[lo:hi][r.row]
 
-    def count(batches):
-        out = Gather(buckets, [1])
-        for b in batches:
-            for *_, r, _ in each(b):
-                out.add(0, r.prefix, [1 + r.twice.astype(np.int64)])
-                if out.full():
-                    yield from out.rows()
-        yield from out.rows()
+    def gathered(name: str, widths: list[int], visit, combine=None, done=None) -> list[Table]:
+        """The tables of one pass over the texts, in which visit adds each block's rows."""
+        more = (combine,) if combine else ()
+
+        def run(batches):
+            out = Gather(buckets, widths, *more)
+            for b in batches:
+                for *_, r, doc in each(b):
+                    visit(out, r, doc)
+                    if out.full():
+                        yield from out.rows()
+            yield from out.rows()
 
-    prefixes = Table(stored(docs.mapInArrow(count, BLOBS), [1], f"{folder}/prefixes", finish=repeated)[0], buckets, 1)
+        index = stored(docs.mapInArrow(run, BLOBS), widths, f"{folder}/{name}", *more, finish=done)
+        return [Table(x, parts, buckets, w) for x, w in zip(index, widths)]
 
-    def distinct(batches):
-        out = Gather(buckets, [4], earliest)
-        for b in batches:
-            for *_, r, doc in each(b):
-                some = prefixes.lookup(r.prefix)[0]
-                out.add(0, r.prefix[some], [r.content.view(np.int64)[some], doc[some], r.lo[some], r.twice[some]])
-                if out.full():
-                    yield from out.rows()
-        yield from out.rows()
+    prefixes = gathered("prefixes", [1], lambda out, r, _: out.add(0, r.prefix, [1 + r.twice.astype(np.int64)]), done=repeated)[0]
+
+    def first_places(out, r, doc):
+        some = prefixes.lookup(r.prefix)[0]
+        out.add(0, r.key[some], [r.content.view(np.int64)[some], doc[some], r.lo[some]])
 
-    runs = Table(stored(docs.mapInArrow(distinct, BLOBS), [4], f"{folder}/runs", earliest, sized)[0], buckets, 4)
+    runs = gathered("runs", [3], first_places, earliest)[0]
 
     def known(r, doc):
-        """Of each run: whether it is stored, is its first occurrence, and its prefix's distinct runs."""
-        there, (content, d, lo, size) = runs.lookup(r.keys(), np.int64)
+        """Of each run: whether it is stored, and whether this is its first occurrence."""
+        there, (content, d, lo) = runs.lookup(r.key, np.int64)
         there &= content == r.content.view(np.int64)
-        return there, there & (d == doc) & (lo == r.lo), size
+        return there, there & (d == doc) & (lo == r.lo)
 
-    deep = "t int, bucket int, run binary, doc binary, lo binary, n binary, words binary"
+    def distinct_runs(out, r, doc):
+        first = known(r, doc)[1]
+        out.add(0, r.prefix[first], [1 + r.twice[first].astype(np.int64)])
 
-    def suffixes(batches):
-        """Groups to build: t = 0, runs of a prefix with their words; t = 1, whole windows."""
-        shift = shift_of(buckets)
-
-        def send(t, where, cols, lengths):
-            order = np.argsort(where, kind="stable")
-            cut = firsts(where[order])
-            out = []
-            words = cols[-1]
-            at = np.cumsum(lengths) - lengths
-            for a, b in zip(cut, np.append(cut[1:], len(order)).astype(int)):
-                own = order[a:b]
-                out.append((t, int(where[own[0]]), *[c[own].tobytes() for c in cols[:-1]], words[tx.ranges(at[own], at[own] + lengths[own])].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), [pa.int32(), pa.int32(), *[pa.binary()] * 5])], names=[c.split()[0] for c in deep.split(", ")])
+    sizes = gathered("sizes", [1], distinct_runs, done=repeated)[0]
 
+    def first_runs(r, doc):
+        """Places of the runs to compare with others, and how many their prefix has."""
+        first = np.flatnonzero(known(r, doc)[1])
+        size = sizes.lookup(r.prefix[first], np.int64)[1][0]
+        return first[size > 1], size[size > 1]
+
+    def windows_of(r, some):
+        return tx.ranges(r.at[some], r.at[some] + r.n[some]), np.repeat(some, r.n[some])
+
+    def longer(r, place):
+        """Hashes of the first words of windows, for each of `lengths`."""
+        return [tx.gram_hashes(r.words, n)[place] if n < window else r.windows[0][place] for n in lengths]
+
+    def first_words(out, r, doc):
+        some, size = first_runs(r, doc)
+        for t, h in enumerate(longer(r, windows_of(r, some[size > group])[0])):
+            out.add(t, h, [np.ones(len(h), np.int64)])
+
+    grown = gathered("longer", [1] * len(lengths), first_words, done=repeated)
+
+    def suffixes(batches):
+        """Groups to build: t = 0, runs of a prefix; then windows by the first words they share."""
         for b in batches:
             for *_, r, doc in each(b):
-                _, first, size = known(r, doc)
-                for t, some in ((0, first & (size > 1) & (size <= group)), (1, first & (size > group))):
-                    if not some.any():
-                        continue
-                    at, n = r.at[some], r.n[some]
-                    if t == 0:
-                        length = n + window - 1
-                        yield from send(0, (r.prefix[some] >> shift).astype(np.int64), [r.keys()[some], doc[some], r.lo[some], n, r.words[tx.ranges(at, at + length)]], length)
-                    else:
-                        place, run = tx.ranges(at, at + n), np.repeat(np.flatnonzero(some), n)
-                        hashes = tx.gram_hashes(r.words, window)[place]
-                        yield from send(1, (hashes >> shift).astype(np.int64), [r.keys()[run], doc[run], place - r.first[r.row[run]], place - r.at[run], hashes], np.ones(len(place), np.int64))
+                some, size = first_runs(r, doc)
+                whole = some[size <= group]
+                if len(whole):
+                    n = r.n[whole] + window - 1
+                    cols = [r.key[whole], r.content.view(np.int64)[whole], doc[whole], r.lo[whole], r.n[whole], r.words[tx.ranges(r.at[whole], r.at[whole] + n)]]
+                    yield from sent(0, r.prefix[whole], shift, n, cols)
+                place, run = windows_of(r, some[size > group])
+                for t, (n, table) in enumerate(zip(lengths, grown), 1):
+                    if not len(place):
+                        break
+                    h = longer(r, place)[t - 1]
+                    count = table.lookup(h, np.int64)[1][0]
+                    now = (count > 1) & ((count <= group) | (n == window))
+                    if now.any():
+                        at, own = place[now], run[now]
+                        # A group of whole windows is a node: two hashes stand for its words.
+                        words = np.stack([w[at] for w in r.windows], 1) if n == window else r.words[at[:, None] + np.arange(window)]
+                        cols = [r.key[own], r.content.view(np.int64)[own], doc[own], at - r.first[r.row[own]], at - r.at[own], words.ravel()]
+                        yield from sent(t if n < window else len(lengths), h[now], shift, np.full(len(at), words.shape[1]), cols)
+                    rest = (count > group) & (n < window)
+                    place, run = place[rest], run[rest]
 
     def trees(batches):
-        out, held, key = Gather(buckets, [1], either), [], None
+        out, held, key = Gather(buckets, [2], either), [], None
 
         def done():
-            run, doc, lo, n, words = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.int64, np.uint64)))
-            if key[0] == 0:
-                length = n + window - 1
-                at = np.cumsum(length) - length
-                which = np.repeat(np.arange(len(n)), n)
-                j = tx.ranges(np.zeros_like(n), n)
-                matrix = words[(at[which] + j)[:, None] + np.arange(window)]
-                out.add(0, *keyed(tree_repeats(matrix, run[which], j, doc[which], lo[which] + j, window)))
-            else:
-                out.add(0, *keyed(tree_repeats(words[:, None], run, n, doc, lo, 1)))
+            run, content, doc, lo, j, words = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, (_, kind) in enumerate(SUFFIXES))
+            depth = window if key[0] < len(lengths) else 2
+            if key[0] == 0:  # runs of j windows: their suffixes
+                length = j + window - 1
+                at, which = np.cumsum(length) - length, np.repeat(np.arange(len(j)), j)
+                j = tx.ranges(np.zeros_like(j), j)
+                words = words[(at[which] + j)[:, None] + np.arange(window)]
+                run, content, doc, lo = run[which], content[which], doc[which], lo[which] + j
+            later, bits = tree_repeats(words.reshape(-1, depth), j, doc, lo, depth)
+            out.add(0, run[later], [content[later], bits])
 
         for b in batches:
-            for t, bucket, *cols in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for t, bucket, *cols in zip(*(b.column(i).to_pylist() for i in range(2 + len(SUFFIXES)))):
                 if held and key != (t, bucket):
                     done()
                     held = []
@@ -253,18 +282,17 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
             done()
         yield from out.rows()
 
-    keyed = lambda found: (found[0], [found[1]])
-    grown = docs.mapInArrow(suffixes, deep).repartition(parts, "bucket").sortWithinPartitions("t", "bucket").mapInArrow(trees, BLOBS)
-    marks = Table(stored(grown, [1], f"{folder}/marks", either)[0], buckets, 1)
+    built = docs.mapInArrow(suffixes, SENT).repartition(parts, "t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(trees, BLOBS)
+    marks = Table(stored(built, [2], f"{folder}/marks", either)[0], parts, buckets, 2)
 
     def cut(batches):
         for b in batches:
             for lo, hi, data, r, doc in each(b):
-                there, first, size = known(r, doc)
+                there, first = known(r, doc)
                 bits = np.where(there & ~first, np.int64(-1), 0)
-                some = first & (size > 1)
-                if some.any():
-                    bits[some] = marks.lookup(r.keys()[some], np.int64)[1][0]
+                if first.any():
+                    content, found = marks.lookup(r.key[first], np.int64)[1]
+                    bits[first] = np.where(content == r.content.view(np.int64)[first], found, 0)
                 window_at, run = tx.ranges(r.at, r.at + r.n), np.repeat(np.arange(len(r.n)), r.n)
                 gone = window_at[(bits[run] >> (window_at - r.at[run])) & 1 == 1]
                 size = len(r.words) + 1
