@@ -6,7 +6,11 @@ that bit's training accuracy, and takes the least. The score is the softmax of t
 negated losses; `ambiguous` marks texts whose two nearest codewords are close.
 
 Null texts and texts without a letter are `und` with score 0. With one language in
-training every other text gets it with score 1; with none, `und`. Rows are independent.
+training every other text gets it with score 1; with none, `und`. Between codewords that are
+equally near the first language by name is taken. Long texts are taken whole. Rows are
+predicted one by one, by their text alone; in training a row that repeats counts once (see
+samples.draw). An empty table gives an empty one. Columns of docs stay; one that has the name of
+a result is kept under that name and "_".
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import samples
 from . import text as tx
-from .shared import extended
+from .shared import extended, make_room, spare
 
-#: Training rows of all languages together at most (about; equal quotas, drawn by a hash of the id).
+#: Training rows of all languages together at most (equal quotas).
 SAMPLE = 6000
 BUCKETS = 4096
 
@@ -77,17 +82,14 @@ def shaped(counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, train: Column, quota: int = SAMPLE, steps: int = 120, text: str = "text", lang: str = "lang") -> dict:
     """Codewords, bit classifiers and bit weights, from the rows that `train` holds for.
 
-    Only counts by language and the n-gram counts of about `quota` rows reach the driver.
+    Only counts by language and the n-gram counts of at most `quota` rows reach the driver.
     """
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"), F.col(lang).alias("cls"))
+    picked, counts, _ = samples.draw(rows, quota)
     langs = sorted(counts)
     code = codewords(len(langs))
     if not code.shape[1]:
         return {"langs": langs, "code": code, "w": np.zeros((BUCKETS, 0), np.float32), "b": np.zeros(0), "weight": np.zeros(0)}
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, quota / len(langs) / counts[k]))])
-    unit = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 52) - 1)).cast("double") / float(1 << 52)
-    picked = rows.filter(unit < F.element_at(share, F.col("lang"))).select("text", "lang")
 
     def count(batches):
         for b in batches:
@@ -126,9 +128,11 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous."""
+    results = ["lang_pred", "score", "ambiguous"]
+    docs = make_room(docs, results, keep=text)
     fields = [f.name for f in docs.schema]
     at, langs = fields.index(text), model["langs"]
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias(spare(docs, "_letters"))
     schema = extended(docs, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches):
@@ -139,6 +143,6 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 k[lo:hi], score[lo:hi], vague[lo:hi] = decode(shaped(grams(data, off)) @ model["w"] + model["b"], model)
             some = batch.column(len(fields)).to_numpy(zero_copy_only=False) & bool(langs)
             names = np.array([*langs, "und"], object)[np.where(some, k, len(langs))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(vague & some)], names=[*fields, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(vague & some)], names=[*fields, *results])
 
     return docs.select("*", letters).mapInArrow(run, schema)
