@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into projections, without user functions.
 
-Null texts have no words. Counts are per row, so ties, repeated rows and other
-columns play no part; an empty table gives an empty table.
+Null and empty texts have no words; texts of any length are taken whole. Counts are per row, so
+ties and repeated rows play no part; an empty table gives an empty table. Columns of the table
+stay; one that is named like a result (`_q`, `kept`) is kept under that name and "_".
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import make_room, spare
+
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the four languages of the corpus.
@@ -37,15 +40,17 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     Repeated 3-word windows are found by sorting a text's 64-bit window hashes with their
     places: n log n in its length, never all pairs.
     """
+    df = make_room(df, ["_q"], keep=text)
+    kt, kw, ks, kl = (spare(df, c) for c in ("_t", "_w", "_s", "_l"))
     t = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.btrim(F.col("_t"), F.lit(WHITE))
+    trimmed = F.btrim(F.col(kt), F.lit(WHITE))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    window = lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
-    h = lambda j: F.get("_s", j)["h"]
+    lines = F.filter(F.split(F.col(kt), "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
+    window = lambda i: F.struct(F.xxhash64(F.get(kw, i), F.get(kw, i + 1), F.get(kw, i + 2)).alias("h"), i.alias("i"))
+    h = lambda j: F.get(ks, j)["h"]
     same = lambda j: (h(j) == h(j - 1)) | (h(j) == h(j + 1))
-    n = F.size("_w")
-    places = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size("_s") - 1), lambda j: F.when(same(j), F.get("_s", j)["i"])), lambda x: x.isNotNull()))
+    n = F.size(kw)
+    places = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size(ks) - 1), lambda j: F.when(same(j), F.get(ks, j)["i"])), lambda x: x.isNotNull()))
     covered = F.aggregate(
         places,
         F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")),
@@ -54,23 +59,23 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
     long = lambda c: c.cast("long")
     return (
-        df.withColumn("_t", t)
-        .withColumn("_w", words)
-        .withColumn("_s", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))))
-        .withColumn("_l", lines)
+        df.withColumn(kt, t)
+        .withColumn(kw, words)
+        .withColumn(ks, F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))))
+        .withColumn(kl, lines)
         .withColumn(
             "_q",
             F.struct(
                 long(n).alias("n_words"),
-                long(F.length(F.translate("_t", WHITE, ""))).alias("word_chars"),
-                long(F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
-                long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-                long(F.coalesce(F.when(F.size("_s") >= 2, covered), F.lit(0))).alias("n_repeat_words"),
-                long(F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS)))).alias("n_stop"),
-                long(F.size("_l")).alias("n_lines"),
+                long(F.length(F.translate(kt, WHITE, ""))).alias("word_chars"),
+                long(F.length(kt) - F.length(F.translate(kt, SYMBOLS, ""))).alias("n_symbols"),
+                long(F.size(kl) - F.size(F.array_distinct(kl))).alias("n_dup_lines"),
+                long(F.coalesce(F.when(F.size(ks) >= 2, covered), F.lit(0))).alias("n_repeat_words"),
+                long(F.size(F.filter(kw, lambda w: F.lower(w).isin(STOP_WORDS)))).alias("n_stop"),
+                long(F.size(kl)).alias("n_lines"),
             ),
         )
-        .drop("_t", "_w", "_s", "_l")
+        .drop(kt, kw, ks, kl)
     )
 
 
@@ -95,4 +100,4 @@ def verdict(rules=RULES) -> Column:
 
 def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """df with `_q` and `kept`: the counts of each text and whether it passes every rule."""
-    return measures(df, text).withColumn("kept", verdict(rules))
+    return measures(make_room(df, ["_q", "kept"], keep=text), text).withColumn("kept", verdict(rules))

@@ -11,6 +11,8 @@ elsewhere link, which is exact and needs no pairs. Components follow from the li
 
 Null, empty and blank texts have the fingerprint zero and link like any other. Rows with
 equal ids each keep their row; a null id is the component's id only if all its ids are null.
+Long texts are taken whole, 4096 shingles at a time. An empty table gives an empty one. Columns
+of docs stay; one that has the name of a result is kept under that name and "_".
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import extended, written
+from . import text as tx
+from .shared import extended, make_room, spare, written
 
 NEAR, BLOCKS, SHINGLE, SEED = 3, 6, 3, 42
 #: Largest group of one key that is searched within a task.
@@ -49,6 +52,7 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """docs with a 64-bit fingerprint (long, its sign being bit 63)."""
+    docs = make_room(docs, [name], keep=text)
     fields = [f.name for f in docs.schema]
     at = fields.index(text)
 
@@ -57,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataF
             fps = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*fields, name])
 
-    return docs.mapInArrow(run, extended(docs, f"{name} long"))
+    return docs.mapInArrow(run, extended(docs, f"`{name}` long"))
 
 
 def block_masks(blocks: int, near: int) -> list[int]:
@@ -74,7 +78,7 @@ def signed(x: int) -> int:
 def group_links(fps: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join the members of a group as all links of it would: a search from
     each member not yet found, over those not yet found."""
-    left, a, b = np.unique(fps), [], []
+    left, a, b = tx.uniq(fps), [], []
     while len(left) > 1:
         todo, left = [left[:1]], left[1:]
         while todo and len(left):
@@ -186,9 +190,10 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, mos
 
 def drop_near_duplicates(docs: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
     """One row of each component, that of the least doc_id; all columns stay."""
-    with_prints = written(fingerprints(docs, name="_fp"), "simhash-docs")
-    prints = with_prints.select("doc_id", F.col("_fp").alias("fp"))
-    kept = named(prints, near, blocks, most).filter("fp = kept_fp").select(F.col("fp").alias("_kept_fp"), F.col("component_id").alias("_id"))
+    own, fp, doc = spare(docs, "_fp"), spare(docs, "_kept_fp"), spare(docs, "_kept_id")
+    with_prints = written(fingerprints(docs, name=own), "simhash-docs")
+    prints = with_prints.select("doc_id", F.col(own).alias("fp"))
+    kept = named(prints, near, blocks, most).filter("fp = kept_fp").select(F.col("fp").alias(fp), F.col("component_id").alias(doc))
     # By id and fingerprint, so that no row of a large group meets its copies in one task.
-    rows = with_prints.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    rows = with_prints.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(fp)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).drop(own)
