@@ -93,12 +93,16 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
     folder = local_path(fresh(spark, "ngrams"))
     parts, buckets = buckets_for(spark)
     tables, index = {}, {}
+    # A word takes some four bytes. Bits of a key beyond those that tell all n-grams apart, and 31
+    # more, are not sent: a table's file does not keep them either.
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") / 4 + 1), F.lit(1.0))).first()[0]
+    drop = max(0, 33 - int(size).bit_length())
 
     def run(k: int, visit) -> None:
-        width, whole = follows(order, k), k == order
+        width, whole, less = follows(order, k), k == order, drop if k > 1 else 0
 
         def mapped(batches):
-            sums = Gather(buckets, [width], whole=whole)
+            sums = Gather(buckets, [width], whole=whole, drop=less)
             for b in batches:
                 for _, _, data, off in tx.blocks(b.column(0), STEP):
                     visit(sums, *sequence(data, off, min(order, k + 1)))
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
             yield from sums.rows()
 
         index[k] = stored(texts.mapInArrow(mapped, BLOBS), [width], f"{folder}/{k}", whole=whole, exact=k == 1)[0]
-        tables[k] = Table(index[k], parts, buckets, width)
+        tables[k] = Table(index[k], parts, buckets, width, less)
 
     def highest(sums, grams, _):
         sums.add(0, grams[-1], [np.ones(len(grams[-1]), np.int64)])

@@ -31,11 +31,11 @@ from . import text as tx
 
 BLOBS = "t int, bucket int, blob binary"
 #: Numbers that a task holds before it sends them on.
-HELD = 8_000_000
+HELD = 16_000_000
 #: Files that a worker keeps mapped.
 MAPS = 4096
 #: Keys for each entry of a file's offset table, about.
-NEAR = 6
+NEAR = 10
 
 Columns = list[np.ndarray]
 Combine = Callable[[np.ndarray, Columns], tuple[np.ndarray, Columns]]
@@ -74,9 +74,10 @@ def unplanes(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def blob(pack, keys: np.ndarray, cols: Columns) -> bytes:
-    """Sorted keys and their columns. A column of fractions with few values is sent as codes."""
-    head, out = [len(keys)], [planes(np.diff(keys, prepend=np.uint64(0)))]
+def blob(pack, keys: np.ndarray, cols: Columns, drop: int) -> bytes:
+    """Sorted keys, without their last `drop` bits, and their columns. A column of fractions with
+    few values is sent as codes."""
+    head, out = [len(keys), drop], [planes(np.diff(keys >> np.uint64(drop), prepend=np.uint64(0)))]
     for c in cols:
         few = tx.uniq(c) if c.dtype.kind == "f" else c[:0]
         coded = 0 < len(few) < min(1 << 16, len(c))
@@ -86,9 +87,9 @@ def blob(pack, keys: np.ndarray, cols: Columns) -> bytes:
 
 
 def unblob(unpack, raw: bytes, width: int, kind: str) -> tuple[np.ndarray, Columns]:
-    n, *few = struct.unpack_from(f"<{width + 1}I", raw)
-    data, at = unpack(raw[4 * (width + 1) :]), 8 * n
-    keys, cols = np.cumsum(unplanes(data[:at], "<u8"), dtype=np.uint64), []
+    n, drop, *few = struct.unpack_from(f"<{width + 2}I", raw)
+    data, at = unpack(raw[4 * (width + 2) :]), 8 * n
+    keys, cols = np.cumsum(unplanes(data[:at], "<u8"), dtype=np.uint64) << np.uint64(drop), []
     for k in few:
         if k:
             values = np.frombuffer(data, kind, k, at)
@@ -102,38 +103,53 @@ def unblob(unpack, raw: bytes, width: int, kind: str) -> tuple[np.ndarray, Colum
 
 
 class Gather:
-    """Rows of a task by table. widths: columns of each table; whole: integers, else fractions."""
+    """Rows of a task by table. widths: columns of each table; whole: integers, else fractions;
+    drop: last bits of keys that are left out."""
 
-    def __init__(self, buckets: int, widths: list[int], combine: Combine = summed, whole: bool = True):
-        self.shift, self.widths, self.combine = shift_of(buckets), widths, combine
+    def __init__(self, buckets: int, widths: list[int], combine: Combine = summed, whole: bool = True, drop: int = 0):
+        self.shift, self.widths, self.combine, self.drop = shift_of(buckets), widths, combine, np.uint64(drop)
         self.kind = np.int64 if whole else np.float64
         self.held, self.size = [[] for _ in widths], 0
 
     def add(self, table: int, keys: np.ndarray, cols: Columns) -> None:
-        got = self.combine(keys, [c.astype(self.kind, copy=False) for c in cols])
+        got = self.combine(keys >> self.drop << self.drop, [c.astype(self.kind, copy=False) for c in cols])
         self.held[table].append(got)
         self.size += len(got[0]) * (1 + self.widths[table])
 
+    def whole(self, held: list) -> tuple[np.ndarray, Columns]:
+        """All rows of a table, combined; what is held is let go, sums a column at a time."""
+        keys, parts = np.concatenate([k for k, _ in held]), [v for _, v in held]
+        held.clear()
+        if self.combine is not summed:
+            return self.combine(keys, [np.concatenate(c) for c in zip(*parts)])
+        order = np.argsort(keys)
+        keys, cols = keys[order], []
+        new = firsts(keys)
+        for i in range(len(parts[0]) if parts else 0):
+            one = np.concatenate([p[i] for p in parts])[order]
+            for p in parts:
+                p[i] = None
+            cols.append(np.add.reduceat(one, new) if len(new) else one)
+        return keys[new], cols
+
     def full(self) -> bool:
         """Whether rows() should be sent; equal keys are combined first."""
         if self.size > HELD:
             self.size = 0
             for t, held in enumerate(self.held):
                 if held:
-                    keys, cols = self.combine(np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*[v for _, v in held])])
-                    self.held[t] = [(keys, cols)]
-                    self.size += len(keys) * (1 + self.widths[t])
+                    self.held[t] = [self.whole(held)]
+                    self.size += len(self.held[t][0][0]) * (1 + self.widths[t])
         return self.size > 0.7 * HELD
 
     def rows(self):
         pack = zstandard.ZstdCompressor(level=1).compress
         for t, held in enumerate(self.held):
             if held:
-                keys, cols = self.combine(np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*[v for _, v in held])])
-                held.clear()
+                keys, cols = self.whole(held) if len(held) > 1 else held.pop()
                 which = (keys >> self.shift).astype(np.int64)
                 cut = firsts(which)
-                blobs = [blob(pack, keys[a:b], [v[a:b] for v in cols]) for a, b in zip(cut, np.append(cut[1:], len(keys)).astype(int))]
+                blobs = [blob(pack, keys[a:b], [v[a:b] for v in cols], int(self.drop)) for a, b in zip(cut, np.append(cut[1:], len(keys)).astype(int))]
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(blobs), pa.int32()), pa.array(which[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["t", "bucket", "blob"])
         self.held, self.size = [[] for _ in self.widths], 0
 
@@ -167,7 +183,7 @@ class File:
 
     def __init__(self, path: str, first: int, shift: int, width: int, exact: bool):
         self.path, self.first, self.shift, self.width, self.exact = path, first, shift, width, exact
-        self.n, self.next, self.bits, self.common = 0, first, None, None
+        self.n, self.next, self.bits, self.common, self.small = 0, first, None, None, True
         self.parts = {name: open(f"{path}.{name}.{os.getpid()}.tmp", "wb") for name in ("offsets", "keys", "codes", "at", "rest")}
 
     def add(self, bucket: int, keys: np.ndarray, cols: Columns) -> None:
@@ -188,6 +204,7 @@ class File:
             put("at", (self.n + odd).astype("<u4"))
             rows = rows[odd]
         put("rest", rows)
+        self.small &= not len(rows) or (0 <= int(rows.min(initial=0)) and int(rows.max(initial=0)) < 1 << 32)
         self.n, self.next = self.n + len(keys), bucket + 1
 
     def close(self) -> None:
@@ -196,15 +213,15 @@ class File:
         for f in self.parts.values():
             f.close()
             sizes.append(os.path.getsize(f.name))
-        head = struct.pack("<11q", self.first, self.next, self.shift, self.bits, self.width, self.exact, len(self.common), *sizes[:4])
+        head = struct.pack("<12q", self.first, self.next, self.shift, self.bits, self.width, self.exact, len(self.common), self.small, *sizes[:4])
         temp = f"{self.path}.{os.getpid()}.tmp"
         with open(temp, "wb") as out:
             out.write(head + self.common.tobytes())
-            for f in self.parts.values():
+            for name, f in self.parts.items():
                 out.write(b"\0" * (-out.tell() % 8))
                 with open(f.name, "rb") as part:
                     while chunk := part.read(1 << 22):
-                        out.write(chunk)
+                        out.write(np.frombuffer(chunk, "<i8").astype("<u4").tobytes() if name == "rest" and self.small else chunk)
                 os.remove(f.name)
         os.replace(temp, self.path)
 
@@ -235,10 +252,11 @@ class Mapped:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        self.first, self.next, self.shift, self.bits, self.width, self.exact, n, *sizes = struct.unpack("<11q", raw[:88].tobytes())
-        self.common, at = np.frombuffer(raw[88 : 88 + n * self.width * 8].tobytes(), "<i8").reshape(n, self.width), 88 + n * self.width * 8
+        self.first, self.next, self.shift, self.bits, self.width, self.exact, n, small, *sizes = struct.unpack("<12q", raw[:96].tobytes())
+        at = 96 + n * self.width * 8
+        self.common = np.frombuffer(raw[96:at].tobytes(), "<i8").reshape(n, self.width)
         out = []
-        for size, kind in zip([*sizes, None], ["<u4", "<u8" if self.exact else "<u4", "u1", "<u4", "<i8"]):
+        for size, kind in zip([*sizes, None], ["<u4", "<u8" if self.exact else "<u4", "u1", "<u4", "<u4" if small else "<i8"]):
             at += -at % 8
             out.append(raw[at : len(raw) if size is None else at + size].view(kind))
             at += size or 0
@@ -312,14 +330,16 @@ def stored(blobs: DataFrame, widths: list[int], folder: str, combine: Combine =
 
 
 class Table:
-    """Sorted arrays of one table, mapped into memory."""
+    """Sorted arrays of one table, mapped into memory. drop: as it was gathered."""
 
-    def __init__(self, index: list[dict], parts: int, buckets: int, width: int):
+    def __init__(self, index: list[dict], parts: int, buckets: int, width: int, drop: int = 0):
+        self.drop = np.uint64(drop)
         self.shift, self.parts, self.buckets, self.width = shift_of(buckets), parts, buckets, width
         self.files = {r["part"]: r["path"] for r in index}
 
     def lookup(self, keys: np.ndarray, kind=np.float64) -> tuple[np.ndarray, Columns]:
         """Whether each key is there, and its columns (0 where it is not)."""
+        keys = keys >> self.drop << self.drop
         order = np.argsort(keys)
         own = keys[order]
         new = firsts(own)
