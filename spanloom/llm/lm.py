@@ -40,6 +40,8 @@ from .tables import BLOBS, Gather, Table, buckets_for, stored
 
 ORDER = 3
 END, START = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x0F1E2D3C4B5A6978)
+#: Numbers that a task holds before it sends them on: few equal n-grams are then sent twice.
+GATHERED = 16_000_000
 #: Bytes of text that are taken at a time.
 STEP = 1 << 22
 
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> dict:
         width, whole, less = follows(order, k), k == order, drop if k > 1 else 0
 
         def mapped(batches):
-            sums = Gather(buckets, [width], whole=whole, drop=less)
+            sums = Gather(buckets, [width], whole=whole, drop=less, most=GATHERED)
             for b in batches:
                 for _, _, data, off in tx.blocks(b.column(0), STEP):
                     visit(sums, *sequence(data, off, min(order, k + 1)))

@@ -31,7 +31,7 @@ from . import text as tx
 
 BLOBS = "t int, bucket int, blob binary"
 #: Numbers that a task holds before it sends them on.
-HELD = 16_000_000
+HELD = 6_000_000
 #: Files that a worker keeps mapped.
 MAPS = 4096
 #: Keys for each entry of a file's offset table, about.
@@ -104,10 +104,10 @@ def unblob(unpack, raw: bytes, width: int, kind: str) -> tuple[np.ndarray, Colum
 
 class Gather:
     """Rows of a task by table. widths: columns of each table; whole: integers, else fractions;
-    drop: last bits of keys that are left out."""
+    drop: last bits of keys that are left out; most: numbers held before they are sent."""
 
-    def __init__(self, buckets: int, widths: list[int], combine: Combine = summed, whole: bool = True, drop: int = 0):
-        self.shift, self.widths, self.combine, self.drop = shift_of(buckets), widths, combine, np.uint64(drop)
+    def __init__(self, buckets: int, widths: list[int], combine: Combine = summed, whole: bool = True, drop: int = 0, most: int = HELD):
+        self.most, self.shift, self.widths, self.combine, self.drop = most, shift_of(buckets), widths, combine, np.uint64(drop)
         self.kind = np.int64 if whole else np.float64
         self.held, self.size = [[] for _ in widths], 0
 
@@ -134,13 +134,13 @@ class Gather:
 
     def full(self) -> bool:
         """Whether rows() should be sent; equal keys are combined first."""
-        if self.size > HELD:
+        if self.size > self.most:
             self.size = 0
             for t, held in enumerate(self.held):
                 if held:
                     self.held[t] = [self.whole(held)]
                     self.size += len(self.held[t][0][0]) * (1 + self.widths[t])
-        return self.size > 0.7 * HELD
+        return self.size > 0.7 * self.most
 
     def rows(self):
         pack = zstandard.ZstdCompressor(level=1).compress

@@ -23,7 +23,7 @@ import zstandard
 from . import text as tx
 
 #: Pieces that a worker keeps before it starts its cache anew.
-CACHE = 2_500_000
+CACHE = 1_000_000
 #: Ids in a frame before it is closed.
 FRAME_IDS = 1 << 16
 NULL_ID = -(1 << 63)
@@ -54,11 +54,11 @@ class Encoder:
         return kept[path, end]
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         # The bytes of the pieces, to tell those of one hash apart.
         self.raw, self.raw_used = np.zeros(1 << 18, np.uint8), 0
-        self.raw_at, self.raw_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.raw_at, self.raw_n = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces, ascending by key. Those that start with white space and end with a solid
@@ -117,7 +117,7 @@ class Encoder:
                 self.salt += 1  # two pieces of one hash: start anew with another
                 self.clear()
                 return self.block(data, off)
-            n = self.n[have]
+            n = self.n[have].astype(np.int64)
             ids = self.pool[tx.ranges(self.at[have], self.at[have] + n)]
             where = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, off)]
         else:
