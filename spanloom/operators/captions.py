@@ -9,47 +9,42 @@ from pyspark.sql import functions as F
 from ..config import Captions
 from ..functions.text import stripped
 from . import intervals as iv
+from .fold import folded
 from .intervals import KEY
 
 
 def placed(words: DataFrame, mapped: DataFrame, config: Captions = Captions(), unit: float = 1) -> DataFrame:
     """Words of which at least `visible` survives, in output time; one that would start before
-    the end of the one before yields to it. One ordered fold per media."""
+    the end of the one before yields to it."""
     seen = iv.kept_fraction(words, mapped).filter(F.col("fraction") >= config.visible)
     spans = iv.map_span(seen.select(KEY, "idx", "text", "start", "end"), mapped)
-    named = F.struct("idx", stripped(F.col("text")).alias("text"), (F.col("out_from").cast("double") + config.offset * unit).alias("a"), (F.col("out_to").cast("double") + config.offset * unit).alias("b"))
-    per = spans.groupBy(KEY).agg(F.array_sort(F.collect_list(named)).alias("w"))
-    kind = "array<struct<idx: bigint, text: string, start: double, end: double>>"
-    zero = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast(kind).alias("out"))
+    rows = spans.select(KEY, F.col("idx").cast("long").alias("idx"), stripped(F.col("text")).alias("text"), (F.col("out_from").cast("double") + config.offset * unit).alias("a"), (F.col("out_to").cast("double") + config.offset * unit).alias("b"))
     blink = 0.05 * unit
 
-    def step(acc: Column, w: Column) -> Column:
-        end = F.when(w["b"] <= w["a"], w["a"] + blink).otherwise(w["b"])
-        late = F.coalesce(w["a"] < acc["at"], F.lit(False))
-        start = F.when(late, acc["at"]).otherwise(w["a"])
-        end = F.when(late, F.greatest(end, start + blink)).otherwise(end)
-        row = F.struct(w["idx"].cast("bigint").alias("idx"), w["text"].alias("text"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(at, w):
+        start, end = w.a, w.b if w.b > w.a else w.a + blink
+        if at is not None and start < at:
+            start, end = at, max(end, at + blink)
+        return end, [(w.idx, w.text, start, end)]
 
-    return per.select(KEY, F.inline(F.aggregate("w", zero, step, lambda acc: acc["out"])))
+    return folded(rows, ["idx"], step, "idx long, text string, start double, end double")
 
 
 def lines(words: DataFrame, config: Captions = Captions(), unit: float = 1) -> DataFrame:
     """words with `line` (from 0): a line ends at . ! ?, at a gap, at its most words, or where the
-    next word would make it too long. One ordered fold per media."""
+    next word would make it too long."""
     nxt = W.partitionBy(KEY).orderBy("idx")
-    named = F.struct("idx", "text", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), (F.lead("start").over(nxt) - F.col("end")).cast("double").alias("gap"), F.length(F.lead("text").over(nxt)).alias("then"))
-    per = words.withColumn("_w", named).groupBy(KEY).agg(F.array_sort(F.collect_list("_w")).alias("w"))
-    kind = "array<struct<idx: bigint, text: string, start: double, end: double, line: int>>"
-    zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit(0).alias("len"), F.array().cast(kind).alias("out"))
+    gap, then = F.lead("start").over(nxt) - F.col("end"), F.length(F.lead("text").over(nxt))
+    rows = words.select(KEY, F.col("idx").cast("long").alias("idx"), "text", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), gap.cast("double").alias("gap"), then.alias("then"))
 
-    def step(acc: Column, w: Column) -> Column:
-        n, length = acc["n"] + 1, acc["len"] + F.length(w["text"]) + F.when(acc["n"] > 0, 1).otherwise(0)
-        full = w["text"].rlike("[.!?]$") | F.coalesce((w["gap"] >= config.line_gap * unit) | (n >= config.max_words) | (length + 1 + w["then"] > config.max_chars), F.lit(False))
-        row = F.struct(w["idx"].cast("bigint").alias("idx"), w["text"].alias("text"), w["start"].alias("start"), w["end"].alias("end"), acc["line"].alias("line"))
-        return F.struct((acc["line"] + full.cast("int")).alias("line"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, 0).otherwise(length).alias("len"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(state, w):
+        line, n, length = state or (0, 0, 0)
+        length += len(w.text) + (n > 0)
+        n += 1
+        full = w.text[-1:] in (".", "!", "?") or w.gap is not None and (w.gap >= config.line_gap * unit or n >= config.max_words or length + 1 + w.then > config.max_chars)
+        return (line + 1, 0, 0) if full else (line, n, length), [(w.idx, w.text, w.start, w.end, line)]
 
-    return per.select(KEY, F.inline(F.aggregate("w", zero, step, lambda acc: acc["out"])))
+    return folded(rows, ["idx"], step, "idx long, text string, start double, end double, line int")
 
 
 def states(lined: DataFrame, config: Captions = Captions(), unit: float = 1) -> DataFrame:
@@ -57,23 +52,22 @@ def states(lined: DataFrame, config: Captions = Captions(), unit: float = 1) ->
     to the next word of its line, popped first; a blank fills what lies before a line."""
     in_line = W.partitionBy(KEY, "line").orderBy("idx")
     w = lined.withColumn("_slot", F.greatest(F.coalesce(F.lead("start").over(in_line), F.col("end")), F.col("start") + 0.04 * unit)).withColumn("_head", F.lag("idx").over(in_line).isNull())
-    per = w.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "line", F.col("start").cast("double").alias("start"), F.col("_slot").cast("double").alias("slot"), F.col("_head").alias("head")))).alias("w"))
-    kind = "array<struct<line: int, idx: bigint, popped: boolean, duration: double>>"
-    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(kind).alias("out"))
-    none = F.array().cast(kind)
-    state = lambda line, idx, popped, d: F.array(F.struct(line.cast("int").alias("line"), idx.cast("bigint").alias("idx"), F.lit(popped).alias("popped"), d.alias("duration")))
-
-    def step(acc: Column, x: Column) -> Column:
-        blank = x["head"] & (x["start"] > acc["at"] + 0.01 * unit)
-        at = F.when(blank, x["start"]).otherwise(acc["at"])
-        lead = F.when(blank, state(x["line"], F.lit(None), False, x["start"] - acc["at"])).otherwise(none)
-        d = x["slot"] - at
-        pop = F.least(F.lit(config.pop * unit), d / 2) if config.pop else F.lit(0.0)
-        shown = lambda popped, length: F.when((d > 0) & (length > 0.001 * unit), state(x["line"], x["idx"], popped, length)).otherwise(none)
-        return F.struct(F.when(d > 0, x["slot"]).otherwise(at).alias("at"), F.concat(acc["out"], lead, shown(True, pop), shown(False, d - pop)).alias("out"))
-
-    folded = per.select(KEY, F.posexplode(F.aggregate("w", zero, step, lambda acc: acc["out"])).alias("n", "s"))
-    return folded.select(KEY, "n", "s.*")
+    rows = w.select(KEY, F.col("idx").cast("long").alias("idx"), F.col("line").cast("int").alias("line"), F.col("start").cast("double").alias("start"), F.col("_slot").cast("double").alias("slot"), F.col("_head").alias("head"))
+
+    def step(state, x):
+        at, n = state or (0.0, 0)
+        shown = []
+        if x.head and x.start > at + 0.01 * unit:
+            shown.append((x.line, None, False, x.start - at))
+            at = x.start
+        d = x.slot - at
+        if d > 0:
+            pop = min(config.pop * unit, d / 2) if config.pop else 0.0
+            shown += [(x.line, x.idx, popped, length) for popped, length in ((True, pop), (False, d - pop)) if length > 0.001 * unit]
+            at = x.slot
+        return (at, n + len(shown)), [(n + k, *s) for k, s in enumerate(shown)]
+
+    return folded(rows, ["idx"], step, "n int, line int, idx long, popped boolean, duration double")
 
 
 def listing(shown: DataFrame, unit: float = 1) -> DataFrame:

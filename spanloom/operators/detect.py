@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, Fillers, Retakes, Silence
 from ..functions.text import content_words, ends_sentence, grouped, normalized, stripped
+from .fold import folded, greatest, least
 from .intervals import KEY
 
 def by_idx():
@@ -24,20 +25,20 @@ def by_idx():
 
 def clean_words(words: DataFrame, media: DataFrame, unit: float = 1) -> DataFrame:
     """Words that have a token, made to follow each other: a start is at least the end before it,
-    both lie in the media, and a word without length gets 0.02 s. One ordered fold per media."""
-    named = F.struct("idx", stripped(F.col("text")).alias("text"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    sequences = words.filter(normalized(F.col("text")) != "").groupBy(KEY).agg(F.array_sort(F.collect_list(named)).alias("w")).join(media.select(KEY, F.col("duration").cast("double").alias("duration")), KEY)
-    kind = "array<struct<idx: bigint, text: string, start: double, end: double>>"
-    zero = F.struct(F.lit(0.0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        start = F.least(F.greatest(w["start"], acc["at"]), F.col("duration"))
-        end = F.least(F.greatest(w["end"], F.greatest(w["start"], acc["at"])), F.col("duration"))
-        end = F.when(end <= start, start + 0.02 * unit).otherwise(end)
-        row = F.struct(w["idx"].cast("bigint").alias("idx"), w["text"].alias("text"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return sequences.select(KEY, F.inline(F.aggregate("w", zero, step, lambda acc: acc["out"])))
+    both lie in the media, and a word without length gets 0.02 s. Further columns stay."""
+    rest = [f for f in words.schema if f.name not in (KEY, "idx", "text", "start", "end")]
+    spoken = words.filter(normalized(F.col("text")) != "").select(KEY, F.col("idx").cast("long").alias("idx"), stripped(F.col("text")).alias("text"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), *[f.name for f in rest])
+    rows = spoken.join(media.select(KEY, F.col("duration").cast("double").alias("duration")), KEY)
+
+    def step(at, w):
+        floor = greatest(w.start, at or 0.0)
+        start, end = least(floor, w.duration), least(greatest(w.end, floor), w.duration)
+        if end <= start:
+            end = start + 0.02 * unit
+        return end, [(w.idx, w.text, start, end, *w[5 : 5 + len(rest)])]
+
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return folded(rows, ["idx"], step, f"idx long, text string, start double, end double{more}")
 
 
 def gaps(words: DataFrame, media: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .fold import folded
 from .intervals import KEY
 
 
@@ -177,17 +178,14 @@ def trimmed(words: DataFrame, silent: DataFrame, frame: float, longest: float, l
 
 def snapped_boundaries(times: DataFrame, signal: DataFrame, frame: float, radius: float = 0.06) -> DataFrame:
     """Times (idx, t) of a media moved to the quietest frame near each, in order; one that would
-    fall before the one before it, as moved, stays where it was. One ordered fold per media."""
+    fall before the one before it, as moved, stays where it was."""
     near = times.join(signal, KEY).withColumn("_n", quietest_time_near(F.col("t"), F.col("db"), frame, radius))
-    per = near.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("t", "idx", F.col("_n").alias("n")))).alias("w"))
-    kind = "array<struct<idx: bigint, t: double>>"
-    zero = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, w: Column) -> Column:
-        t = F.when(F.coalesce(w["n"] < acc["at"], F.lit(False)), w["t"]).otherwise(w["n"])
-        return F.struct(t.alias("at"), F.concat(acc["out"], F.array(F.struct(w["idx"].cast("bigint").alias("idx"), t.alias("t")))).alias("out"))
+    def step(at, w):
+        t = w.t if at is not None and w.n is not None and w.n < at else w.n
+        return t, [(w.idx, t)]
 
-    return per.select(KEY, F.inline(F.aggregate("w", zero, step, lambda acc: acc["out"])))
+    return folded(near.select(KEY, F.col("idx").cast("long").alias("idx"), F.col("t").cast("double").alias("t"), F.col("_n").cast("double").alias("n")), ["t", "idx"], step, "idx long, t double")
 
 
 # --- tracks ----------------------------------------------------------------------------
@@ -216,20 +214,15 @@ def largest(boxes: DataFrame) -> DataFrame:
 
 
 def smoothed(track: DataFrame, dead_zone: float = 0.06, factor: float = 0.12) -> DataFrame:
-    """x and y move toward each sample only when it is outside the dead zone; one ordered fold
-    in the JVM for each media."""
-    points = F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
-    first = F.get("p", F.lit(0))
-    kind = "array<struct<i: bigint, x: double, y: double>>"
-    zero = F.struct(first["x"].alias("x"), first["y"].alias("y"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        moved = lambda c: F.when(F.abs(p[c] - acc[c]) > dead_zone, acc[c] + (p[c] - acc[c]) * factor).otherwise(acc[c])
-        x, y = moved("x"), moved("y")
-        return F.struct(x.alias("x"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(p["i"].cast("bigint").alias("i"), x.alias("x"), y.alias("y")))).alias("out"))
-
-    folded = track.groupBy(KEY).agg(points.alias("p")).select(KEY, F.aggregate("p", zero, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(KEY, F.inline("out"))
+    """x and y move toward each sample only when it is outside the dead zone."""
+    points = track.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    move = lambda at, to: at + (to - at) * factor if abs(to - at) > dead_zone else at
+
+    def step(at, p):
+        at = (move(at[0], p.x), move(at[1], p.y)) if at else (p.x, p.y)
+        return at, [(p.i, *at)]
+
+    return folded(points, ["i"], step, "i long, x double, y double")
 
 
 def simplified(track: DataFrame, tolerance: float = 0.004, limit: int = 48) -> DataFrame:

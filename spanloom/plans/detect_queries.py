@@ -128,7 +128,10 @@ def retake_proposals(spark, sf_dir):
     return dt.validated(p, w, Retakes(pause=0.06, overlap=2.0), MS).select("media_id", F.col("start").alias("s"), F.col("end").alias("e"), "confidence")
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, {MEDIA}, n AS (SELECT w.media_id, idx, text, CAST(s - (idx % 5) * 90 AS DOUBLE) AS s, CAST(e + (idx % 3) * 70 AS DOUBLE) AS e, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY w.media_id ORDER BY idx) AS k FROM words w JOIN media USING (media_id) WHERE token <> ''),
+f AS (SELECT media_id, idx, text, k, least(greatest(s, 0), d) AS s, CASE WHEN least(greatest(e, s, 0), d) <= least(greatest(s, 0), d) THEN least(greatest(s, 0), d) + 20 ELSE least(greatest(e, s, 0), d) END AS e FROM n WHERE k = 1
+  UNION ALL SELECT n.media_id, n.idx, n.text, n.k, least(greatest(n.s, f.e), n.d), CASE WHEN least(greatest(n.e, n.s, f.e), n.d) <= least(greatest(n.s, f.e), n.d) THEN least(greatest(n.s, f.e), n.d) + 20 ELSE least(greatest(n.e, n.s, f.e), n.d) END FROM f JOIN n ON n.media_id = f.media_id AND n.k = f.k + 1)
+SELECT media_id, idx, text, s, e FROM f""")
 def clean_words(spark, sf_dir):
     w = _words(spark, sf_dir)
     blurred = w.withColumn("start", F.col("start") - (F.col("idx") % 5) * 90).withColumn("end", F.col("end") + (F.col("idx") % 3) * 70)

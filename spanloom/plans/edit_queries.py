@@ -86,10 +86,26 @@ def _captions(spark, sf_dir):
     return cp.placed(w.select("media_id", "idx", "text", "start", "end"), iv.time_map(kept), Captions(), MS)
 
 
-@query(f"""WITH {WORDS}, {MEDIA}, {CUT}, asked AS (SELECT * FROM cut), {PIECES}, m AS (SELECT media_id, s, e, sum(e - s) OVER w - (e - s) AS o FROM pieces WHERE reason IS NULL AND e > s WINDOW w AS (PARTITION BY media_id ORDER BY s)),
+SHOWN = f"""{MEDIA}, {CUT}, asked AS (SELECT * FROM cut), {PIECES}, m AS (SELECT media_id, s, e, sum(e - s) OVER w - (e - s) AS o FROM pieces WHERE reason IS NULL AND e > s WINDOW w AS (PARTITION BY media_id ORDER BY s)),
 p AS (SELECT w.media_id, w.idx, w.text, greatest(w.s, m.s) - m.s + m.o AS a, least(w.e, m.e) - m.s + m.o AS b, row_number() OVER (PARTITION BY w.media_id, w.idx ORDER BY least(w.e, m.e) - greatest(w.s, m.s) DESC, m.s) AS rn, sum(least(w.e, m.e) - greatest(w.s, m.s)) OVER (PARTITION BY w.media_id, w.idx) AS c, w.e - w.s AS d
-  FROM words w JOIN m ON m.media_id = w.media_id AND least(w.e, m.e) > greatest(w.s, m.s))
-SELECT media_id, idx, text, CAST(a AS DOUBLE) AS s, CAST(b AS DOUBLE) AS e FROM p WHERE rn = 1 AND c >= 0.5 * d""")
+  FROM words w JOIN m ON m.media_id = w.media_id AND least(w.e, m.e) > greatest(w.s, m.s)),
+shown AS (SELECT media_id, idx, text, CAST(a AS DOUBLE) AS s, CAST(b AS DOUBLE) AS e FROM p WHERE rn = 1 AND c >= 0.5 * d)"""
+POP = Captions().pop * MS
+STATES = f"""{SHOWN}, n AS (SELECT media_id, idx, text, s, e, row_number() OVER o AS k, lead(s) OVER o - e AS gap, length(lead(text) OVER o) AS nx FROM shown WINDOW o AS (PARTITION BY media_id ORDER BY idx)),
+f AS (SELECT media_id, k, 0 AS line, 1 AS cnt, length(text) AS len, (regexp_matches(text, '[.!?]$') OR coalesce(gap >= 400 OR length(text) + 1 + nx > 22, false)) AS full FROM n WHERE k = 1
+  UNION ALL SELECT n.media_id, n.k, f.line + CAST(f.full AS INTEGER), CASE WHEN f.full THEN 1 ELSE f.cnt + 1 END, CASE WHEN f.full THEN length(n.text) ELSE f.len + 1 + length(n.text) END,
+    regexp_matches(n.text, '[.!?]$') OR coalesce(n.gap >= 400 OR CASE WHEN f.full THEN 1 ELSE f.cnt + 1 END >= 4 OR CASE WHEN f.full THEN length(n.text) ELSE f.len + 1 + length(n.text) END + 1 + n.nx > 22, false) FROM f JOIN n ON n.media_id = f.media_id AND n.k = f.k + 1),
+slots AS (SELECT n.media_id, n.k, n.idx, f.line, n.s, greatest(coalesce(lead(n.s) OVER l, n.e), n.s + 40) AS slot, lag(n.idx) OVER l IS NULL AS head FROM n JOIN f USING (media_id, k) WINDOW l AS (PARTITION BY n.media_id, f.line ORDER BY n.idx)),
+g AS (SELECT media_id, k, idx, line, s, slot, 0.0::DOUBLE AS before, head AND s > 10 AS blank FROM slots WHERE k = 1
+  UNION ALL SELECT x.media_id, x.k, x.idx, x.line, x.s, x.slot, greatest(g.slot, CASE WHEN g.blank THEN g.s ELSE g.before END), x.head AND x.s > greatest(g.slot, CASE WHEN g.blank THEN g.s ELSE g.before END) + 10 FROM g JOIN slots x ON x.media_id = g.media_id AND x.k = g.k + 1),
+d AS (SELECT *, slot - CASE WHEN blank THEN s ELSE before END AS d FROM g),
+made AS (SELECT media_id, k, 0 AS j, line, NULL AS idx, false AS popped, s - before AS duration FROM d WHERE blank
+  UNION ALL SELECT media_id, k, 1, line, idx, true, least({POP}::DOUBLE, d / 2) FROM d WHERE d > 0 AND least({POP}::DOUBLE, d / 2) > 1
+  UNION ALL SELECT media_id, k, 2, line, idx, false, d - least({POP}::DOUBLE, d / 2) FROM d WHERE d > 0 AND d - least({POP}::DOUBLE, d / 2) > 1),
+states AS (SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY k, j) - 1 AS INTEGER) AS n, CAST(line AS INTEGER) AS line, CAST(idx AS BIGINT) AS idx, popped, duration FROM made)"""
+
+
+@query(f"WITH {WORDS}, {SHOWN} SELECT * FROM shown")
 def caption_words(spark, sf_dir):
     return _captions(spark, sf_dir).withColumnsRenamed(NAMES)
 
@@ -103,12 +119,13 @@ def caption_lines(spark, sf_dir):
     return cp.lines(src.conversation_words(spark, sf_dir), Captions(), MS).select("media_id", "idx", "line")
 
 
-@query()
+@query(f"WITH RECURSIVE {WORDS}, {STATES} SELECT * FROM states")
 def caption_states(spark, sf_dir):
     return cp.states(cp.lines(_captions(spark, sf_dir), Captions(), MS), Captions(), MS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, {STATES}, named AS (SELECT *, CASE WHEN idx IS NULL THEN 'blank.png' ELSE printf('%05d.png', row_number() OVER (PARTITION BY media_id, idx IS NULL ORDER BY n) - 1) END AS file FROM states)
+SELECT media_id, string_agg(concat('file ', chr(39), file, chr(39), chr(10), 'duration ', printf('%.4f', duration / 1000), chr(10)), '' ORDER BY n) || concat('file ', chr(39), arg_max(file, n), chr(39), chr(10)) AS listing FROM named GROUP BY media_id""")
 def caption_listing(spark, sf_dir):
     return cp.listing(cp.states(cp.lines(_captions(spark, sf_dir), Captions(), MS), Captions(), MS), MS)
 

@@ -53,7 +53,7 @@ def interval_drop_glitches(spark, sf_dir):
     return iv.drop_glitches(iv.invert(spans, media), words, 2, 6, 1).withColumnsRenamed(NAMES)
 
 
-@query(f"""WITH {SPANS}, ranked AS (SELECT *, CASE reason WHEN 'retake' THEN 1 WHEN 'ngram_repeat' THEN 2 WHEN 'filler' THEN 3 ELSE 4 END AS r FROM spans),
+@query(f"""WITH {SPANS.replace("spans AS (", "spans AS MATERIALIZED (", 1)}, ranked AS (SELECT *, CASE reason WHEN 'retake' THEN 1 WHEN 'ngram_repeat' THEN 2 WHEN 'filler' THEN 3 ELSE 4 END AS r FROM spans),
 tried AS (SELECT * FROM ranked, (SELECT unnest([0, 1, 2, 3]) AS level) WHERE r > level),
 own AS (SELECT media_id, level, s, e, idx, max(e) OVER (PARTITION BY media_id, level ORDER BY s, e, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM tried),
 total AS (SELECT media_id, level, sum(greatest(e - greatest(s, coalesce(p, s)), 0)) AS t FROM own GROUP BY ALL),
