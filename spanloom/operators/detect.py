@@ -178,7 +178,8 @@ def superseded(spans: DataFrame, words: DataFrame, config: Retakes = Retakes(),
     tokens = words.select(KEY, "idx", normalized(F.col("text")).alias("t"), "start", "end")
     numbered = spans.select(KEY, "first", "last").distinct()
     ends = numbered.join(tokens.select(KEY, F.col("idx").alias("last"), F.col("end").alias("_end")), [KEY, "last"])
-    own = numbered.join(tokens, KEY).filter("idx between first and last").groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_o"))
+    places = numbered.withColumn("idx", F.explode(F.sequence("first", "last")))
+    own = places.join(tokens, [KEY, "idx"]).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_o"))
     after = ends.join(tokens, KEY).filter((F.col("idx") > F.col("last")) & (F.col("start") <= F.col("_end") + config.window * unit)).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_a"))
     both = own.join(after, [KEY, "first", "last"], "left")
     texts = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<idx: bigint, t: string>>")), lambda x: x["t"])

@@ -84,7 +84,7 @@ def decisions(merged: DataFrame, media: DataFrame, words: DataFrame, preset: Pre
     """(media_id, start, end, reason, confidence, detail): the removals that are applied, and the
     kept segments, with a null reason. What is left of a media is kept if it holds a whole word or
     is long; a media of which nothing would be left stays whole, without removals."""
-    left = iv.drop_glitches(iv.invert(_numbered(merged), media), words, preset.min_segment, preset.wordless, 0.01).select(KEY, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    left = iv.drop_glitches(iv.invert(_numbered(merged), media), words, preset.min_segment, preset.wordless, 0.01, edl.BUCKET).select(KEY, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     left = settled(left)
     some = left.select(KEY).distinct()
     whole = media.join(some, KEY, "left_anti").select(KEY, F.lit(0.0).alias("start"), F.col("duration").cast("double").alias("end"))
@@ -100,7 +100,7 @@ def proposed(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signa
     return decisions(merged, media, spoken, preset, signal)
 
 
-def reviewed(removals: DataFrame, media: DataFrame, words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, bucket: float = 10.0) -> DataFrame:
+def reviewed(removals: DataFrame, media: DataFrame, words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, bucket: float = edl.BUCKET) -> DataFrame:
     """The parts of a timeline that a person ticks (see edl.parts)."""
     known = None if signal is None else edl.levelled(signal)
     return settled(edl.parts(settled(_numbered(removals)), media, words, preset.review_min_pause, preset.part_pause, bucket, known, FRAME, preset.relax))

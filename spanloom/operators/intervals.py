@@ -64,18 +64,15 @@ def covered(removals: DataFrame) -> DataFrame:
     return removals.withColumn("_own", own).groupBy(KEY).agg(F.sum("_own").alias("covered"))
 
 
-def drop_glitches(segments: DataFrame, words: DataFrame | None, least, wordless, slack=0) -> DataFrame:
+def drop_glitches(segments: DataFrame, words: DataFrame | None, least, wordless, slack=0, bucket=None) -> DataFrame:
     """Segments of at least `least`; given words, also with a whole word (give or take slack)
-    or of at least `wordless`."""
+    or of at least `wordless`. bucket: see contained."""
     length = F.col("end") - F.col("start")
     long = segments.filter(length >= least)
     if words is None:
         return long
-    s, w = long.alias("s"), words.select(KEY, "start", "end").alias("w")
-    inside = (F.col(f"s.{KEY}") == F.col(f"w.{KEY}")) & (F.col("w.start") >= F.col("s.start") - slack) & (F.col("w.end") <= F.col("s.end") + slack)
-    worded = s.join(w, inside, "left_semi")
-    bare = s.join(w, inside, "left_anti").filter(F.col("end") - F.col("start") >= wordless)
-    return worded.unionByName(bare)
+    worded = contained(words.select(KEY, "start", "end"), long.select(KEY, "start", "end"), slack, bucket).select(KEY, F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.lit(True).alias("_held")).distinct()
+    return long.join(worded, [KEY, "start", "end"], "left").filter(F.coalesce("_held", length >= wordless)).select(*segments.columns)
 
 
 SACRIFICED = ("retake", "ngram_repeat", "filler")

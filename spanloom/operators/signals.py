@@ -146,8 +146,9 @@ def speech_onset(start: Column, limit: Column, probs: Column, frame: float, thre
     return F.when((F.size(probs) > 0) & (F.size(voiced) > 0), F.array_min(voiced) * F.lit(frame))
 
 
-def speech_run_end(start: Column, probs: Column, frame: float, threshold: float, bridge: float = 0.15) -> Column:
-    """End of the voiced run at start, over dips of fewer than round(bridge / frame) frames."""
+def speech_run_end(start: Column, probs: Column, frame: float, threshold: float, bridge: float = 0.15, until: Column | None = None) -> Column:
+    """End of the voiced run at start, over dips of fewer than round(bridge / frame) frames. Given
+    `until`, frames are read until a run that goes on there is known to: ends past it are not exact."""
     tolerance = max(round(bridge / frame), 1)
     here = index(start, frame, probs)
     zero = F.struct(here.alias("last"), F.lit(False).alias("over"))
@@ -156,7 +157,8 @@ def speech_run_end(start: Column, probs: Column, frame: float, threshold: float,
         voiced, out = F.get(probs, i) >= threshold, i - acc["last"] >= tolerance
         return F.struct(F.when(~acc["over"] & voiced, i).otherwise(acc["last"]).alias("last"), (acc["over"] | (~voiced & out)).alias("over"))
 
-    end = F.aggregate(_steps(here, F.size(probs) - 1), zero, step, lambda acc: (acc["last"] + 1) * F.lit(frame))
+    top = F.size(probs) - 1 if until is None else F.least(index(until, frame, probs) + tolerance + 1, F.size(probs) - 1)
+    end = F.aggregate(_steps(here, top), zero, step, lambda acc: (acc["last"] + 1) * F.lit(frame))
     return F.when((F.size(probs) > 0) & (F.get(probs, here) >= threshold), end)
 
 

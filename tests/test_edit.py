@@ -324,3 +324,91 @@ def test_reframing_is_one_filter_text(spark):
     )
     assert got[2]["filter"].startswith("scale=1080:1920") and "zoompan" not in got[2]["filter"] and "(0.5)*1080" in got[2]["filter"]
     assert sg.piecewise_expression(zooms.select("media_id", F.col("start").alias("t"), F.col("zoom").alias("v")), True).filter("media_id = 2").first()["expression"] == "1.00000"
+
+
+def test_dense_removals_and_segments_follow_the_model_in_order(spark):
+    """Spans that lie within a few frames of each other, so that moves depend on the one before."""
+    rng, cases_ = random.Random(11), {}
+    for m in range(80):
+        t, spans = round(rng.random() / 5, 2), []
+        for _ in range(rng.randrange(1, 25)):
+            n = rng.choice([0.03, 0.06, 0.1, 0.4])
+            spans.append([round(t, 2), round(t + n, 2)])
+            t += n + rng.choice([0.01, 0.02, 0.05, 0.3])
+        words, t = [], 0.0
+        while t < spans[-1][1]:
+            n = rng.choice([0.02, 0.05, 0.2])
+            words.append((len(words), rng.choice(["on", "done."]), round(t, 2), round(t + n, 2), 0.9))
+            t += n + rng.choice([0.0, 0.02, 0.1])
+        db = [rng.choice([-60.0, -60.0, -20.0, -42.0]) + rng.random() for _ in range(int(spans[-1][1] / FR) + 9)]
+        cases_[m] = (spans, words, db)
+    words = spark.createDataFrame([(m, *w) for m, (_, ws, _) in cases_.items() for w in ws], WORDS)
+    signal = edl.levelled(spark.createDataFrame([(m, db) for m, (_, _, db) in cases_.items()], SIGNAL))
+    spans = spark.createDataFrame([(m, *s, "x") for m, (ss, _, _) in cases_.items() for s in ss], "media_id long, start double, end double, reason string")
+    both = spans.crossJoin(spark.createDataFrame([(0,), (1,)], "level int"))
+    got, aired = {}, {}
+    for r in edl.snapped(both, words, signal, FR, DEFAULT.relax).collect():
+        got.setdefault((r["media_id"], r["level"]), []).append((r["start"], r["end"], r["reason"]))
+    for r in edl.breathed(spans.drop("reason"), words, signal, FR).collect():
+        aired.setdefault(r["media_id"], []).append((r["start"], r["end"]))
+    for m, (ss, ws, db) in cases_.items():
+        want = near(model_snap([[*s, "x"] for s in ss], ws, db))
+        assert near(got[m, 0]) == want and near(got[m, 1]) == want, m
+        assert near(aired[m]) == near(model_breath([list(s) for s in ss], ws, db)), m
+
+
+def model_breath(kept, words, db):
+    _, sure = model_levels(db)
+    for now, then in zip(kept, kept[1:]):
+        own, ahead = ([w for w in words if w[2] >= s[0] and w[3] <= s[1]] for s in (now, then))
+        if not own or own[-1][1][-1] not in ".!?":
+            continue
+        need = 0.5 - (now[1] - own[-1][3]) - (ahead[0][2] - then[0] if ahead else 0)
+        for back in (False, True):
+            if need <= 1e-6:
+                break
+            i, got = at(then[0] if back else now[1], db) - back, 0
+            while got < round(min(need, then[0] - now[1]) / FR) and 0 <= i < len(db) and db[i] < sure:
+                got, i = got + 1, i + (-1 if back else 1)
+            if back:
+                then[0] -= got * FR
+            else:
+                now[1] += got * FR
+            need -= got * FR
+    return kept
+
+
+def test_aligned_words_follow_the_model(spark):
+    rng, frame, cases_ = random.Random(3), edit.VOICE_FRAME, {}
+    for m in range(40):
+        t, words = 0.0, []
+        for i in range(rng.randrange(1, 25)):
+            n = rng.choice([0.05, 0.2, 0.9, 1.6])
+            words.append((i, round(t, 2), round(t + n, 2)))
+            t += n + rng.choice([-0.04, 0.0, 0.3])
+        probs = []
+        while len(probs) * frame < t:
+            probs += [rng.choice([0.1, 0.9])] * rng.choice([1, 3, 6, 20])
+        cases_[m] = (words, None if m % 7 == 0 else [] if m % 7 == 1 else probs)
+    words = spark.createDataFrame([(m, *w) for m, (ws, _) in cases_.items() for w in ws], "media_id long, idx long, start double, end double")
+    track = spark.createDataFrame([(m, p) for m, (_, p) in cases_.items() if p is not None], "media_id long, probs array<double>")
+    got = {(r["media_id"], r["idx"]): (r["start"], r["end"]) for r in edl.aligned(words, track, frame).collect()}
+    for m, (ws, probs) in cases_.items():
+        before = 0.0
+        for k, (i, a, b) in enumerate(ws):
+            if probs:
+                here = lambda t: min(max(int(t / frame), 0), len(probs) - 1)  # noqa: E731, B023
+                voiced = [f for f in range(here(a), here(a + min(1.0, b - a)) + 1) if probs[f] >= 0.5]
+                if voiced and voiced[0] * frame > a:
+                    a = min(voiced[0] * frame, b - 0.02)
+                if b - a > 0.8 and probs[here(a)] >= 0.5:
+                    last = here(a)
+                    for f in range(last, len(probs)):
+                        if f - last > 5:
+                            break
+                        last = f if probs[f] >= 0.5 else last
+                    if (last + 1) * frame < b:
+                        b = max((last + 1) * frame, a + 0.02)
+                a = max(a, before)
+                before = b = max(min(b, ws[k + 1][1] if k + 1 < len(ws) else b), a + 0.02)
+            assert got[m, i] == pytest.approx((a, b)), (m, i)
