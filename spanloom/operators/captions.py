@@ -84,3 +84,24 @@ def overlay_y(position: Column, height: Column, band: Column, margin: Column) ->
     unknown = F.raise_error(F.concat(F.lit("unknown caption position "), position)).cast("long")
     y = F.when(position == "bottom", height - margin - band).when(position == "top", F.least(margin, height - band)).when(position == "centre", F.floor((height - band) / 2)).otherwise(unknown)
     return F.greatest(y, F.lit(0))
+
+
+def laid_out(words: DataFrame, popped: DataFrame, metrics: DataFrame, width: float, space: float, uppercase: bool = False) -> DataFrame:
+    """Where each word of a caption line stands: `left` and `slot`, for each of the line's states.
+
+    words: media_id, line, idx, text; popped: media_id, line, popped (the idx of the enlarged word,
+    or null); metrics: ch, advance, enlarged, the widths of a character plain and popped. A
+    character without a width has none. The line is centred; only the popped word's slot is
+    enlarged, and `space` lies between words.
+    """
+    shown = F.upper("text") if uppercase else F.col("text")
+    letters = words.select(KEY, "idx", F.explode(F.filter(F.split(shown, ""), lambda c: c != "")).alias("ch")).groupBy(KEY, "idx", "ch").agg(F.count("*").alias("_n"))
+    sizes = letters.join(metrics, "ch").groupBy(KEY, "idx").agg(F.sum(F.col("_n") * F.col("advance")).alias("_plain"), F.sum(F.col("_n") * F.col("enlarged")).alias("_wide"))
+    sized = words.select(KEY, "line", "idx").join(sizes, [KEY, "idx"], "left")
+    slot = F.coalesce(F.when(F.col("popped") == F.col("idx"), F.col("_wide")).otherwise(F.col("_plain")), F.lit(0.0))
+    state = W.partitionBy(KEY, "line", "popped").orderBy("idx")
+    every = sized.join(popped.select(KEY, "line", "popped"), [KEY, "line"]).withColumn("slot", slot.cast("double"))
+    whole = state.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    edge = (width - (F.sum("slot").over(whole) + space * (F.count("*").over(whole) - 1))) / 2
+    before = F.coalesce(F.sum(F.col("slot") + space).over(state.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return every.select(KEY, "line", "popped", "idx", (edge + before).alias("left"), "slot")

@@ -134,8 +134,8 @@ def padding(words: DataFrame, span: int, config: Fillers, unit: float) -> Column
 
 
 def fillers(words: DataFrame, config: Fillers = Fillers(), unit: float = 1) -> DataFrame:
-    """Filler removals, from the end of the word before. Phrases come first and take their words;
-    exact for phrases of which none can start inside another, as the default ones."""
+    """Filler removals, from the end of the word before. A phrase comes before a single word and
+    takes its words: what starts inside it is none. Only candidates are walked in order."""
     if not config.enabled:
         return words.select(KEY, "start", "end", F.lit("filler").alias("reason"), F.lit(1.0).alias("confidence"), F.lit("").alias("detail")).limit(0)
     w = words.withColumn("_t", normalized(F.col("text"))).withColumn("_prev", F.coalesce(F.lag("end").over(by_idx()), F.col("start")))
@@ -150,14 +150,18 @@ def fillers(words: DataFrame, config: Fillers = Fillers(), unit: float = 1) -> D
         size = F.when(hit, F.lit(k)).otherwise(size)
     w = w.withColumn("_phrase", phrase).withColumn("_size", F.when(F.col("_phrase").isNotNull(), size))
     ends = F.coalesce(*[F.when(F.col("_size") == k, F.lead("end", k - 1).over(by_idx())) for k in range(1, longest + 1)])
-    taken = F.lit(False)
-    for back in range(1, longest):
-        taken = taken | F.coalesce(F.lag("_size", back).over(by_idx()) > back, F.lit(False))
     short = F.col("end") - F.col("start") <= config.max_duration * unit
     single = short & (F.col("_t").isin(list(config.lexicon)) | (F.col("_t").isin(list(config.ambiguous)) & padding(w, 1, config, unit)))
-    w = w.withColumn("_taken", taken).withColumn("_single", single).withColumn("_ends", ends)
-    some = w.filter(~F.col("_taken") & (F.col("_phrase").isNotNull() | F.col("_single")))
-    return some.select(KEY, F.least("_prev", "start").alias("start"), F.coalesce("_ends", "end").alias("end"), F.lit("filler").alias("reason"), F.lit(1.0).alias("confidence"), F.coalesce("_phrase", "_t").alias("detail"))
+    w = w.withColumn("_single", single).withColumn("_ends", F.coalesce(ends, F.col("end"))).withColumn("_at", F.row_number().over(by_idx()))
+    some = w.filter(F.col("_phrase").isNotNull() | F.col("_single"))
+    cut = some.select(KEY, F.least("_prev", "start").alias("start"), F.col("_ends").alias("end"), F.coalesce("_phrase", "_t").alias("detail"), F.col("_at").alias("at"), F.coalesce("_size", F.lit(1)).alias("size"))
+
+    def step(free, c):
+        return (free, []) if free and c.at < free else (c.at + c.size, [(c.start, c.end, c.detail)])
+
+    kinds = {c: cut.schema[c].dataType.simpleString() for c in ("start", "end")}
+    taken = folded(cut, ["at"], step, f"start {kinds['start']}, end {kinds['end']}, detail string")
+    return taken.select(KEY, "start", "end", F.lit("filler").alias("reason"), F.lit(1.0).alias("confidence"), "detail")
 
 
 def repeated_grams(words: DataFrame, config: Retakes = Retakes(), unit: float = 1) -> DataFrame:

@@ -50,10 +50,13 @@ def repaired(words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | Non
     return words
 
 
-def detected(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None) -> DataFrame:
-    """What all detectors would remove."""
+def detected(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
+    """What all detectors would remove, with what holds of a model's proposals (see detect.validated)."""
     known = None if signal is None else edl.levelled(signal)
-    return dt.analyzed(words, media, preset.silence, preset.fillers, preset.retakes, signal=known, frame=FRAME)
+    found = dt.analyzed(words, media, preset.silence, preset.fillers, preset.retakes, signal=known, frame=FRAME)
+    if proposals is None or not preset.retakes.enabled:
+        return found
+    return found.unionByName(dt.validated(proposals, words, preset.retakes))
 
 
 def applied(removals: DataFrame, media: DataFrame, words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None) -> DataFrame:
@@ -92,10 +95,12 @@ def decisions(merged: DataFrame, media: DataFrame, words: DataFrame, preset: Pre
     return segments.unionByName(merged.join(some, KEY, "left_semi"), allowMissingColumns=True)
 
 
-def proposed(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, track: DataFrame | None = None) -> DataFrame:
-    """decisions() of raw words: repaired, searched by all detectors, merged within the budget."""
+def proposed(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, track: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
+    """decisions() of raw words: repaired, searched by all detectors, merged within the budget.
+    Levels of signals are taken once, for all steps."""
+    signal = None if signal is None else settled(edl.levelled(signal))
     spoken = settled(repaired(words, preset, signal, track))
-    found = settled(detected(spoken, media, preset, signal))
+    found = settled(detected(spoken, media, preset, signal, proposals))
     merged = settled(applied(found, media, spoken, preset, signal))
     return decisions(merged, media, spoken, preset, signal)
 

@@ -46,11 +46,39 @@ def quota(owners: DataFrame, active: int = 2, jobs: int = 10, size: int = 10 <<
     return owners.withColumn("refused", why)
 
 
-def queue_positions(jobs: DataFrame, queue: str | None = None) -> DataFrame:
+def queue_positions(jobs: DataFrame, queue: str | None = None, span: float = 3600.0) -> DataFrame:
     """Pending jobs with their place from 0, by enqueued and id; one queue, or one for each value
-    of a column. (The queue of one worker is short; many are ranked apart.)"""
-    w = W.partitionBy(*([queue] if queue else [F.lit(0)])).orderBy("enqueued", "id")
-    return jobs.filter(F.col("status") == "queued").withColumn("position", F.row_number().over(w) - 1)
+    of a column. One queue is ranked within stretches of `span` (in the unit of enqueued, seconds
+    for timestamps), of which only the counts meet in one task."""
+    waiting = jobs.filter(F.col("status") == "queued")
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("enqueued", "id")) - 1
+    if queue:
+        return waiting.withColumn("position", rank(queue))
+    waiting = waiting.withColumn("_span", F.coalesce(F.floor(F.col("enqueued").cast("double") / span), F.lit(-(1 << 62))))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    sizes = waiting.groupBy("_span").agg(F.count("*").alias("_n")).select("_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    return waiting.join(sizes, "_span").withColumn("position", F.col("_before") + rank("_span")).drop("_span", "_before")
+
+
+def without(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """jobs less those whose id was deleted; ids that are unknown, null or told twice do no harm."""
+    return jobs.join(gone.select("id"), "id", "left_anti").select(*jobs.columns)
+
+
+def found(asks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """asks (id, owner) with `found`: whether there is such a job and it is that owner's."""
+    own = jobs.select("id", "owner", F.lit(True).alias("found")).distinct()
+    return asks.join(own, ["id", "owner"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def snapshots(jobs: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
+    """(id, snapshot): each job as JSON text; required fields are there even if null, optional ones
+    only where they have a value."""
+    text = lambda names, keep: F.to_json(F.struct(*names), {"ignoreNullFields": str(not keep).lower()})
+    head, more = text(required, True), text(optional, False)
+    both = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(","), F.expr("substring(_more, 2)"))
+    told = jobs.select("id", head.alias("_head"), more.alias("_more"))
+    return told.select("id", F.when(F.col("_more") == "{}", F.col("_head")).otherwise(both).alias("snapshot"))
 
 
 def expired(jobs: DataFrame, now: Column, keep: Column) -> DataFrame:

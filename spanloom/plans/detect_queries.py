@@ -116,16 +116,16 @@ def retake_chunks(spark, sf_dir):
 
 
 @query(f"""WITH {WORDS}, top AS (SELECT media_id, max(idx) AS n, sum(e - s) AS speech FROM words GROUP BY media_id),
-p AS (SELECT media_id, n, speech, idx AS first, idx + 3 AS last, idx + 8 AS r1, idx + 12 AS r2 FROM words JOIN top USING (media_id) WHERE idx % 40 = 7),
-ok AS (SELECT * FROM p WHERE media_id NOT IN (SELECT media_id FROM p WHERE last > n)),
-q AS (SELECT ok.*, a.s, z.e FROM ok JOIN words a ON a.media_id = ok.media_id AND a.idx = ok.first JOIN words z ON z.media_id = ok.media_id AND z.idx = ok.last LEFT JOIN words y ON y.media_id = ok.media_id AND y.idx = ok.last + 1 LEFT JOIN words r ON r.media_id = ok.media_id AND r.idx = ok.r1
-  WHERE (y.s IS NULL OR y.s - z.e >= 60) AND r1 > last AND r2 <= n AND r.s - z.e <= 45000)
-SELECT media_id, s, e, 0.45::DOUBLE AS confidence FROM q QUALIFY sum(e - s) OVER (PARTITION BY media_id) <= 0.35::DOUBLE * speech""")
+p AS (SELECT media_id, n, speech, idx - 1 - idx % 3 AS first, idx - 1 AS last, idx + 8 AS r1, idx + 12 AS r2 FROM words JOIN top USING (media_id) WHERE idx % 10 = 7),
+ok AS (SELECT * FROM p WHERE media_id NOT IN (SELECT media_id FROM p WHERE last > n)), pairs AS (SELECT media_id, first, last + 1 AS second FROM ok), {OVERLAP},
+q AS (SELECT ok.*, a.s, z.e, r1 > ok.last AND r2 <= n AND r.s - z.e <= 45000 AS holds, x.total >= 2 AND CAST(b.hit AS DOUBLE) / x.total >= 0.6 AS again FROM ok JOIN words a ON a.media_id = ok.media_id AND a.idx = ok.first JOIN words z ON z.media_id = ok.media_id AND z.idx = ok.last
+  LEFT JOIN words y ON y.media_id = ok.media_id AND y.idx = ok.last + 1 LEFT JOIN words r ON r.media_id = ok.media_id AND r.idx = ok.r1 LEFT JOIN size x ON x.media_id = ok.media_id AND x.first = ok.first AND x.last = ok.last LEFT JOIN best b ON b.media_id = ok.media_id AND b.first = ok.first AND b.last = ok.last
+  WHERE y.s IS NULL OR y.s - z.e >= 200)
+SELECT media_id, s, e, CASE WHEN coalesce(again, false) THEN 0.7::DOUBLE ELSE 0.45::DOUBLE END AS confidence FROM q WHERE coalesce(again, false) OR coalesce(holds, false) QUALIFY sum(e - s) OVER (PARTITION BY media_id) <= 0.35::DOUBLE * speech""")
 def retake_proposals(spark, sf_dir):
     w = _words(spark, sf_dir)
-    p = w.filter("idx % 40 = 7").select("media_id", F.col("idx").alias("first"), (F.col("idx") + 3).alias("last"), (F.col("idx") + 8).alias("r_first"), (F.col("idx") + 12).alias("r_last"))
-    # An overlap that cannot be reached leaves the claimed replacement as the only test.
-    return dt.validated(p, w, Retakes(pause=0.06, overlap=2.0), MS).select("media_id", F.col("start").alias("s"), F.col("end").alias("e"), "confidence")
+    p = w.filter("idx % 10 = 7").select("media_id", (F.col("idx") - 1 - F.col("idx") % 3).alias("first"), (F.col("idx") - 1).alias("last"), (F.col("idx") + 8).alias("r_first"), (F.col("idx") + 12).alias("r_last"))
+    return dt.validated(p, w, Retakes(), MS).select("media_id", F.col("start").alias("s"), F.col("end").alias("e"), "confidence")
 
 
 @query(f"""WITH RECURSIVE {WORDS}, {MEDIA}, n AS (SELECT w.media_id, idx, text, CAST(s - (idx % 5) * 90 AS DOUBLE) AS s, CAST(e + (idx % 3) * 70 AS DOUBLE) AS e, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY w.media_id ORDER BY idx) AS k FROM words w JOIN media USING (media_id) WHERE token <> ''),

@@ -130,6 +130,19 @@ def caption_listing(spark, sf_dir):
     return cp.listing(cp.states(cp.lines(_captions(spark, sf_dir), Captions(), MS), Captions(), MS), MS)
 
 
+@query(f"""WITH {WORDS}, x AS (SELECT media_id, idx // 4 AS line, idx, CAST(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c) % 7 + 5)) AS DOUBLE) AS w FROM words),
+p AS (SELECT DISTINCT media_id, line, CASE WHEN k = 0 THEN NULL ELSE line * 4 + k - 1 END AS popped FROM x, (SELECT unnest([0, 2]) AS k)),
+s AS (SELECT media_id, line, popped, idx, CASE WHEN popped = idx THEN w * 1.25::DOUBLE ELSE w END AS slot FROM x JOIN p USING (media_id, line))
+SELECT *, (1080 - (sum(slot) OVER l + 12 * (count(*) OVER l - 1))) / 2 + coalesce(sum(slot + 12) OVER (PARTITION BY media_id, line, popped ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left FROM s WINDOW l AS (PARTITION BY media_id, line, popped)""")
+def caption_layout(spark, sf_dir):
+    """Lines of four words, plain and with their second word enlarged, by a made-up font."""
+    words = src.conversation_words(spark, sf_dir).select("media_id", F.floor(F.col("idx") / 4).alias("line"), "idx", "text")
+    popped = words.select("media_id", "line").distinct().select("*", F.explode(F.array(F.lit(None).cast("long"), F.col("line") * 4 + 1)).alias("popped"))
+    chars = words.select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").distinct()
+    advance = (F.ascii("ch") % 7 + 5).cast("double")
+    return cp.laid_out(words, popped, chars.select("ch", advance.alias("advance"), (advance * 1.25).alias("enlarged")), 1080, 12)
+
+
 @query("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN greatest(1920 - 80 - b, 0) WHEN 'O' THEN greatest(least(80, 1920 - b), 0) ELSE greatest((1920 - b) // 2, 0) END AS y FROM (SELECT *, o_custkey % 2200 AS b FROM orders)")
 def caption_overlay(spark, sf_dir):
     where = F.when(F.col("o_orderstatus") == "F", "bottom").when(F.col("o_orderstatus") == "O", "top").otherwise("centre")

@@ -193,3 +193,31 @@ def owner_lists(spark, sf_dir):
     e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), "event_type")
     listed = e.filter("event_type = 'signup'").select("owner").union(e.filter("event_type = 'purchase' and owner % 2 = 0").select("owner")).distinct()
     return e.join(listed, "owner", "left_semi").groupBy("owner").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LEDGER}, {JOBS} SELECT id, CAST(row_number() OVER (ORDER BY created, id) - 1 AS BIGINT) AS position FROM jobs WHERE status = 'queued'")
+def store_single_queue(spark, sf_dir):
+    """One queue for all owners, ranked by the hour (created is in microseconds)."""
+    jobs = _jobs(spark, sf_dir).withColumn("enqueued", F.col("created"))
+    return st.queue_positions(jobs, span=3_600_000_000.0).select("id", "position")
+
+
+@query(f"WITH {LEDGER}, {JOBS} SELECT id, owner, status FROM jobs WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def store_deleted(spark, sf_dir):
+    gone = src.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
+    return st.without(_jobs(spark, sf_dir), gone.unionByName(gone)).select("id", "owner", "status")
+
+
+@query(f"WITH {LEDGER}, {JOBS}, asks AS (SELECT o_orderkey AS id, o_custkey % 150 AS owner FROM orders UNION ALL SELECT id, owner FROM jobs WHERE id % 7 = 0) SELECT id, owner, EXISTS (SELECT 1 FROM jobs j WHERE j.id = asks.id AND j.owner = asks.owner) AS found FROM asks")
+def store_owned(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    asks = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 150).alias("owner"))
+    return st.found(asks.unionByName(jobs.filter("id % 7 = 0").select("id", "owner")), jobs)
+
+
+@query(f"""WITH {LEDGER}, {JOBS} SELECT id, '{{"id":' || id || ',"status":"' || status || '","error":' || CASE WHEN id % 4 = 0 THEN '"lost \\\\ \\"it\\""' ELSE 'null' END
+  || CASE WHEN id % 3 = 0 THEN ',"position":' || (id % 5) ELSE '' END || CASE WHEN id % 2 = 0 THEN ',"parts":' || (id % 9) || ',"source_duration":' || ((id % 100) / 2.0)::DOUBLE ELSE '' END || '}}' AS snapshot FROM jobs""")
+def store_snapshots(spark, sf_dir):
+    """Jobs as JSON: an error is told as null, place and parts only where there are any."""
+    jobs = _jobs(spark, sf_dir).select("id", "status", F.when(F.col("id") % 4 == 0, 'lost \\ "it"').alias("error"), F.when(F.col("id") % 3 == 0, F.col("id") % 5).alias("position"), F.when(F.col("id") % 2 == 0, F.col("id") % 9).alias("parts"), F.when(F.col("id") % 2 == 0, (F.col("id") % 100) / 2.0).alias("source_duration"))
+    return st.snapshots(jobs, ["id", "status", "error"], ["position", "parts", "source_duration"])

@@ -412,3 +412,14 @@ def test_aligned_words_follow_the_model(spark):
                 a = max(a, before)
                 before = b = max(min(b, ws[k + 1][1] if k + 1 < len(ws) else b), a + 0.02)
             assert got[m, i] == pytest.approx((a, b)), (m, i)
+
+
+def test_proposals_join_what_an_edit_removes(spark):
+    text = "we went to the old harbour today then we drove back home again slowly".split()
+    words = spark.createDataFrame([(1, i, t, i * 0.5 + (i > 3) * 0.5, i * 0.5 + 0.4 + (i > 3) * 0.5, 0.9) for i, t in enumerate(text)], WORDS)
+    media = spark.createDataFrame([(1, 7.5)], MEDIA)
+    asked = spark.createDataFrame([(1, 0, 3, 5, 8)], "media_id long, first long, last long, r_first long, r_last long")
+    got = edit.proposed(words, media, proposals=asked).filter("reason = 'retake'").collect()
+    assert [(r["start"], r["end"], r["confidence"]) for r in got] == [(0.0, pytest.approx(1.9), 0.45)]
+    off = edit.proposed(words, media, replace(DEFAULT, retakes=replace(DEFAULT.retakes, enabled=False)), proposals=asked)
+    assert off.filter("reason = 'retake'").count() == 0

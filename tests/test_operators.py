@@ -14,6 +14,7 @@ from spanloom.operators import detect as dt
 from spanloom.operators import edl
 from spanloom.operators import intervals as iv
 from spanloom.operators import signals as sg
+from spanloom.operators import store
 from spanloom.sources import media as md
 from spanloom.sources import seams
 
@@ -251,3 +252,29 @@ def test_wav_files_are_read_or_say_why_not(spark):
     got_ = {r["media_id"]: r for r in md.wav_samples(spark.createDataFrame(files, "media_id long, content binary"), 16000).collect()}
     assert got_[1]["samples"] == [0.25, -0.5] and got_[1]["error"] is None
     assert got_[2]["error"] == "not 16-bit audio" and got_[3]["error"] == "not 16000 Hz audio" and got_[4]["error"]
+
+
+def test_overlapping_filler_phrases_are_taken_in_order(spark):
+    import random
+
+    rng, phrases = random.Random(7), (("a", "b"), ("b", "a", "b"), ("b", "c"))
+    config = dt.Fillers(lexicon=("c",), ambiguous=(), phrases=phrases, pause=0.0)
+    rows, want = [], []
+    for m in range(40):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(1, 30))]
+        rows += [(m, i, w, i * 0.2, i * 0.2 + 0.1) for i, w in enumerate(words)]
+        i = 0
+        while i < len(words):
+            p = next((p for p in phrases if tuple(words[i : i + len(p)]) == p), (words[i],) if words[i] == "c" else None)
+            want += [(m, " ".join(p), i + len(p) - 1)] if p else []
+            i += len(p) if p else 1
+    got = dt.fillers(spark.createDataFrame(rows, "media_id long, idx long, text string, start double, end double"), config).collect()
+    assert sorted((r["media_id"], r["detail"], round((r["end"] - 0.1) / 0.2)) for r in got) == sorted(want)
+
+
+def test_deleting_and_asking_take_odd_ids(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, owner string")
+    gone = spark.createDataFrame([(1,), (1,), (9,), (None,)], "id long")
+    assert sorted(r["owner"] for r in store.without(jobs, gone).collect()) == ["b", "c"]
+    asks = spark.createDataFrame([(1, "a"), (1, "b"), (7, "a"), (None, "c"), (2, None)], "id long, owner string")
+    assert sorted((r["id"] or 0, r["owner"] or "", r["found"]) for r in store.found(asks, jobs).collect()) == [(0, "c", False), (1, "a", True), (1, "b", False), (2, "", False), (7, "a", False)]
