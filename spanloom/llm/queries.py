@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, oracles, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from . import decontam, langid, lm, negatives, oracles, packing, quality, secrets, simhash, substrings, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, by_7 = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 7 == 0
+    relabelled = rows.withColumn("label", F.when(by_7, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(negatives.prepared(relabelled), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup, op11_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -609,7 +609,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
