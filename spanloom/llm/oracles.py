@@ -48,10 +48,37 @@ NEGATIVES = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
-SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
-FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
 """
 
-SQL = {"op4_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op10_substring_dedup": SUBSTRINGS, "op11_hard_negatives": NEGATIVES}
+# crc32, byte by byte and bit by bit; -1 stands for one bit.
+CRC32 = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, len({0}) + 1), lambda i: list_prepend(CAST(ascii({0}[i]) AS BIGINT), list_transform(range(8), lambda j: CAST(-1 AS BIGINT)))))), lambda c, x: CASE WHEN x = -1 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END))"
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || {0} END"
+HEAD = " || ".join(FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars"))
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({HEAD} || {FIELD.format("text")}) AS leaf,
+  CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({HEAD} || {FIELD.format(LOWERED)}) END AS bad FROM documents),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM d)),
+l AS (SELECT d.*, t, trees, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d JOIN langs ON d.lang IS NOT DISTINCT FROM langs.lang),
+node AS (SELECT t, 0 AS level, i, leaf AS h, n FROM l UNION ALL
+  SELECT t, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max(n + 7) // 8 FROM node WHERE n > 1 GROUP BY t, level, i // 8),
+sub AS (SELECT t, h AS subroot, level AS height FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, t AS i, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max(n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8),
+runs AS (SELECT t, level, i // 8 AS up, list(h ORDER BY i) AS hs FROM node WHERE n > 1 GROUP BY t, level, i // 8 UNION ALL
+  SELECT sub.t, height + r.level, r.up, hs FROM sub, (SELECT level, i // 8 AS up, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY level, i // 8) r WHERE r.up = sub.t // (8 ** (r.level + 1))::BIGINT),
+f AS (SELECT t, i AS doc, CASE WHEN n = 1 THEN t ELSE i END AS i, 0 AS level, coalesce(bad, leaf) AS h, '' AS proof FROM l UNION ALL
+  SELECT f.t, doc, CASE WHEN level + 1 = height THEN f.t ELSE f.i // 8 END, level + 1,
+    sha256(array_to_string(list_concat(hs[1:f.i % 8], [h], hs[f.i % 8 + 2:]), '')), proof || array_to_string(list_concat(hs[1:f.i % 8], hs[f.i % 8 + 2:]), '')
+  FROM f JOIN sub USING (t) JOIN runs USING (t, level) WHERE runs.up = f.i // 8),
+g AS (SELECT t, doc, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM f GROUP BY t, doc),
+r AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN sub USING (t) JOIN g ON g.t = l.t AND g.doc = l.i CROSS JOIN r
+"""
+
+SQL = {"op4_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op10_substring_dedup": SUBSTRINGS, "op11_hard_negatives": NEGATIVES, "op12_merkle_manifest": MERKLE}

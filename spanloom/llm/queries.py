@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, negatives, oracles, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from . import decontam, langid, lm, merkle, negatives, oracles, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from .shared import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +86,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.prepared(relabelled), F.col("id") % 50 == 0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(bucket(3).eqNullSafe(0) & F.col("doc_id").isNotNull(), merkle.leaf(text=F.translate("text", capitals, capitals.lower())))
+    leaves = documents(spark, sf_dir).select(F.col("lang").alias("tree"), F.col("doc_id").cast("long").alias("key"), merkle.leaf().alias("leaf"), tampered.alias("tampered"))
+    m = merkle.plant(written(leaves, "merkle-hashed"))
+    if m is None:
+        return spark.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    proved = merkle.prove(m)
+    root, proof = F.lit(m.root), F.col("proof")
+    out = proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.sha2(merkle.siblings(proof), 256).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), proof).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup, op11_hard_negatives)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup, op11_hard_negatives, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
