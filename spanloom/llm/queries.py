@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, merkle, negatives, oracles, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from . import decontam, langid, lm, merkle, negatives, oracles, packing, pii, quality, secrets, simhash, substrings, token_files, toxicity
 from .shared import written
 
 
@@ -99,8 +99,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit(docs)).select("doc_id", "personal")
+    of = lambda kind: F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.joined(F.filter("personal", lambda s: ~s["kind"].startswith("lstm_")))
+    return found.select("doc_id", *[of(k) for k in pii.BASE], F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("personal")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup, op11_hard_negatives, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_lm_score, op4_decontamination, op5_secrets, op6_quality_rules, op7_language_id, op8_simhash, op9_packing, op10_substring_dedup, op11_hard_negatives, op12_merkle_manifest, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
