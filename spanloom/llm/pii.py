@@ -39,7 +39,7 @@ KINDS = (*BASE, *(f"lstm_{k}" for k in BASE))
 # The patterns that are asked for, in parts that are linear in a text, and the bounds of a match.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[0-9]+")
@@ -49,10 +49,12 @@ CARD_DIGITS, PHONE_DIGITS, IP_PART = (12, 19), (9, 15), 255
 SAMPLE = 150
 #: Characters of a training window, and of a window of a text and its overlap with the next.
 TRAINED, WINDOW, OVERLAP = 96, 256, 32
-#: Units of each direction, epochs and windows of a training step.
-UNITS, EPOCHS, BATCH = 8, 6, 32
+#: Units of each direction, training steps, and windows of a step.
+UNITS, STEPS, BATCH = 8, 640, 32
 #: Characters of a text, or of several, that are tagged together; windows that the network takes at a time.
 PART, AT_ONCE = 1 << 19, 1024
+#: Characters of a piece of a run that is searched in pieces; a score that no path takes.
+PIECE, FAR = 256, -1e30
 #: Least mean margin of a span over "none", and least and most characters of one.
 SURE, SHORTEST, LONGEST = 2.5, 7, 80
 
@@ -249,22 +251,21 @@ def gradient(w: dict, codes: np.ndarray, labels: np.ndarray) -> tuple[float, dic
     return loss, g
 
 
-def trained(codes: np.ndarray, labels: np.ndarray, units: int = UNITS, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.015, seed: int = 0) -> dict:
-    """Weights after Adam steps over all windows, in an order drawn by the seed."""
-    w, rng, step = start_weights(units, seed), np.random.default_rng(seed), 0
+def trained(codes: np.ndarray, labels: np.ndarray, units: int = UNITS, steps: int = STEPS, batch: int = BATCH, rate: float = 0.015, seed: int = 0) -> dict:
+    """Weights after Adam steps over the windows, again and again in orders drawn by the seed."""
+    w, rng, left = start_weights(units, seed), np.random.default_rng(seed), np.zeros(0, int)
     first, second = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
-    total = epochs * -(-len(codes) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(codes))
-        for at in range(0, len(order), batch):
-            own, step = order[at : at + batch], step + 1
-            _, g = gradient(w, codes[own], labels[own])
-            size = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
-            now, short = rate * (1 - 0.95 * step / total), np.float32(min(1.0, 5.0 / (size + 1e-9)))
-            for n, x in g.items():
-                first[n] = 0.9 * first[n] + 0.1 * short * x
-                second[n] = 0.98 * second[n] + 0.02 * (short * x) ** 2
-                w[n] = (w[n] - now * first[n] / (1 - 0.9**step) / (np.sqrt(second[n] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
+    for step in range(1, steps + 1):
+        if not len(left):
+            left = rng.permutation(len(codes))
+        own, left = left[:batch], left[batch:]
+        _, g = gradient(w, codes[own], labels[own])
+        size = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
+        now, short = rate * (1 - 0.95 * step / steps), np.float32(min(1.0, 5.0 / (size + 1e-9)))
+        for n, x in g.items():
+            first[n] = 0.9 * first[n] + 0.1 * short * x
+            second[n] = 0.98 * second[n] + 0.02 * (short * x) ** 2
+            w[n] = (w[n] - now * first[n] / (1 - 0.9**step) / (np.sqrt(second[n] / (1 - 0.98**step)) + 1e-6)).astype(np.float32)
     return w
 
 
@@ -343,13 +344,13 @@ def samples(docs: DataFrame, most: int, text: str = "text") -> list[tuple[str, l
 
 
 def examples(windows: list[tuple[str, list[tuple[int, int, str]]]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and labels: each window, each span of it in two other ways, and harmless numbers in those without."""
+    """Characters and labels: each window, each span of it in three other ways, and harmless numbers in those without."""
     rng, rows = random.Random(seed), []
     for text, spans in windows:
         rows.append((text, spans))
         if len(spans) == 1:
             (s, e, k), = spans
-            for _ in range(2):
+            for _ in range(3):
                 new = rewritten(k, text[s:e], rng)
                 rows.append((text[:s] + new + text[e:], [(s, s + len(new), k)]))
         elif not spans:
@@ -417,9 +418,9 @@ def blended(w: dict, texts: list[np.ndarray], firsts: list[int], lasts: list[int
     return [out[a : a + len(t)] for a, t in zip(at, texts)]
 
 
-def paths(scores: np.ndarray, cuts: np.ndarray, trans: np.ndarray, open_left: np.ndarray, open_right: np.ndarray) -> np.ndarray:
-    """The best labels of runs of characters (rows of scores between successive cuts) that stand
-    between labels none (open: at an end of the text)."""
+def best_paths(scores: np.ndarray, cuts: np.ndarray, trans: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The best labels of runs of characters (rows of scores between successive cuts), all at a
+    time; left, right: what each run's first and last labels get besides."""
     out, size = np.zeros(len(scores), np.int64), np.diff(cuts)
     order, lo = np.argsort(-size, kind="stable"), 0
     while lo < len(order):
@@ -427,14 +428,13 @@ def paths(scores: np.ndarray, cuts: np.ndarray, trans: np.ndarray, open_left: np
         own = order[lo : lo + max(1, PART // longest)]
         lo += len(own)
         first, n, rows = cuts[own], size[own], np.arange(len(own))
-        best = scores[first] + np.where(open_left[own][:, None], 0, trans[0])
-        last, backs = np.where(open_right[own][:, None], 0, trans[:, 0]), np.zeros((longest, len(own), trans.shape[0]), np.int8)
+        best, backs = scores[first] + left[own], np.zeros((longest, len(own), trans.shape[0]), np.int8)
         for t in range(1, longest):
             m = int(np.searchsorted(-n, -t, "left"))  # runs that are longer than t
             step = best[:m, :, None] + trans
             backs[t, :m] = step.argmax(1)
             best[:m] = step.max(1) + scores[first[:m] + t]
-        y = (best + last).argmax(1)
+        y = (best + right[own]).argmax(1)
         out[first + n - 1] = y
         for t in range(longest - 1, 0, -1):
             m = int(np.searchsorted(-n, -t, "left"))
@@ -443,6 +443,43 @@ def paths(scores: np.ndarray, cuts: np.ndarray, trans: np.ndarray, open_left: np
     return out
 
 
+def long_path(scores: np.ndarray, trans: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The best labels of one long run: the best score between each two labels of PIECE characters at
+    a time, for all pieces together; then the labels where pieces meet, then those within them."""
+    k, cuts = trans.shape[0], np.append(np.arange(0, len(scores), PIECE), len(scores))
+    first, n = cuts[:-1], np.diff(cuts)
+    between = np.where(np.eye(k, dtype=bool), scores[first][:, None, :], FAR)
+    for t in range(1, int(n[0])):
+        m = len(n) - int(n[-1] <= t)
+        between[:m] = (between[:m, :, :, None] + trans).max(2) + scores[first[:m] + t][:, None, :]
+    v, backs = left, []
+    for piece in between:
+        into = v[:, None] + piece
+        over = into.max(0)[:, None] + trans
+        backs.append((into.argmax(0), over.argmax(0)))
+        v, last = over.max(0), into.max(0)
+    ends, b = np.empty((len(n), 2), np.int64), int((last + right).argmax())
+    for i in range(len(n) - 1, -1, -1):
+        ends[i] = backs[i][0][b], b
+        b = int(backs[i - 1][1][ends[i, 0]]) if i else b
+    only = lambda y: np.where(np.arange(k) == y[:, None], 0.0, FAR)
+    return best_paths(scores, cuts, trans, only(ends[:, 0]), only(ends[:, 1]))
+
+
+def paths(scores: np.ndarray, cuts: np.ndarray, trans: np.ndarray, open_left: np.ndarray, open_right: np.ndarray) -> np.ndarray:
+    """The best labels of runs that stand between labels none (open: at an end of the text)."""
+    left, right = np.where(open_left[:, None], 0, trans[0]), np.where(open_right[:, None], 0, trans[:, 0])
+    long = np.diff(cuts) > 4 * PIECE
+    if not long.any():
+        return best_paths(scores, cuts, trans, left, right)
+    out, short = np.zeros(len(scores), np.int64), np.flatnonzero(~long)
+    for i in np.flatnonzero(long):
+        out[cuts[i] : cuts[i + 1]] = long_path(scores[cuts[i] : cuts[i + 1]], trans, left[i], right[i])
+    at = ranges(cuts[short], cuts[short + 1])
+    out[at] = best_paths(scores[at], np.append(0, np.cumsum(np.diff(cuts)[short])), trans, left[short], right[short])
+    return out
+
+
 def parts_of(text: np.ndarray):
     """(first window, its place, where the part counts from and to) of parts that together cover a text;
     a part takes a window more on each side, so that all it counts is blended as in the whole."""
@@ -467,6 +504,8 @@ def tagged(w: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     sizes, held, size = [len(t) for t in texts], [], 0
 
     def flush():
+        if not held:
+            return
         for (i, first, lo, hi, last, codes), s in zip(held, blended(w, [h[5] for h in held], [h[1] for h in held], [h[4] for h in held])):
             s = s[lo - first * step : hi - first * step]
             at = np.flatnonzero(s[:, 0] - s[:, 1:].max(1) <= limit)

@@ -118,7 +118,7 @@ def plain_labels(w, text):
 @pytest.mark.parametrize("part", [1 << 19, 100])
 @pytest.mark.parametrize("none", [0.5, 3.0])
 def test_tagged_equals_one_best_path_over_the_whole_text(monkeypatch, none, part):
-    for name, x in (("WINDOW", 24), ("OVERLAP", 6), ("PART", part), ("AT_ONCE", 3), ("SURE", -9.0), ("SHORTEST", 1)):
+    for name, x in (("WINDOW", 24), ("OVERLAP", 6), ("PART", part), ("AT_ONCE", 3), ("PIECE", 5), ("SURE", -9.0), ("SHORTEST", 1)):
         monkeypatch.setattr(pii, name, x)
     monkeypatch.setattr(pii, "plausible", lambda *_: True)
     rng, w = random.Random(3), weights(none=none)
@@ -161,8 +161,8 @@ def corpus(spark):
 def test_what_is_learned_holds_on_other_writings(spark, corpus):
     """Trained on windows of one half of the corpus; spans of the other half, rewritten, are found, and plain text is left alone."""
     rows, docs = corpus
-    w = pii.fit(docs.filter("doc_id < 450"), most=60)
-    rng, right, wrong, clean = random.Random(1), 0, 0, []
+    w = pii.fit(docs.filter("doc_id < 450"))
+    rng, right, wrong, clean = random.Random(1), 0, 0, []  # pairs of kinds are not asked for, only that a span is found
     for i, t in rows[450:850]:
         base = pii.base_spans(t)
         if not base:
@@ -185,7 +185,8 @@ def test_rows_of_every_kind(spark, corpus):
     out = pii.find_personal_data(docs, w)
     assert out.columns == ["doc_id", "text", "personal_", "kind", "personal"] and out.count() == len(rows)
     for r in out.filter("doc_id >= 900 or doc_id is null or doc_id = 0").collect():
-        assert [tuple(s) for s in r["personal"] if not s["kind"].startswith("lstm_")] == [(k, a, b) for a, b, k in plain_base(r["text"] or "")]
+        base = [(k, a, b) for a, b, k in (plain_base(r["text"] or "") if len(r["text"] or "") < 10_000 else [])]
+        assert [tuple(s) for s in r["personal"] if not s["kind"].startswith("lstm_")] == base
     assert sorted(map(str, (r["personal"] for r in out.filter("doc_id = 0").collect()))) in ([str(x)] * 2 for x in [r["personal"] for r in out.filter("doc_id = 0").collect()])
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, w).filter("doc_id < 4 or doc_id >= 900").collect()}
     assert "@" not in clean[0] and "[PERSONAL]" in clean[0] and clean[900] is None and clean[901] == ""
