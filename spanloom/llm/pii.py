@@ -52,7 +52,7 @@ TRAINED, WINDOW, OVERLAP = 96, 256, 32
 #: Units of each direction, training steps, and windows of a step.
 UNITS, STEPS, BATCH = 8, 640, 32
 #: Characters of a text, or of several, that are tagged together; windows that the network takes at a time.
-PART, AT_ONCE = 1 << 19, 1024
+PART, AT_ONCE = 1 << 18, 512
 #: Characters of a piece of a run that is searched in pieces; a score that no path takes.
 PIECE, FAR = 256, -1e30
 #: Least mean margin of a span over "none", and least and most characters of one.
@@ -551,7 +551,12 @@ def tagged(w: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 def all_spans(w: dict | None, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """Base spans of texts, and what the tagger finds away from them, by start and then by kind."""
     texts = [t or "" for t in texts]
-    out, more = [base_spans(t) for t in texts], tagged(w, texts) if w is not None else [[] for _ in texts]
+    out, more, lo, size = [base_spans(t) for t in texts], [], 0, 0
+    for hi, t in enumerate(texts, 1):  # some texts at a time, for the memory of what is in doubt
+        size += len(t)
+        if size >= 2 * PART or hi == len(texts):
+            more += tagged(w, texts[lo:hi]) if w is not None else [[]] * (hi - lo)
+            lo, size = hi, 0
     for own, new in zip(out, more):
         base, k, far = sorted((s, e) for s, e, _ in own), 0, 0
         for s, e, kind in sorted(new):
