@@ -10,13 +10,14 @@ prefixes at equal places. Successive windows of one prefix are a run.
    each task sends the earliest of them, however many there are.
 3. Count the distinct runs of each prefix. Up to GROUP of them are a group; of a prefix with
    more, each window is grouped by its own first words instead: the fewest of LONGER of which
-   at most GROUP windows share as many, or the whole window, where a group is one node and each
-   task sends its earliest leaf. Windows whose first words no other has are dropped. So no
-   group outgrows a task.
+   at most GROUP windows share as many. Windows whose first words no other has are dropped. A
+   window of which even the longest first words are common is no part of a group: for it, the
+   earliest place of equal windows is gathered as in 2, a row for each task. So no group
+   outgrows a task, however many documents hold a passage.
 4. Tasks build the suffix trees of their groups (sorted suffixes and their common prefixes);
    nodes at least `window` words deep are the repeats, and all leaves below one but the
    earliest repeat.
-5. Each text's runs are looked up again in what 2 and 4 stored, and the words of repeating
+5. Each text's runs are looked up again in what 2, 3 and 4 stored, and the words of repeating
    windows go.
 
 The tables are sorted arrays in the shared folder that tasks map into memory; no text is
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import fresh, local_path
-from .tables import BLOBS, Gather, Table, buckets_for, firsts, shift_of, stored
+from .tables import BLOBS, Gather, Table, buckets_for, firsts, shift_of, stored, summed
 from .tokens import NULL_ID
 
 WINDOW, K = 20, 6
 #: Distinct runs of a prefix, or windows of longer first words, that one suffix tree takes.
 GROUP = 1000
 #: First words by which windows of a common prefix are grouped (shares of a window).
-LONGER = (0.4, 0.7, 1.0)
+LONGER = (0.4, 0.7)
 #: Windows in a run at most (a longer one is cut there).
 RUN = 32
 STEP = 1 << 20
@@ -105,6 +106,19 @@ def earliest(keys: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list
     return keys[new], [c[new] for c in cols]
 
 
+def earliest_counted(keys, cols):
+    """earliest, and the sum of the last column."""
+    order = np.lexsort((cols[2], cols[1], cols[0], keys))
+    keys, cols = keys[order], [c[order] for c in cols]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (cols[0][1:] != cols[0][:-1]))) if len(keys) else firsts(keys)
+    return keys[new], [*(c[new] for c in cols[:3]), np.add.reduceat(cols[3], new) if len(new) else cols[3]]
+
+
+def found_again(keys, cols):
+    more = cols[3] > 1
+    return keys[more], [c[more] for c in cols]
+
+
 def repeated(keys, cols):
     more = cols[0] > 1
     return keys[more], [c[more] for c in cols]
@@ -155,10 +169,9 @@ def sent(t: int, group: np.ndarray, shift: np.uint64, lengths: np.ndarray, cols:
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), [pa.int32(), pa.int32(), *[pa.binary()] * len(SUFFIXES)])], names=[c.split()[0] for c in SENT.split(", ")])
 
 
-def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
-    """What finish(rows, data, runs, gone) makes of each block of rows (doc_id, text): gone are
-    the places in the block's words that repeat an earlier window. finish gives a record batch
-    of the schema; it runs where the places are found, so that no text passes on."""
+def planned(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP):
+    """(what goes to the tasks that build trees, a row for each group of one task and block; a
+    function from that to a cut of the docs: see with_repeats)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = local_path(fresh(spark, "substrings"))
@@ -219,14 +232,34 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
 
     def longer(r, place):
         """Hashes of the first words of windows, for each of `lengths`."""
-        return [tx.gram_hashes(r.words, n)[place] if n < window else r.windows[0][place] for n in lengths]
+        return [tx.gram_hashes(r.words, n)[place] for n in lengths]
 
     def first_words(out, r, doc):
         some, size = first_runs(r, doc)
-        for t, h in enumerate(longer(r, windows_of(r, some[size > group])[0])):
-            out.add(t, h, [np.ones(len(h), np.int64)])
-
-    grown = gathered("longer", [1] * len(lengths), first_words, done=repeated)
+        place, run = windows_of(r, some[size > group])
+        one = np.ones(len(place), np.int64)
+        for t, h in enumerate(longer(r, place)):
+            out.add(t, h, [one])
+        out.add(len(lengths), r.windows[0][place], [r.windows[1][place].view(np.int64), doc[run], place - r.first[r.row[run]], one])
+
+    n = len(lengths)
+    *grown, wholes = gathered("longer", [1] * n + [4], first_words, [summed] * n + [earliest_counted], [repeated] * n + [found_again])
+
+    def split(r, some):
+        """(level, places of windows, their runs, hashes) of the windows of common prefixes: those whose first words
+        make a group, by `lengths`; then, as the last level, those whose first words are too common, with none."""
+        place, run = windows_of(r, some)
+        for t, size in enumerate(lengths):
+            h = tx.gram_hashes(r.words, size)[place] if len(place) else np.zeros(0, np.uint64)
+            count = grown[t].lookup(h, np.int64)[1][0] if len(place) else np.zeros(0, np.int64)
+            now, rest = (count > 1) & (count <= group), count > group
+            yield t, place[now], run[now], h[now]
+            if not rest.any():
+                return
+            place, run = place[rest], run[rest]
+            if t + 1 < len(lengths):
+                continue
+            yield len(lengths), place, run, None
 
     def suffixes(batches):
         """Groups to build: t = 0, runs of a prefix; then windows by the first words they share."""
@@ -238,35 +271,24 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
                     n = r.n[whole] + window - 1
                     cols = [r.key[whole], r.content.view(np.int64)[whole], doc[whole], r.lo[whole], r.n[whole], r.words[tx.ranges(r.at[whole], r.at[whole] + n)]]
                     yield from sent(0, r.prefix[whole], shift, n, cols)
-                place, run = windows_of(r, some[size > group])
-                for t, (n, table) in enumerate(zip(lengths, grown), 1):
-                    if not len(place):
-                        break
-                    h = longer(r, place)[t - 1]
-                    count = table.lookup(h, np.int64)[1][0]
-                    now = (count > 1) & ((count <= group) | (n == window))
-                    if now.any():
-                        at, own = place[now], run[now]
-                        # A group of whole windows is a node: two hashes stand for its words.
-                        words = np.stack([w[at] for w in r.windows], 1) if n == window else r.words[at[:, None] + np.arange(window)]
+                for t, at, own, h in split(r, some[size > group]):
+                    if h is not None and len(at):
+                        words = r.words[at[:, None] + np.arange(window)]
                         cols = [r.key[own], r.content.view(np.int64)[own], doc[own], at - r.first[r.row[own]], at - r.at[own], words.ravel()]
-                        yield from sent(t if n < window else len(lengths), h[now], shift, np.full(len(at), words.shape[1]), cols)
-                    rest = (count > group) & (n < window)
-                    place, run = place[rest], run[rest]
+                        yield from sent(t + 1, h, shift, np.full(len(at), window), cols)
 
     def trees(batches):
         out, held, key = Gather(buckets, [2], either), [], None
 
         def done():
             run, content, doc, lo, j, words = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, (_, kind) in enumerate(SUFFIXES))
-            depth = window if key[0] < len(lengths) else 2
             if key[0] == 0:  # runs of j windows: their suffixes
                 length = j + window - 1
                 at, which = np.cumsum(length) - length, np.repeat(np.arange(len(j)), j)
                 j = tx.ranges(np.zeros_like(j), j)
                 words = words[(at[which] + j)[:, None] + np.arange(window)]
                 run, content, doc, lo = run[which], content[which], doc[which], lo[which] + j
-            later, bits = tree_repeats(words.reshape(-1, depth), j, doc, lo, depth)
+            later, bits = tree_repeats(words.reshape(-1, window), j, doc, lo, window)
             out.add(0, run[later], [content[later], bits])
 
         for b in batches:
@@ -282,25 +304,43 @@ def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k:
             done()
         yield from out.rows()
 
-    built = docs.mapInArrow(suffixes, SENT).repartition(parts, "t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(trees, BLOBS)
-    marks = Table(stored(built, [2], f"{folder}/marks", either)[0], parts, buckets, 2)
+    def cut_by(groups: DataFrame, schema: str, finish) -> DataFrame:
+        built = groups.repartition(parts, "t", "bucket").sortWithinPartitions("t", "bucket").mapInArrow(trees, BLOBS)
+        marks = Table(stored(built, [2], f"{folder}/marks", either)[0], parts, buckets, 2)
 
-    def cut(batches):
-        for b in batches:
-            for lo, hi, data, r, doc in each(b):
-                there, first = known(r, doc)
-                bits = np.where(there & ~first, np.int64(-1), 0)
-                if first.any():
-                    content, found = marks.lookup(r.key[first], np.int64)[1]
-                    bits[first] = np.where(content == r.content.view(np.int64)[first], found, 0)
-                window_at, run = tx.ranges(r.at, r.at + r.n), np.repeat(np.arange(len(r.n)), r.n)
-                gone = window_at[(bits[run] >> (window_at - r.at[run])) & 1 == 1]
-                size = len(r.words) + 1
-                edge = np.bincount(gone, minlength=size) - np.bincount(gone + window, minlength=size)
-                words = np.flatnonzero(np.cumsum(edge)[:-1])
-                yield finish(b.slice(lo, hi - lo), data, r, words)
-
-    return docs.mapInArrow(cut, schema)
+        def cut(batches):
+            for b in batches:
+                for lo, hi, data, r, doc in each(b):
+                    there, first = known(r, doc)
+                    bits = np.where(there & ~first, np.int64(-1), 0)
+                    common = np.zeros(0, np.int64)
+                    if first.any():
+                        content, found = marks.lookup(r.key[first], np.int64)[1]
+                        bits[first] = np.where(content == r.content.view(np.int64)[first], found, 0)
+                        some = np.flatnonzero(first)
+                        for _, at, own, h in split(r, some[sizes.lookup(r.prefix[some], np.int64)[1][0] > group]):
+                            if h is None:
+                                again, (content, d, start, _) = wholes.lookup(r.windows[0][at], np.int64)
+                                again &= (content == r.windows[1][at].view(np.int64)) & ((d != doc[own]) | (start != at - r.first[r.row[own]]))
+                                common = at[again]
+                    window_at, run = tx.ranges(r.at, r.at + r.n), np.repeat(np.arange(len(r.n)), r.n)
+                    gone = np.union1d(window_at[(bits[run] >> (window_at - r.at[run])) & 1 == 1], common)
+                    size = len(r.words) + 1
+                    edge = np.bincount(gone, minlength=size) - np.bincount(gone + window, minlength=size)
+                    words = np.flatnonzero(np.cumsum(edge)[:-1])
+                    yield finish(b.slice(lo, hi - lo), data, r, words)
+
+        return docs.mapInArrow(cut, schema)
+
+    return docs.mapInArrow(suffixes, SENT), cut_by
+
+
+def with_repeats(docs: DataFrame, schema: str, finish, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:
+    """What finish(rows, data, runs, gone) makes of each block of rows (doc_id, text): gone are
+    the places in the block's words that repeat an earlier window. finish gives a record batch
+    of the schema; it runs where the places are found, so that no text passes on."""
+    groups, cut_by = planned(docs, window, k, group)
+    return cut_by(groups, schema, finish)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP) -> DataFrame:

@@ -54,6 +54,11 @@ def summed(keys: np.ndarray, cols: Columns) -> tuple[np.ndarray, Columns]:
     return keys[new], [np.add.reduceat(v[order], new) if len(new) else v for v in cols]
 
 
+def each_of(x, widths: list[int]) -> list:
+    """x for each table, if it is not a list of them."""
+    return x if isinstance(x, list) else [x] * len(widths)
+
+
 def buckets_for(spark: SparkSession) -> tuple[int, int]:
     """(reducing tasks, ranges of keys): ranges follow the shuffle partitions, as a power of two."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -103,25 +108,25 @@ def unblob(unpack, raw: bytes, width: int, kind: str) -> tuple[np.ndarray, Colum
 
 
 class Gather:
-    """Rows of a task by table. widths: columns of each table; whole: integers, else fractions;
-    drop: last bits of keys that are left out; most: numbers held before they are sent."""
+    """Rows of a task by table. widths: columns of each table; combine: of all tables or each; whole:
+    integers, else fractions; drop: last bits of keys that are left out; most: numbers held before they are sent."""
 
-    def __init__(self, buckets: int, widths: list[int], combine: Combine = summed, whole: bool = True, drop: int = 0, most: int = HELD):
-        self.most, self.shift, self.widths, self.combine, self.drop = most, shift_of(buckets), widths, combine, np.uint64(drop)
+    def __init__(self, buckets: int, widths: list[int], combine: Combine | list[Combine] = summed, whole: bool = True, drop: int = 0, most: int = HELD):
+        self.most, self.shift, self.widths, self.combine, self.drop = most, shift_of(buckets), widths, each_of(combine, widths), np.uint64(drop)
         self.kind = np.int64 if whole else np.float64
         self.held, self.size = [[] for _ in widths], 0
 
     def add(self, table: int, keys: np.ndarray, cols: Columns) -> None:
-        got = self.combine(keys >> self.drop << self.drop, [c.astype(self.kind, copy=False) for c in cols])
+        got = self.combine[table](keys >> self.drop << self.drop, [c.astype(self.kind, copy=False) for c in cols])
         self.held[table].append(got)
         self.size += len(got[0]) * (1 + self.widths[table])
 
-    def whole(self, held: list) -> tuple[np.ndarray, Columns]:
+    def whole(self, table: int, held: list) -> tuple[np.ndarray, Columns]:
         """All rows of a table, combined; what is held is let go, sums a column at a time."""
         keys, parts = np.concatenate([k for k, _ in held]), [v for _, v in held]
         held.clear()
-        if self.combine is not summed:
-            return self.combine(keys, [np.concatenate(c) for c in zip(*parts)])
+        if self.combine[table] is not summed:
+            return self.combine[table](keys, [np.concatenate(c) for c in zip(*parts)])
         order = np.argsort(keys)
         keys, cols = keys[order], []
         new = firsts(keys)
@@ -138,7 +143,7 @@ class Gather:
             self.size = 0
             for t, held in enumerate(self.held):
                 if held:
-                    self.held[t] = [self.whole(held)]
+                    self.held[t] = [self.whole(t, held)]
                     self.size += len(self.held[t][0][0]) * (1 + self.widths[t])
         return self.size > 0.7 * self.most
 
@@ -146,7 +151,7 @@ class Gather:
         pack = zstandard.ZstdCompressor(level=1).compress
         for t, held in enumerate(self.held):
             if held:
-                keys, cols = self.whole(held) if len(held) > 1 else held.pop()
+                keys, cols = self.whole(t, held) if len(held) > 1 else held.pop()
                 which = (keys >> self.shift).astype(np.int64)
                 cut = firsts(which)
                 blobs = [blob(pack, keys[a:b], [v[a:b] for v in cols], int(self.drop)) for a, b in zip(cut, np.append(cut[1:], len(keys)).astype(int))]
@@ -154,14 +159,14 @@ class Gather:
         self.held, self.size = [[] for _ in self.widths], 0
 
 
-def by_bucket(batches, widths: list[int], combine: Combine, whole: bool = True):
+def by_bucket(batches, widths: list[int], combine: list[Combine], whole: bool = True):
     """(table, bucket, keys, columns) of successive equal (t, bucket) in sorted blobs. Parts of a
     bucket are combined as they come, so that what many tasks have takes room once."""
     unpack = zstandard.ZstdDecompressor().decompress
     kind, held, key, size, done = "<i8" if whole else "<f8", [], None, 0, 0
 
     def one():
-        return combine(np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*[v for _, v in held])])
+        return combine[key[0]](np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*[v for _, v in held])])
 
     for b in batches:
         for t, bucket, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -290,7 +295,7 @@ class Mapped:
         return hit, rows
 
 
-def stored(blobs: DataFrame, widths: list[int], folder: str, combine: Combine = summed, finish: Combine | None = None, whole: bool = True, exact: list[bool] | bool = True) -> list[list[dict]]:
+def stored(blobs: DataFrame, widths: list[int], folder: str, combine: Combine | list[Combine] = summed, finish: Combine | list[Combine] | None = None, whole: bool = True, exact: list[bool] | bool = True) -> list[list[dict]]:
     """Combines the blobs of a pass and writes its tables; the index of each table.
 
     One index row per table and reducing task reaches the driver: its file, and how many values
@@ -301,14 +306,15 @@ def stored(blobs: DataFrame, widths: list[int], folder: str, combine: Combine =
     schema = "t int, part int, path string, n1 long, n2 long, n3 long, n4 long, n long, total double"
     parts, buckets = buckets_for(blobs.sparkSession)
     exact = [exact] * len(widths) if isinstance(exact, bool) else exact
+    combine, finish = each_of(combine, widths), each_of(finish, widths)
     shift = int(shift_of(buckets))
 
     def write(batches):
         part, outs, sums = TaskContext.get().partitionId(), {}, {}
         for t, bucket, keys, cols in by_bucket(batches, widths, combine, whole):
             cols = [c if whole else np.rint(c).astype(np.int64) for c in cols]
-            if finish is not None:
-                keys, cols = finish(keys, cols)
+            if finish[t] is not None:
+                keys, cols = finish[t](keys, cols)
             if not len(keys):
                 continue
             if t not in outs:
