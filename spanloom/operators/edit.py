@@ -11,7 +11,7 @@ repeats them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,22 +31,35 @@ def _numbered(spans: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint; where the session names no folder, in one below the warehouse."""
+    """df as a checkpoint in the folder that the session names in spark.checkpoint.dir. A local session (tests) that names
+    none gets one below the warehouse; a cluster raises, since its machines would not share it."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         said = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not said and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(said or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
-def repaired(words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, track: DataFrame | None = None) -> DataFrame:
+def cleared(spark: SparkSession) -> bool:
+    """Deletes this session's checkpoints; call it when results have been stored, as they are read
+    lazily from them. False if there are none."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def repaired(words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, track: DataFrame | None = None, frame: float = FRAME) -> DataFrame:
     """Words pulled back to what is spoken of them: by voice if there is a track, else by level if
     there is a signal, else as they are."""
     if track is not None and preset.voice.enabled:
         moved = edl.aligned(words, track, VOICE_FRAME, preset.voice.threshold, preset.voice.max_shift, preset.silence.max_word)
         return words.drop("start", "end").join(moved, [KEY, "idx"])
     if signal is not None:
-        return edl.trimmed(words, edl.levelled(signal), FRAME, preset.silence.max_word, preset.silence.min_gap)
+        return edl.trimmed(words, edl.levelled(signal), frame, preset.silence.max_word, preset.silence.min_gap)
     return words
 
 

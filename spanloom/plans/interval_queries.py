@@ -53,12 +53,11 @@ def interval_drop_glitches(spark, sf_dir):
     return iv.drop_glitches(iv.invert(spans, media), words, 2, 6, 1).withColumnsRenamed(NAMES)
 
 
-@query(f"""WITH {SPANS.replace("spans AS (", "spans AS MATERIALIZED (", 1)}, ranked AS (SELECT *, CASE reason WHEN 'retake' THEN 1 WHEN 'ngram_repeat' THEN 2 WHEN 'filler' THEN 3 ELSE 4 END AS r FROM spans),
-tried AS (SELECT * FROM ranked, (SELECT unnest([0, 1, 2, 3]) AS level) WHERE r > level),
-own AS (SELECT media_id, level, s, e, idx, max(e) OVER (PARTITION BY media_id, level ORDER BY s, e, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM tried),
-total AS (SELECT media_id, level, sum(greatest(e - greatest(s, coalesce(p, s)), 0)) AS t FROM own GROUP BY ALL),
-fit AS (SELECT m.media_id, coalesce(min(l.level) FILTER (coalesce(t, 0) <= duration * 0.3), 3) AS level FROM media m CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS level) l LEFT JOIN total USING (media_id, level) GROUP BY m.media_id)
-SELECT media_id, level, idx, s, e, reason FROM tried JOIN fit USING (media_id, level)""")
+@query(f"""WITH {SPANS}, ranked AS (SELECT *, CASE reason WHEN 'retake' THEN 1 WHEN 'ngram_repeat' THEN 2 WHEN 'filler' THEN 3 ELSE 4 END AS r FROM spans),
+own AS (SELECT media_id, r, s, e, {", ".join(f"max(CASE WHEN r > {k} THEN e END) OVER w AS p{k}" for k in range(3))} FROM ranked WINDOW w AS (PARTITION BY media_id ORDER BY s, e, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+total AS (SELECT media_id, {", ".join(f"coalesce(sum(CASE WHEN r > {k} THEN greatest(e - greatest(s, coalesce(p{k}, s)), 0) END), 0) AS t{k}" for k in range(3))} FROM own GROUP BY media_id),
+fit AS (SELECT media_id, CASE {" ".join(f"WHEN t{k} <= duration * 0.3 THEN {k}" for k in range(3))} ELSE 3 END AS level FROM media JOIN total USING (media_id))
+SELECT media_id, level, idx, s, e, reason FROM ranked JOIN fit USING (media_id) WHERE r > level""")
 def interval_budgeted(spark, sf_dir):
     spans, media = _spans(spark, sf_dir)
     return iv.budgeted(spans, media, 0.3).select("media_id", "level", "idx", F.col("start").alias("s"), F.col("end").alias("e"), "reason")
