@@ -29,6 +29,67 @@ def newest(updates: DataFrame, key: str, updated: str, arrival: str) -> DataFram
     return updates.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(updated, arrival)).alias("_n")).select(key, *[F.col(f"_n.{c}").alias(c) for c in others])
 
 
+def replayed(log: DataFrame, key: str, order: list[str], fixed: list[str], gone: str = "deleted") -> DataFrame:
+    """The rows that a change log leaves: as upserted(), but a row that was deleted (a write whose
+    `gone` is true) and written again starts anew, its fixed columns too; a key whose last write is
+    a deletion has no row. Repeated writes change nothing. One shuffle by key."""
+    at = F.struct(*order)
+    ended = F.max(F.when(F.col(gone), at)).over(W.partitionBy(key))
+    alive = log.withColumn("_ended", ended).filter(F.col("_ended").isNull() | (at > F.col("_ended")))
+    return upserted(alive.drop("_ended", gone), key, order, fixed)
+
+
+def compacted(present: DataFrame, log: DataFrame, key: str, order: list[str], fixed: list[str], gone: str = "deleted") -> DataFrame:
+    """A compacted table (see compact) after further changes. Its rows hold the columns of the log;
+    the fixed ones of the first write since the last deletion, `gone` and the order of the last one. A deleted
+    key stays as a row that says so, so that changes which come late or twice, up to the order
+    that is held, are known as old and change nothing."""
+    others = [c for c in log.columns if c not in (key, gone, *order, *fixed)]
+    held = present.select(*log.columns).withColumn("_new", F.lit(False))
+    both = held.unionByName(log.withColumn("_new", F.lit(True)))
+    at, w = F.struct(*order), W.partitionBy(key)
+    known = F.max(F.when(~F.col("_new"), at)).over(w)
+    both = both.withColumn("_known", known).filter(~F.col("_new") | F.col("_known").isNull() | (at > F.col("_known"))).drop("_known")
+    ended = F.max(F.when(F.col(gone), at)).over(w)
+    last = F.max_by(F.struct(*order, gone, *others), at)
+    first = F.min_by(F.struct(*fixed), F.when(F.col("_ended").isNull() | (at > F.col("_ended")), at)) if fixed else F.lit(None)
+    rows = both.withColumn("_ended", ended).groupBy(key).agg(last.alias("_l"), first.alias("_f"))
+    return rows.select(*[F.col(key) if c == key else F.when(~F.col(f"_l.{gone}"), F.col(f"_f.{c}")).alias(c) if c in fixed else F.col(f"_l.{c}").alias(c) for c in log.columns])
+
+
+def compact(path: str, log: DataFrame, key: str, order: list[str], fixed: list[str], gone: str = "deleted", buckets: int = 64) -> list[int]:
+    """Writes the changes of a log into the table at a path, in buckets of keys by hash: only buckets
+    that the log touches are read and written again. Returns those (at most `buckets` numbers)."""
+    spark = log.sparkSession
+    number = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    changed = log.withColumn("_bucket", number)
+    touched = sorted(r["_bucket"] for r in changed.select("_bucket").distinct().collect())
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        present = spark.read.schema(changed.schema).parquet(path).filter(F.col("_bucket").isin(touched)).drop("_bucket")
+    else:
+        present = log.limit(0)
+    merged = compacted(present, log, key, order, fixed, gone).withColumn("_bucket", number)
+    # By bucket, a file each; the option replaces only the buckets that are written.
+    merged.repartition("_bucket").write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return touched
+
+
+def standing(path: str, spark, gone: str = "deleted") -> DataFrame:
+    """The rows of a compacted table that are not deleted."""
+    return spark.read.parquet(path).filter(~F.col(gone)).drop("_bucket", gone)
+
+
+def changes(log: DataFrame, key: str, order: list[str], columns: list[str], ends: tuple[str, ...] = ("done", "error", "deleted"), status: str = "status") -> DataFrame:
+    """Writes of a log that change what was there, up to and with the first whose status is one of
+    `ends`: what a subscriber from the start is sent (see streams.followed)."""
+    w = W.partitionBy(key).orderBy(*order)
+    before = F.lag(F.struct(*columns)).over(w)
+    ended = F.max(F.col(status).isin(*ends).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = log.withColumn("_before", before).withColumn("_ended", F.coalesce(ended, F.lit(0)))
+    return marked.filter((F.col("_ended") == 0) & ~F.col("_before").eqNullSafe(F.struct(*columns))).drop("_before", "_ended")
+
+
 def noted(deliveries: DataFrame, key: str, arrival: str) -> DataFrame:
     """deliveries with `fresh`: whether each is the first with its id."""
     return deliveries.withColumn("fresh", F.row_number().over(W.partitionBy(key).orderBy(arrival)) == 1)

@@ -10,6 +10,7 @@ from ..sources import adapters as src
 from ..sources import media as md
 from ..sources import seams
 from .edit_queries import CUT, MEDIA, PIECES, SEGMENTS, _edit
+from ..streaming import sinks
 from .registry import query
 from .views import FRAMES, WORDS
 
@@ -126,10 +127,16 @@ def long_signal_chunks(spark, sf_dir):
     return md.chunk_plan(signal, 0.1, 2.0, 0.5)
 
 
-@query("SELECT o_orderkey AS media_id, CASE WHEN o_custkey % 2 = 0 THEN 'published' ELSE 'published' END AS status, substr(repeat('x', CAST(o_custkey * 3 AS BIGINT)), 1, 2200) AS caption FROM orders")
+@query("""SELECT o_orderkey AS media_id, CASE WHEN o_custkey % 9 = 0 OR o_custkey * 3 > 2200 THEN 'failed' ELSE 'published' END AS status,
+CASE WHEN o_custkey % 9 = 0 THEN 'no such file' WHEN o_custkey * 3 > 2200 THEN 'caption is over 2200 characters' END AS reason FROM orders""")
 def published_videos(spark, sf_dir):
-    o = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media_id"), F.concat(F.lit("/v/"), F.col("o_orderkey").cast("string")).alias("path"), F.repeat(F.lit("x"), (F.col("o_custkey") * 3).cast("int")).alias("caption"))
-    return seams.published(o).select("media_id", "status", "caption")
+    """Videos that are refused before they are sent, with the reason, and the answers for the others."""
+    key = F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_custkey") % 9 != 0, F.concat(F.lit("/v/"), key))
+    videos = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media_id"), path.alias("path"), F.repeat(F.lit("x"), (F.col("o_custkey") * 3).cast("int")).alias("caption"))
+    refused = sinks.refused(videos)
+    sent = seams.published(videos.join(refused, "media_id", "left_anti"))
+    return sent.select("media_id", "status", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("media_id", F.lit("failed").alias("status"), "reason"))
 
 
 @query()

@@ -52,3 +52,32 @@ def windows(events: DataFrame, time: str, size: str, delay: str, slide: str | No
 def snapshots(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs a query over what is there now, giving each batch to an idempotent writer."""
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def followed(jobs: DataFrame, columns: list[str], ends: tuple[str, ...] = ("done", "error", "deleted")) -> DataFrame:
+    """Snapshots of jobs (id long, seq long, status string and further columns) as a subscriber gets
+    them: the present state first (of what was there when the stream began, the last), then each
+    change, until a status of `ends`; what comes after the end of a job is not sent.
+
+    The state of a job is its last snapshot, kept after its end too, so that an ended job stays silent."""
+    types = {f.name: f.dataType.simpleString() for f in jobs.schema}
+    said = [c for c in columns if c != "status"]
+    out = ["id", "seq", "status", *said]
+    held = ", ".join(f"`{c}` {types[c]}" for c in out[1:])
+
+    def step(key, frames, state: GroupState):
+        rows = pd.concat(list(frames)).sort_values("seq")
+        last, sent = tuple(state.get) if state.exists else None, []
+        for r in rows[out[1:]].astype(object).where(rows[out[1:]].notna(), None).itertuples(index=False, name=None):
+            if last is not None and (last[1] in ends or r[0] <= last[0] or r[1:] == last[1:]):
+                continue
+            last = (int(r[0]), *r[1:])
+            sent.append(last)
+        if sent:
+            first = not state.exists
+            state.update(last)
+            sent = sent[-1:] if first else sent
+        yield pd.DataFrame([(key[0], *s) for s in sent], columns=out)
+
+    rows = jobs.select("id", "seq", "status", *said)
+    return rows.groupBy("id").applyInPandasWithState(step, f"id long, {held}", held, "update", GroupStateTimeout.NoTimeout)
