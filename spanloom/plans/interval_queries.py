@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..operators import quarantine as qu
 from ..sources import adapters as src
 from .registry import query
 from .views import POINTS, SPANS
@@ -190,3 +191,14 @@ def edit_summary(spark, sf_dir):
     kept = iv.invert(spans, media).groupBy("media_id").agg(F.sum(F.col("end") - F.col("start")).alias("kept"), F.count("*").alias("n_segments"))
     joined = media.join(cut, "media_id").join(kept, "media_id", "left")
     return joined.select("media_id", "duration", "n_removed", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"))
+
+
+@query(f"""WITH {SPANS}, n AS (SELECT media_id, s, e, lag(e) OVER (PARTITION BY media_id ORDER BY s, e) > s AS met FROM spans),
+bad AS (SELECT media_id, CAST(count(*) AS BIGINT) AS faults FROM n WHERE met GROUP BY media_id)
+SELECT media_id, s, e, CAST(sum(e - s) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) - (e - s) AS BIGINT) AS o, NULL AS error, NULL::BIGINT AS faults FROM n WHERE media_id NOT IN (SELECT media_id FROM bad)
+UNION ALL SELECT media_id, NULL, NULL, NULL, 'segments overlap', faults FROM bad""")
+def quarantined_maps(spark, sf_dir):
+    """Time maps of the orders whose spans are disjoint, and an error row for each of the others."""
+    good, errors = qu.mapped(_spans(spark, sf_dir)[0])
+    rows = good.select("media_id", F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("out_start").cast("long").alias("o"))
+    return rows.unionByName(errors.select("media_id", "error", F.col("n").alias("faults")), allowMissingColumns=True)
