@@ -173,13 +173,29 @@ def breathed_segments(spark, sf_dir):
     return edl.breathed(_seconds(kept), _seconds(w), _signal(spark, sf_dir), 0.02).withColumnsRenamed(NAMES)
 
 
-@query()
+#: The words in seconds, the frames of a conversation's signal, and which of them are quiet.
+SPOKEN = "sized AS (SELECT media_id, CAST(trunc(max(e) / 20.0::DOUBLE) AS INTEGER) AS n FROM words GROUP BY media_id), spoken AS (SELECT media_id, idx, text, s / 1000.0::DOUBLE AS s, e / 1000.0::DOUBLE AS e, n, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS k, lead(s / 1000.0::DOUBLE) OVER (PARTITION BY media_id ORDER BY idx) AS nxt FROM words JOIN sized USING (media_id))"
+FRAME_OF = "least(greatest(CAST(trunc(({0}) / 0.02::DOUBLE) AS INTEGER), 0), n)"
+HUSHED = "(i * 7 + media_id * 3) % 23 < 9"
+
+
+@query(f"""WITH RECURSIVE {WORDS}, {SPOKEN},
+o AS (SELECT *, list_min(list_filter(range({FRAME_OF.format("s")}, {FRAME_OF.format("s + least(1.0::DOUBLE, greatest(e - s, 0))")} + 1), lambda i: NOT {HUSHED})) * 0.02::DOUBLE AS onset FROM spoken),
+m AS (SELECT *, CASE WHEN onset > s THEN least(onset, e - 0.02::DOUBLE) ELSE s END AS a FROM o),
+r AS (SELECT media_id, idx, text, k, greatest(a, 0) AS s, greatest(least(e, coalesce(nxt, e)), greatest(a, 0) + 0.02::DOUBLE) AS e FROM m WHERE k = 1
+  UNION ALL SELECT m.media_id, m.idx, m.text, m.k, greatest(m.a, r.e), greatest(least(m.e, coalesce(m.nxt, m.e)), greatest(m.a, r.e) + 0.02::DOUBLE) FROM r JOIN m ON m.media_id = r.media_id AND m.k = r.k + 1)
+SELECT media_id, idx, s, e FROM r""")
 def aligned_words(spark, sf_dir):
     track = _signal(spark, sf_dir).select("media_id", F.transform("db", lambda x: (x + 70) / 60).alias("probs"))
     return edl.aligned(_seconds(src.conversation_words(spark, sf_dir)), track, 0.02).withColumnsRenamed(NAMES)
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, {SPOKEN}, f AS (SELECT *, {FRAME_OF.format("s")} AS here, {FRAME_OF.format("s - 0.12::DOUBLE")} AS lo, {FRAME_OF.format("s + 0.12::DOUBLE")} AS hi FROM spoken),
+b AS (SELECT *, CASE WHEN here <= lo THEN here ELSE coalesce(list_max(list_filter(range(lo, here), lambda i: {HUSHED})) + 1, lo) END AS back, coalesce(list_min(list_filter(range(here, hi), lambda i: NOT {HUSHED})), greatest(here, hi)) AS forth FROM f),
+o AS (SELECT *, CASE WHEN back < here THEN back ELSE forth END * 0.02::DOUBLE AS onset, coalesce(nxt, e + 0.12::DOUBLE) AS until FROM b),
+r AS (SELECT media_id, idx, k, greatest(least(greatest(onset, 0), e - 0.01::DOUBLE, until - 0.02::DOUBLE), 0) AS s, greatest(e, greatest(least(greatest(onset, 0), e - 0.01::DOUBLE, until - 0.02::DOUBLE), 0) + 0.02::DOUBLE) AS e FROM o WHERE k = 1
+  UNION ALL SELECT o.media_id, o.idx, o.k, greatest(least(greatest(o.onset, r.e), o.e - 0.01::DOUBLE, o.until - 0.02::DOUBLE), 0), greatest(o.e, greatest(least(greatest(o.onset, r.e), o.e - 0.01::DOUBLE, o.until - 0.02::DOUBLE), 0) + 0.02::DOUBLE) FROM r JOIN o ON o.media_id = r.media_id AND o.k = r.k + 1)
+SELECT media_id, idx, s, e FROM r""")
 def refined_words(spark, sf_dir):
     w = _seconds(src.conversation_words(spark, sf_dir))
     onsets = w.join(_signal(spark, sf_dir), "media_id").select("media_id", "idx", sg.onset_near(F.col("start"), F.col("db"), 0.02, F.col("silence")).alias("onset"))

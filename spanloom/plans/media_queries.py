@@ -121,7 +121,11 @@ def largest_box(spark, sf_dir):
     return best.select("media_id", "i", "x", (F.col("w") * F.col("h")).alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, sig AS (SELECT media_id, list(db ORDER BY i) AS db FROM frames GROUP BY media_id),
+c AS (SELECT media_id, 0 AS chunk, 0.0::DOUBLE AS s FROM sig UNION ALL
+  SELECT media_id, chunk + 1, s + 2.0::DOUBLE - 0.5::DOUBLE + 0.1::DOUBLE * (list_position(l, list_min(l)) - 1) FROM (
+    SELECT c.*, list_transform(range(0, 11), lambda k: db[least(greatest(CAST(trunc((s + 2.0::DOUBLE - 0.5::DOUBLE + 0.1::DOUBLE * k) / 0.1::DOUBLE) AS INTEGER), 0), 63) + 1]) AS l FROM c JOIN sig USING (media_id)) WHERE 6.4::DOUBLE - s > 2.5::DOUBLE)
+SELECT media_id, CAST(chunk AS INTEGER) AS chunk, s AS start, coalesce(lead(s) OVER (PARTITION BY media_id ORDER BY chunk), 6.4::DOUBLE) AS "end" FROM c""")
 def long_signal_chunks(spark, sf_dir):
     signal = sg.packed(src.vector_frames(spark, sf_dir)).withColumn("duration", F.lit(6.4))
     return md.chunk_plan(signal, 0.1, 2.0, 0.5)
@@ -139,7 +143,13 @@ def published_videos(spark, sf_dir):
     return sent.select("media_id", "status", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("media_id", F.lit("failed").alias("status"), "reason"))
 
 
-@query()
+@query(f"""WITH {FRAMES}, f AS (SELECT media_id, i, db < middle - 4 AS quiet, db > middle + 8 AS loud FROM frames JOIN levels USING (media_id)),
+gaps AS (SELECT media_id, k, k * 16 AS lo, k * 16 + 12 AS hi FROM levels, (SELECT unnest(range(0, 4)) AS k)),
+q AS (SELECT media_id, min(i) AS a, max(i) + 1 AS b FROM (SELECT media_id, i, i - row_number() OVER (PARTITION BY media_id ORDER BY i) AS g FROM f WHERE quiet) GROUP BY media_id, g HAVING count(*) >= 2),
+inside AS (SELECT g.media_id, g.k, g.lo AS g_lo, greatest(a, g.lo) AS lo, least(b, g.hi) AS hi FROM gaps g JOIN q ON q.media_id = g.media_id WHERE least(b, g.hi) - greatest(a, g.lo) >= 2),
+l AS (SELECT media_id, k, max(n) AS n FROM (SELECT media_id, k, g, count(*) AS n FROM (SELECT f.media_id, k, i - row_number() OVER (PARTITION BY f.media_id, k ORDER BY i) AS g FROM f JOIN gaps ON gaps.media_id = f.media_id AND i >= lo AND i < hi WHERE loud) GROUP BY ALL) GROUP BY media_id, k),
+cuts AS (SELECT media_id, g_lo, lo, hi FROM inside UNION ALL SELECT g.media_id, g.lo, g.lo, g.hi FROM gaps g LEFT JOIN l USING (media_id, k) WHERE k % 2 = 0 AND coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM inside x WHERE x.media_id = g.media_id AND x.k = g.k))
+SELECT media_id, greatest(lo, g_lo + 1) AS s, hi AS e, 'silence' AS reason, 1.0::DOUBLE AS confidence, 'pause' AS detail FROM cuts WHERE hi - greatest(lo, g_lo + 1) > 0.5""")
 def signal_silences(spark, sf_dir):
     """Silences where the signal agrees: runs inside word gaps, on embeddings as signals."""
     frames = src.vector_frames(spark, sf_dir)

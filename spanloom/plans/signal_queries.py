@@ -158,7 +158,22 @@ def track_smooth(spark, sf_dir):
     return sg.smoothed(sg.fill_forward(_track(spark, sf_dir)))
 
 
-@query()
+#: The tolerances that are tried, as they grow.
+TOLERANCES = [0.004]
+while TOLERANCES[-1] <= 0.2:
+    TOLERANCES.append(TOLERANCES[-1] * 1.8)
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {TRACK}, {FILLED}, t AS (SELECT media_id, i, x, y FROM filled WHERE rate >= 0.6),
+m AS (SELECT media_id, i, x, y FROM t WHERE i = 0 UNION ALL
+  SELECT t.media_id, t.i, CASE WHEN abs(t.x - m.x) > 0.06::DOUBLE THEN m.x + (t.x - m.x) * 0.12::DOUBLE ELSE m.x END, CASE WHEN abs(t.y - m.y) > 0.06::DOUBLE THEN m.y + (t.y - m.y) * 0.12::DOUBLE ELSE m.y END FROM m JOIN t ON t.media_id = m.media_id AND t.i = m.i + 1),
+tol AS (SELECT unnest(range(0, {len(TOLERANCES)})) AS j, unnest([{", ".join(f"{x!r}::DOUBLE" for x in TOLERANCES)}]) AS tol),
+g AS (SELECT media_id, j, tol, i, x, y, x AS kx, y AS ky, true AS kept FROM m, tol WHERE i = 0 UNION ALL
+  SELECT m.media_id, j, tol, m.i, m.x, m.y, CASE WHEN abs(m.x - kx) >= tol OR abs(m.y - ky) >= tol THEN m.x ELSE kx END, CASE WHEN abs(m.x - kx) >= tol OR abs(m.y - ky) >= tol THEN m.y ELSE ky END, abs(m.x - kx) >= tol OR abs(m.y - ky) >= tol FROM g JOIN m ON m.media_id = g.media_id AND m.i = g.i + 1),
+k AS (SELECT *, i = max(i) OVER (PARTITION BY media_id) AS last FROM g),
+n AS (SELECT media_id, j, any_value(tol) AS tol, count(*) AS n FROM k WHERE kept OR last GROUP BY media_id, j),
+best AS (SELECT media_id, min(j) AS j FROM n WHERE n <= 12 OR tol > 0.2 GROUP BY media_id)
+SELECT media_id, i, x, y FROM k JOIN best USING (media_id, j) WHERE kept OR last""")
 def track_simplify(spark, sf_dir):
     return sg.simplified(sg.smoothed(sg.fill_forward(_track(spark, sf_dir))), limit=12)
 
@@ -200,7 +215,11 @@ def trimmed_words(spark, sf_dir):
     return sg.trimmed(words, silent, 0.1, 0.8, 2).withColumnsRenamed({"start": "s", "end": "e"})
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, sig AS (SELECT media_id, list(db ORDER BY i) AS db, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY media_id),
+q AS (SELECT media_id, i AS idx, i * 0.1::DOUBLE AS t, sig.db, least(greatest(CAST(trunc((i * 0.1::DOUBLE - 0.3::DOUBLE) / 0.1::DOUBLE) AS INTEGER), 0), n - 1) AS lo, least(greatest(CAST(trunc((i * 0.1::DOUBLE + 0.3::DOUBLE) / 0.1::DOUBLE) AS INTEGER), 0), n - 1) AS hi FROM frames JOIN sig USING (media_id) WHERE i % 9 = 4),
+near AS (SELECT media_id, idx, t, CASE WHEN hi > lo THEN (lo + list_position(db[lo + 1:hi + 1], list_min(db[lo + 1:hi + 1])) - 1) * 0.1::DOUBLE ELSE t END AS n, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS k FROM q),
+r AS (SELECT media_id, idx, k, n AS t FROM near WHERE k = 1 UNION ALL SELECT x.media_id, x.idx, x.k, CASE WHEN x.n < r.t THEN x.t ELSE x.n END FROM r JOIN near x ON x.media_id = r.media_id AND x.k = r.k + 1)
+SELECT media_id, idx, t FROM r""")
 def snapped_boundaries(spark, sf_dir):
     frames, _ = _frames(spark, sf_dir)
     times = frames.filter("i % 9 = 4").select("media_id", F.col("i").cast("long").alias("idx"), (F.col("i") * 0.1).alias("t"))
