@@ -5,4 +5,4 @@ from . import signal_queries  # noqa: F401
 from . import detect_queries  # noqa: F401
 from . import edit_queries, store_queries  # noqa: F401
 from . import media_queries  # noqa: F401
-from . import repair_queries, sink_queries, whole_edit_queries  # noqa: F401
+from . import render_queries, repair_queries, sink_queries, whole_edit_queries  # noqa: F401

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.intervals import KEY
 
@@ -86,6 +87,24 @@ def timelines(rows: DataFrame) -> dict[str, DataFrame]:
     return {"media": t.select(KEY, "source", "duration", "fps", "width", "height"), "words": child("words"), "removals": child("removals"), "segments": child("keep_segments")}
 
 
+def timeline_json(media: DataFrame, words: DataFrame, removals: DataFrame, segments: DataFrame) -> DataFrame:
+    """The reverse of timelines(): one document per media, its child lists ordered by idx. All
+    children meet in one grouping, whatever their number; a media without some has empty lists."""
+    fields = T.StructType.fromDDL(TIMELINE)
+    lists = {f.name: [x.name for x in f.dataType.elementType.fields] for f in fields if isinstance(f.dataType, T.ArrayType)}
+    tables = {"words": words, "removals": removals, "keep_segments": segments}
+    rows = None
+    for name, names in lists.items():
+        own = [c if c in tables[name].columns else F.lit(None).cast(fields[name].dataType.elementType[c].dataType).alias(c) for c in names]
+        child = tables[name].select(KEY, F.struct("idx", F.struct(*own).alias("x")).alias(name))
+        rows = child if rows is None else rows.unionByName(child, allowMissingColumns=True)
+    made = rows.groupBy(KEY).agg(*[F.transform(F.array_sort(F.collect_list(n)), lambda r: r["x"]).alias(n) for n in lists])
+    head = [f.name for f in fields if f.name not in lists]
+    whole = media.select(KEY, *head).join(made, KEY, "left")
+    some = [F.coalesce(n, F.array().cast(fields[n].dataType)).alias(n) for n in lists]
+    return whole.select(KEY, F.to_json(F.struct(*head, *some)).alias("json"))
+
+
 def edit_json(chosen: DataFrame, segments: DataFrame) -> DataFrame:
     """One document per media: the ids that are kept and the segments that they make."""
     keep = chosen.groupBy(KEY).agg(F.array_sort(F.collect_set("part")).alias("keep"))

@@ -178,11 +178,16 @@ def test_alignment_only_moves_inward(spark):
 
 
 def test_simplified_tracks_stay_within_the_limit(spark):
+    """A drift of many small steps is thinned until 48 points stay; each point lies near the one kept before it."""
     rng = random.Random(1)
-    rows = [(1, i, rng.random(), rng.random()) for i in range(200)] + [(2, i, 0.5, 0.5) for i in range(9)]
+    walk = [(1, i, 0.003 * i + rng.random() / 500, 0.5) for i in range(300)]
+    rows = walk + [(2, i, 0.5, 0.5) for i in range(9)] + [(3, i, 0.1 + 0.3 * (i > 4), 0.5) for i in range(9)]
     out = sg.simplified(spark.createDataFrame(rows, "media_id long, i long, x double, y double")).collect()
-    assert sum(r["media_id"] == 1 for r in out) <= 200
-    assert [r["i"] for r in out if r["media_id"] == 2] == [0, 8]
+    kept = sorted(r["i"] for r in out if r["media_id"] == 1)
+    assert 20 <= len(kept) <= 48 and (kept[0], kept[-1]) == (0, 299)
+    # The tolerance grew to the first that is enough: some four of its steps, 0.0233, leave 39 points or so.
+    assert all(abs(x - walk[max(k for k in kept if k <= i)][2]) < 0.004 * 1.8**3 + 1e-9 for _, i, x, _ in walk)
+    assert [r["i"] for r in out if r["media_id"] == 2] == [0, 8] and sorted(r["i"] for r in out if r["media_id"] == 3) == [0, 5, 8]
 
 
 def test_caption_states_sum_to_the_timeline(spark):
