@@ -158,9 +158,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, contaminated and
     hit_words (places of the hit words). docs need a column `text`; their others stay."""
     docs = make_room(docs, [name], keep="text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    # A window starts at a word, and a word takes two bytes of text with its separator.
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
+    # Items without a word have no window; there may be any number of them.
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    # A window starts at a word, and a word takes two bytes of text with its separator; ids go along.
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1 + F.coalesce(F.octet_length("item_id"), F.lit(0)) / 150), F.lit(0.0))).first()[0]
     if size > most:
         return joined(docs, items, window, k, name)
     rows = items.collect()
