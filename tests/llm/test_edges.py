@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, lm, packing, queries, samples, secrets, shared, simhash, substrings, token_files, toxicity
+from spanloom.llm import decontam, jaccard, langid, lm, packing, queries, samples, secrets, shared, simhash, substrings, token_files, toxicity
 from spanloom.llm import text as tx
 
 from test_llm import by_id, crc, ids_of, plain_dedup
@@ -216,6 +216,42 @@ def test_texts_of_megabytes(spark):
     assert hashlib.sha256(got[1]["kept"].encode()).hexdigest() == hashlib.sha256(big.encode()).hexdigest()
 
 
+def test_megabytes_through_the_other_operators(spark):
+    """Whole texts of megabytes, one word of megabytes, and what stands at their very ends."""
+    rng = random.Random(4)
+    big = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000))
+    tail = "one two three four five six seven eight nine ten"
+    rows = [(1, f"{big} {tail}"), (2, "x" * 2_000_000), (3, f"{big} {tail} more"), (4, ""), (5, "the river was calm and the house was near " * 20_000 + "scum")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(7, tail), (8, None), (9, "!?")], "item_id long, text string")
+    for most in (decontam.BROADCAST_WINDOWS, 0):
+        hits = by_id(decontam.decontaminate(d, bench, most=most))
+        assert {i: r["hits"]["n_hit"] for i, r in hits.items()} == {1: 10, 2: 0, 3: 10, 4: 0, 5: 0} and hits[1]["hits"]["n_words"] == 200_010
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    short = spark.createDataFrame([(100 + i, "such a scum text" if i % 2 else "such a fine text") for i in range(40)], "doc_id long, text string")
+    scored = by_id(toxicity.score(d, toxicity.fit(short, labels, F.lit(True))))
+    assert scored[5]["score"] > 0.5 > scored[1]["score"]
+    q = by_id(queries.quality.quality_rules(d))
+    assert (q[1]["_q"]["n_words"], q[2]["_q"]["word_chars"], q[5]["_q"]["n_repeat_words"]) == (200_010, 2_000_000, 180_000)
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i in range(30) for t, lang in ((f"the river was calm {i}", "en"), (f"der fluss war ruhig {i}", "de"))], "doc_id long, text string, lang string"), F.lit(True))
+    said = by_id(langid.predict(d, model))
+    assert (said[5]["lang_pred"], said[4]["lang_pred"]) == ("en", "und")
+    near = by_id(simhash.near_duplicates(d))
+    assert near[3]["component_id"] == 1 and near[5]["component_id"] == 5
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(d).collect()) == [1, 2, 4, 5]
+    packed, total = packing.pack_documents(d, queries.tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect(), ids_of([t for _, t in rows])
+    assert {r["doc_id"]: r["n"] for r in packed} == {i: len(x) for (i, _), x in zip(rows, total)} and all(r["n"] == r["t"] for r in packed)
+
+
+def test_codewords_of_many_languages_take_a_moment():
+    import time
+
+    start = time.process_time()
+    code = langid.codewords(500)
+    assert code.shape[0] == 500 and time.process_time() - start < 10
+    assert min(int((a != b).sum()) for a, b in zip(code, code[1:])) >= 1 and len({tuple(r) for r in code.tolist()}) == 500
+
+
 def test_what_was_written_can_be_deleted(spark):
     import os
 
