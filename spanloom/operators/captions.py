@@ -13,11 +13,15 @@ from .fold import folded
 from .intervals import KEY
 
 
+#: Seconds of the buckets by which words meet segments.
+BUCKET = 10
+
+
 def placed(words: DataFrame, mapped: DataFrame, config: Captions = Captions(), unit: float = 1) -> DataFrame:
     """Words of which at least `visible` survives, in output time; one that would start before
     the end of the one before yields to it."""
-    seen = iv.kept_fraction(words, mapped).filter(F.col("fraction") >= config.visible)
-    spans = iv.map_span(seen.select(KEY, "idx", "text", "start", "end"), mapped)
+    seen = iv.kept_fraction(words, mapped, BUCKET * unit).filter(F.col("fraction") >= config.visible)
+    spans = iv.map_span(seen.select(KEY, "idx", "text", "start", "end"), mapped, BUCKET * unit)
     rows = spans.select(KEY, F.col("idx").cast("long").alias("idx"), stripped(F.col("text")).alias("text"), (F.col("out_from").cast("double") + config.offset * unit).alias("a"), (F.col("out_to").cast("double") + config.offset * unit).alias("b"))
     blink = 0.05 * unit
 

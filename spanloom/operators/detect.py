@@ -181,10 +181,15 @@ def superseded(spans: DataFrame, words: DataFrame, config: Retakes = Retakes(),
     few content words. The overlap grows with the window, so only the widest is counted."""
     tokens = words.select(KEY, "idx", normalized(F.col("text")).alias("t"), "start", "end")
     numbered = spans.select(KEY, "first", "last").distinct()
-    ends = numbered.join(tokens.select(KEY, F.col("idx").alias("last"), F.col("end").alias("_end")), [KEY, "last"])
+    # What follows a word within the window lies between the least start after it and the window's
+    # end: words meet spans by the windows' lengths of time that these touch.
+    span = config.window * unit
+    soonest = F.min("start").over(W.partitionBy(KEY).orderBy("idx").rowsBetween(1, W.unboundedFollowing))
+    ends = numbered.join(tokens.select(KEY, F.col("idx").alias("last"), F.col("end").alias("_end"), soonest.alias("_low")), [KEY, "last"])
+    ends = ends.filter(F.col("_low") <= F.col("_end") + span).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / span), F.floor((F.col("_end") + span) / span))))
     places = numbered.withColumn("idx", F.explode(F.sequence("first", "last")))
     own = places.join(tokens, [KEY, "idx"]).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_o"))
-    after = ends.join(tokens, KEY).filter((F.col("idx") > F.col("last")) & (F.col("start") <= F.col("_end") + config.window * unit)).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_a"))
+    after = ends.join(tokens.withColumn("_b", F.floor(F.col("start") / span)), [KEY, "_b"]).filter((F.col("idx") > F.col("last")) & (F.col("start") <= F.col("_end") + span)).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_a"))
     both = own.join(after, [KEY, "first", "last"], "left")
     texts = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<idx: bigint, t: string>>")), lambda x: x["t"])
     both = both.withColumn("_o", content_words(texts(F.col("_o")), stop_words)).withColumn("_a", texts(F.col("_a")))

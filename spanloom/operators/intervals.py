@@ -196,10 +196,10 @@ def contained(words: DataFrame, spans: DataFrame, slack=0, bucket=None) -> DataF
     return words.withColumn("_b", F.floor(F.col("start") / bucket)).join(s, [KEY, "_b"]).filter(inside).drop("_b")
 
 
-def kept_fraction(words: DataFrame, segments: DataFrame) -> DataFrame:
+def kept_fraction(words: DataFrame, segments: DataFrame, bucket=None) -> DataFrame:
     """words (with idx) and `fraction` of their length in segments; a word of no length has 1
-    where a closed segment holds it."""
-    pairs = overlapping(words.select(KEY, "idx", "start", "end"), segments.select(KEY, "start", "end"))
+    where a closed segment holds it. bucket: see overlapping."""
+    pairs = overlapping(words.select(KEY, "idx", "start", "end"), segments.select(KEY, "start", "end"), bucket)
     sums = pairs.groupBy(KEY, F.col("l_idx").alias("idx")).agg(F.sum("overlap").alias("_sum"))
     flat = is_kept(words.filter("end <= start").select(KEY, "idx", F.col("start").alias("t")), segments).select(KEY, "idx", "kept")
     length = F.col("end") - F.col("start")
@@ -207,10 +207,10 @@ def kept_fraction(words: DataFrame, segments: DataFrame) -> DataFrame:
     return words.join(sums, [KEY, "idx"], "left").join(flat, [KEY, "idx"], "left").withColumn("fraction", share.cast("double")).drop("_sum", "kept")
 
 
-def map_span(words: DataFrame, mapped: DataFrame) -> DataFrame:
+def map_span(words: DataFrame, mapped: DataFrame, bucket=None) -> DataFrame:
     """Words clipped to the segment that they overlap most (the first of equals), in output
-    time, as out_from and out_to; words that overlap none are left out."""
-    pairs = overlapping(words, mapped)
+    time, as out_from and out_to; words that overlap none are left out. bucket: see overlapping."""
+    pairs = overlapping(words, mapped, bucket)
     w = W.partitionBy(KEY, "l_idx").orderBy(F.desc("overlap"), "r_seg")
     best = pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     at = lambda t: F.col("r_out_start") + t - F.col("r_start")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fold import folded
+from . import intervals as iv
 from .intervals import KEY
 
 
@@ -42,12 +43,15 @@ def silent_runs(frames: DataFrame, known: DataFrame, least: int) -> DataFrame:
     return runs(frames.join(known.select(KEY, "silence"), KEY), F.col("db") < F.col("silence"), least)
 
 
+#: Frames of the buckets by which spans meet runs.
+BUCKET = 1024
+
+
 def longest_run(spans: DataFrame, frames: DataFrame, holds: Column, over: list[str]) -> DataFrame:
     """spans (with lo, hi) and `longest`, the frames of the longest run inside [lo, hi)."""
-    inside = runs(frames, holds)
-    pairs = spans.join(inside.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}), KEY)
-    width = F.least("hi", "_hi") - F.greatest("lo", "_lo")
-    best = pairs.withColumn("_w", width).filter("_w > 0").groupBy(KEY, *over).agg(F.max("_w").alias("longest"))
+    wanted = spans.select(KEY, *over, F.col("lo").alias("start"), F.col("hi").alias("end"))
+    pairs = iv.overlapping(wanted, runs(frames, holds).select(KEY, F.col("lo").alias("start"), F.col("hi").alias("end")), BUCKET)
+    best = pairs.groupBy(KEY, *[F.col(f"l_{c}").alias(c) for c in over]).agg(F.max("overlap").alias("longest"))
     return spans.join(best, [KEY, *over], "left").withColumn("longest", F.coalesce("longest", F.lit(0)))
 
 
@@ -172,8 +176,9 @@ def trimmed(words: DataFrame, silent: DataFrame, frame: float, longest: float, l
     """Words (idx, start, end) of over `longest` end where the first silence inside them starts;
     one that starts at their start is left alone. silent: runs (lo, hi) of frames below the level."""
     spans = words.filter(F.col("end") - F.col("start") > longest).select(KEY, "idx", "start", (F.col("start") / frame).cast("int").alias("_a"), (F.col("end") / frame).cast("int").alias("_b"))
-    runs_in = spans.join(silent, KEY).withColumn("_lo", F.greatest("lo", "_a")).withColumn("_hi", F.least("hi", "_b")).filter(F.col("_hi") - F.col("_lo") >= least)
-    first = runs_in.groupBy(KEY, "idx").agg((F.min("_lo") * F.lit(frame)).alias("_at"))
+    wanted = spans.select(KEY, "idx", F.col("_a").alias("start"), F.col("_b").alias("end"))
+    runs_in = iv.overlapping(wanted, silent.select(KEY, F.col("lo").alias("start"), F.col("hi").alias("end")), BUCKET).filter(F.col("overlap") >= least)
+    first = runs_in.groupBy(KEY, F.col("l_idx").alias("idx")).agg((F.min(F.greatest("l_start", "r_start")) * F.lit(frame)).alias("_at"))
     moved = F.when(F.col("_at") > F.col("start"), F.greatest(F.col("_at"), F.col("start") + 0.02))
     return words.join(first, [KEY, "idx"], "left").withColumn("end", F.coalesce(moved, F.col("end"))).drop("_at")
 
@@ -255,12 +260,10 @@ def simplified(track: DataFrame, tolerance: float = 0.004, limit: int = 48) -> D
 
 def piecewise(times: DataFrame, keys: DataFrame, step: bool = False) -> DataFrame:
     """times (t) with `value`: the keyframes (t, v) held or joined by lines; outside, the nearest."""
-    from .intervals import as_of
-
     w = W.partitionBy(KEY).orderBy("t")
     spans = keys.select(KEY, F.col("t").alias("_t0"), F.col("v").alias("_v0")).withColumn("_t1", F.lead("_t0").over(w.orderBy("_t0"))).withColumn("_v1", F.lead("_v0").over(w.orderBy("_t0")))
     first = keys.groupBy(KEY).agg(F.min_by("v", "t").alias("_head"))
-    found = as_of(times, spans, "t", "_t0", ["_t0", "_v0", "_t1", "_v1"]).join(first, KEY, "left")
+    found = iv.as_of(times, spans, "t", "_t0", ["_t0", "_v0", "_t1", "_v1"]).join(first, KEY, "left")
     slope = (F.col("_v1") - F.col("_v0")) / (F.col("_t1") - F.col("_t0"))
     line = F.col("_v0") if step else F.when(F.col("_t1") > F.col("_t0"), F.col("_v0") + slope * (F.col("t") - F.col("_t0"))).otherwise(F.col("_v0"))
     return found.withColumn("value", F.coalesce(line, "_head")).drop("_t0", "_v0", "_t1", "_v1", "_head")

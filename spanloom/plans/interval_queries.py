@@ -109,7 +109,7 @@ SELECT w.media_id, w.idx, CAST(coalesce(sum(greatest(least(w.e, k.e) - greatest(
 def interval_kept_fraction(spark, sf_dir):
     spans, media = _spans(spark, sf_dir)
     wide = spans.select("media_id", "idx", (F.col("start") - 4).alias("start"), (F.col("end") + 4).alias("end"))
-    return iv.kept_fraction(wide, iv.invert(spans, media)).select("media_id", "idx", "fraction")
+    return iv.kept_fraction(wide, iv.invert(spans, media), 50).select("media_id", "idx", "fraction")
 
 
 @query(f"""WITH {SPANS}, w AS (SELECT media_id, idx, s - 4 AS s, e + 4 AS e FROM spans),
@@ -120,7 +120,7 @@ def interval_map_span(spark, sf_dir):
     spans, media = _spans(spark, sf_dir)
     wide = spans.select("media_id", "idx", (F.col("start") - 4).alias("start"), (F.col("end") + 4).alias("end"))
     mapped = iv.time_map(iv.invert(spans, media)).withColumn("start", F.col("start").cast("long"))
-    return iv.map_span(wide, mapped).select("media_id", "idx", "out_from", "out_to")
+    return iv.map_span(wide, mapped, 50).select("media_id", "idx", "out_from", "out_to")
 
 
 @query(f"""WITH {SPANS} SELECT a.media_id, a.idx AS l_idx, b.idx AS r_idx, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM spans a JOIN spans b ON a.media_id = b.media_id AND a.idx < b.idx AND least(a.e, b.e) > greatest(a.s, b.s)""")
