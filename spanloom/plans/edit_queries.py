@@ -161,24 +161,58 @@ def _seconds(df):
     return df.withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
 
 
-@query()
+#: The words in seconds, the frames of a conversation's signal, and which of them are quiet.
+SPOKEN = "sized AS (SELECT media_id, CAST(trunc(max(e) / 20.0::DOUBLE) AS INTEGER) AS n FROM words GROUP BY media_id), spoken AS (SELECT media_id, idx, text, s / 1000.0::DOUBLE AS s, e / 1000.0::DOUBLE AS e, n, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS k, lead(s / 1000.0::DOUBLE) OVER (PARTITION BY media_id ORDER BY idx) AS nxt FROM words JOIN sized USING (media_id))"
+FRAME_OF = "least(greatest(CAST(trunc(({0}) / 0.02::DOUBLE) AS INTEGER), 0), n)"
+HUSHED = "(i * 7 + media_id * 3) % 23 < 9"
+
+
+QUIETEST = "CASE WHEN {1} > {0} THEN coalesce(list_min(list_filter(range({0}, {1} + 1), lambda i: " + HUSHED + ")) * 0.02::DOUBLE, {2}) ELSE {2} END"
+ONWARD = "coalesce(list_min(list_filter(range(" + FRAME_OF.format("{0}") + ", " + FRAME_OF.format("{0} + 0.25::DOUBLE") + " + 1), lambda i: " + HUSHED + ")), -1)"
+BACKWARD = "coalesce(list_max(list_filter(range(" + FRAME_OF.format("{0} - 0.25::DOUBLE") + ", " + FRAME_OF.format("{0}") + " + 1), lambda i: " + HUSHED + ")), -1)"
+
+
+def _off_sound(a: str, b: str) -> tuple[str, str]:
+    """Both ends moved off sound, never past the words that go; as they were if that turns them round."""
+    on, back = ONWARD.format(a), BACKWARD.format(b)
+    moved = f"least(CASE WHEN {on} IN (-1, {FRAME_OF.format(a)}) THEN {a} ELSE {on} * 0.02::DOUBLE END, s + 0.1::DOUBLE)"
+    other = f"greatest(CASE WHEN {back} IN (-1, {FRAME_OF.format(b)}) THEN {b} ELSE {back} * 0.02::DOUBLE END, we - 0.1::DOUBLE)"
+    return f"CASE WHEN {moved} < {other} THEN {moved} ELSE {a} END", f"CASE WHEN {moved} < {other} THEN {other} ELSE {b} END"
+
+
+@query(f"""WITH RECURSIVE {WORDS}, {SPOKEN}, c AS (SELECT p.media_id, idx, p.s, (w.e + 60) / 1000.0::DOUBLE AS e, p.e AS we, n FROM spoken p JOIN words w USING (media_id, idx) WHERE idx % 25 = 3),
+q AS (SELECT *, {QUIETEST.format(FRAME_OF.format("s - 0.06::DOUBLE"), FRAME_OF.format("s + 0.06::DOUBLE"), "s")} AS qa, {QUIETEST.format(FRAME_OF.format("e - 0.06::DOUBLE"), FRAME_OF.format("e + 0.06::DOUBLE"), "e")} AS qb, lead(s) OVER w AS nxt, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY media_id ORDER BY s, e)),
+o AS (SELECT *, {_off_sound("qa", "qb")[0]} AS ma, {_off_sound("qa", "qb")[1]} AS mb, {_off_sound("s", "e")[0]} AS pa, {_off_sound("s", "e")[1]} AS pb, qa < qb AND qb <= coalesce(nxt, 1e9::DOUBLE) AS fits FROM q),
+r AS (SELECT media_id, idx, k, CASE WHEN fits AND qa >= 0 THEN ma ELSE pa END AS s, CASE WHEN fits AND qa >= 0 THEN mb ELSE pb END AS e FROM o WHERE k = 1
+  UNION ALL SELECT o.media_id, o.idx, o.k, CASE WHEN fits AND qa >= r.e THEN ma ELSE pa END, CASE WHEN fits AND qa >= r.e THEN mb ELSE pb END FROM r JOIN o ON o.media_id = r.media_id AND o.k = r.k + 1)
+SELECT media_id, s, e, CASE WHEN idx % 2 = 0 THEN 'silence' ELSE 'filler' END AS reason, idx FROM r""")
 def snapped_removals(spark, sf_dir):
     w, _, cut, _ = _edit(spark, sf_dir)
     return edl.snapped(_seconds(cut), _seconds(w), _signal(spark, sf_dir), 0.02).withColumnsRenamed(NAMES)
 
 
-@query()
+#: Frames of quiet from {0} on, or back from the frame before it, up to {1} seconds.
+QUIET_ON = "greatest(coalesce(list_min(list_filter(range(" + FRAME_OF.format("{0}") + ", " + FRAME_OF.format("{0}") + " + least(CAST(round_even(({1}) / 0.02::DOUBLE, 0) AS INTEGER), n + 1 - " + FRAME_OF.format("{0}") + ")), lambda i: NOT " + HUSHED + ")) - " + FRAME_OF.format("{0}") + ", least(CAST(round_even(({1}) / 0.02::DOUBLE, 0) AS INTEGER), n + 1 - " + FRAME_OF.format("{0}") + ")), 0)"
+QUIET_BACK = "greatest(coalesce(" + FRAME_OF.format("{0}") + " - 1 - list_max(list_filter(range(" + FRAME_OF.format("{0}") + " - least(CAST(round_even(({1}) / 0.02::DOUBLE, 0) AS INTEGER), " + FRAME_OF.format("{0}") + "), " + FRAME_OF.format("{0}") + "), lambda i: NOT " + HUSHED + ")), least(CAST(round_even(({1}) / 0.02::DOUBLE, 0) AS INTEGER), " + FRAME_OF.format("{0}") + ")), 0)"
+
+
+@query(f"""WITH RECURSIVE {WORDS}, {SPOKEN}, {MEDIA}, {CUT}, gone AS (SELECT media_id, s, e FROM cut),
+inv AS (SELECT media_id, coalesce(lag(e) OVER (PARTITION BY media_id ORDER BY s), 0) AS a, s AS b FROM gone UNION ALL SELECT m.media_id, coalesce(max(g.e), 0), any_value(duration) FROM media m LEFT JOIN gone g USING (media_id) GROUP BY m.media_id),
+seg AS (SELECT media_id, a / 1000.0::DOUBLE AS s, b / 1000.0::DOUBLE AS e, n FROM inv JOIN sized USING (media_id) WHERE b > a),
+held AS (SELECT g.media_id, g.s, g.e, max_by(w.s, w.s) AS ls, max_by(w.e, w.s) AS le, max_by(regexp_matches(w.text, '[.?!…]["'')\\]}}»”’]*\\s*$'), w.s) AS stop, min(w.s) FILTER (w.s >= g.s) AS ahead FROM seg g JOIN spoken w ON w.media_id = g.media_id AND w.s >= g.s - 0.52::DOUBLE AND w.e <= g.e GROUP BY ALL),
+j AS (SELECT seg.*, ls, le, stop, lead(seg.s) OVER w AS nxt, lead(ahead) OVER w AS first, row_number() OVER w AS k FROM seg LEFT JOIN held USING (media_id, s, e) WINDOW w AS (PARTITION BY seg.media_id ORDER BY seg.s, seg.e)),
+d AS (SELECT *, 0.5::DOUBLE - (e - le) - coalesce(first - nxt, 0) AS need FROM j),
+a AS (SELECT *, coalesce(nxt IS NOT NULL AND stop AND need > 1e-6, false) AS asks FROM d),
+m AS (SELECT *, CASE WHEN asks THEN {QUIET_ON.format("e", "least(need, nxt - e)")} * 0.02::DOUBLE END AS more FROM a),
+b AS (SELECT *, coalesce(CASE WHEN need - more > 1e-6 THEN {QUIET_BACK.format("nxt", "least(need - more, nxt - (e + more))")} * 0.02::DOUBLE END, 0) AS early FROM m),
+r AS (SELECT media_id, k, s, e, more, early, asks AND ls >= s AS go, 0.0::DOUBLE AS lent FROM b WHERE k = 1
+  UNION ALL SELECT b.media_id, b.k, b.s, b.e, b.more, b.early, b.asks AND b.ls >= b.s - CASE WHEN r.go THEN r.early ELSE 0 END, CASE WHEN r.go THEN r.early ELSE 0 END FROM r JOIN b ON b.media_id = r.media_id AND b.k = r.k + 1)
+SELECT media_id, s - lent AS s, e + CASE WHEN go THEN more ELSE 0 END AS e FROM r""")
 def breathed_segments(spark, sf_dir):
     w, _, _, kept = _edit(spark, sf_dir)
     return edl.breathed(_seconds(kept), _seconds(w), _signal(spark, sf_dir), 0.02).withColumnsRenamed(NAMES)
 
 
-#: The words in seconds, the frames of a conversation's signal, and which of them are quiet.
-SPOKEN = "sized AS (SELECT media_id, CAST(trunc(max(e) / 20.0::DOUBLE) AS INTEGER) AS n FROM words GROUP BY media_id), spoken AS (SELECT media_id, idx, text, s / 1000.0::DOUBLE AS s, e / 1000.0::DOUBLE AS e, n, row_number() OVER (PARTITION BY media_id ORDER BY idx) AS k, lead(s / 1000.0::DOUBLE) OVER (PARTITION BY media_id ORDER BY idx) AS nxt FROM words JOIN sized USING (media_id))"
-FRAME_OF = "least(greatest(CAST(trunc(({0}) / 0.02::DOUBLE) AS INTEGER), 0), n)"
-HUSHED = "(i * 7 + media_id * 3) % 23 < 9"
-
-
 @query(f"""WITH RECURSIVE {WORDS}, {SPOKEN},
 o AS (SELECT *, list_min(list_filter(range({FRAME_OF.format("s")}, {FRAME_OF.format("s + least(1.0::DOUBLE, greatest(e - s, 0))")} + 1), lambda i: NOT {HUSHED})) * 0.02::DOUBLE AS onset FROM spoken),
 m AS (SELECT *, CASE WHEN onset > s THEN least(onset, e - 0.02::DOUBLE) ELSE s END AS a FROM o),
