@@ -149,7 +149,7 @@ q AS (SELECT media_id, min(i) AS a, max(i) + 1 AS b FROM (SELECT media_id, i, i
 inside AS (SELECT g.media_id, g.k, g.lo AS g_lo, greatest(a, g.lo) AS lo, least(b, g.hi) AS hi FROM gaps g JOIN q ON q.media_id = g.media_id WHERE least(b, g.hi) - greatest(a, g.lo) >= 2),
 l AS (SELECT media_id, k, max(n) AS n FROM (SELECT media_id, k, g, count(*) AS n FROM (SELECT f.media_id, k, i - row_number() OVER (PARTITION BY f.media_id, k ORDER BY i) AS g FROM f JOIN gaps ON gaps.media_id = f.media_id AND i >= lo AND i < hi WHERE loud) GROUP BY ALL) GROUP BY media_id, k),
 cuts AS (SELECT media_id, g_lo, lo, hi FROM inside UNION ALL SELECT g.media_id, g.lo, g.lo, g.hi FROM gaps g LEFT JOIN l USING (media_id, k) WHERE k % 2 = 0 AND coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM inside x WHERE x.media_id = g.media_id AND x.k = g.k))
-SELECT media_id, greatest(lo, g_lo + 1) AS s, hi AS e, 'silence' AS reason, 1.0::DOUBLE AS confidence, 'pause' AS detail FROM cuts WHERE hi - greatest(lo, g_lo + 1) > 0.5""")
+SELECT media_id, CAST(greatest(lo, g_lo + 1) AS INTEGER) AS s, CAST(hi AS INTEGER) AS e, 'silence' AS reason, 1.0::DOUBLE AS confidence, 'pause' AS detail FROM cuts WHERE hi - greatest(lo, g_lo + 1) > 0.5""")
 def signal_silences(spark, sf_dir):
     """Silences where the signal agrees: runs inside word gaps, on embeddings as signals."""
     frames = src.vector_frames(spark, sf_dir)
