@@ -258,3 +258,14 @@ def test_what_was_written_can_be_deleted(spark):
     made = shared.local_path(shared.fresh(spark, "x"))
     os.makedirs(made)
     assert shared.clean(spark) >= 1 and not os.path.exists(made) and shared.clean(spark) == 0
+
+
+def test_toxicity_of_held_out_rows_ranks_label_1_first_in_small_tables(spark):
+    """Of few labelled rows each telling word is in two to four: with a bound of five on all samples
+    no such word was learned, and insults scored below clean texts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    held = queries.bucket(5) == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held)).join(labels, "doc_id").filter(held & F.col("toxic").isNotNull())
+    s = {y: [r["score"] for r in scored.filter(F.col("toxic") == y).collect()] for y in (0, 1)}
+    assert s[0] and s[1] and min(s[1]) > max(s[0])
+    assert [toxicity.least_rows(n) for n in (0, 68, 329, 16000, 10**6)] == [2, 2, 3, 5, 5]
