@@ -100,10 +100,9 @@ def group_links(fps: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int = GROUP) -> DataFrame:
     """(a, b) links of distinct fingerprints `fp`; their components are those of all links."""
     masks = block_masks(blocks, near)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("mask", "key"))
-    keyed = written(keyed, "simhash-keys")
-    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    groups = written(keyed.join(sizes, ["mask", "key"]), "simhash-groups")
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("mask", "key")).select("mask", "key", "fp")
+    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"))
+    large = written(sizes.filter(F.col("n") > most).select("mask", "key"), "simhash-large", 0)  # few: each has over `most` members
 
     def search(batches):
         held, key = [], None
@@ -127,9 +126,10 @@ def links(distinct: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int
         if held:
             yield done()
 
-    small = groups.filter(F.col("n") <= most).select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found = small.mapInArrow(search, "a long, b long")
-    if groups.filter(F.col("n") > most).limit(1).count():
+    some = large.limit(1).count()
+    small = keyed.join(large, ["mask", "key"], "left_anti").select("mask", "key", "fp") if some else keyed
+    found = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(search, "a long, b long")
+    if some:
         free = [[i for i in range(64) if not m >> i & 1] for m in masks]
 
         def spread(batches):  # one row for each choice of `near` free bits, with those bits cleared
@@ -140,7 +140,7 @@ def links(distinct: DataFrame, near: int = NEAR, blocks: int = BLOCKS, most: int
                     # (choice, rest) names the class; equal pairs from other masks mean the same.
                     yield pa.RecordBatch.from_arrays([pa.array(off.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(np.full(len(off), f).view(np.int64))], names=["off", "rest", "fp"])
 
-        wide = groups.filter(F.col("n") > most).select("mask", "key", "fp").mapInArrow(spread, "off long, rest long, fp long")
+        wide = keyed.join(large, ["mask", "key"], "left_semi").select("mask", "key", "fp").mapInArrow(spread, "off long, rest long, fp long")
         heads = wide.groupBy("off", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
         found = found.unionByName(wide.join(heads, ["off", "rest"]).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct())
     return found
@@ -150,17 +150,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): label is the least node reachable.
 
     Rounds of: each node takes the least label among itself and its neighbours, then labels
-    follow labels. Each round is stored in the shared folder; only a count reaches the driver.
+    follow labels. Each round is stored in the shared folder, in as many files as its rows ask for;
+    only counts reach the driver.
     """
-    edges = edges.filter("a <> b")
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct(), "simhash-edges")
-    labels = written(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")), "simhash-labels")
+    edges = written(edges.filter("a <> b"), "simhash-links")
+    n = 2 * edges.count()
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct(), "simhash-edges", n)
+    labels = written(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")), "simhash-labels", n)
     while True:
         near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("m"))
         new = labels.join(near, "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        new = written(new, "simhash-labels")
+        new = written(new, "simhash-labels", n)
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "simhash-labels")
+        new = written(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "simhash-labels", n)
         if not new.filter("label <> old").limit(1).count():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -176,7 +178,7 @@ def labelled(prints: DataFrame, edges: DataFrame) -> DataFrame:
     of its component by the links (a, b), and the least fp that has that id."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reached = components(edges)
-    named = written(classes.join(reached, classes.fp == reached.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+    named = written(classes.join(reached, classes.fp == reached.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-classes", prints.count())
     order = F.struct(F.col("first").isNull(), "first", "fp")
     least = named.groupBy("label").agg(F.min(order).alias("m")).select("label", F.col("m.first").alias("component_id"), F.col("m.fp").alias("kept_fp"))
     return named.join(least, "label").select("fp", "component_id", "kept_fp")

@@ -1,5 +1,6 @@
 """What grows with the input where it must not: hot keys, driver memory, groups that do not link."""
 
+import glob
 import random
 import time
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import jaccard, substrings, toxicity
+from spanloom.llm import jaccard, shared, simhash, substrings, toxicity
 
 from test_llm import by_id, plain_dedup, plain_near
 
@@ -118,3 +119,22 @@ def test_swap_sums_equal_dense_differences(spark):
     for t in set(texts):
         for s in toxicity.swaps(t):
             assert abs(total(t) - total(s)) < 0.02
+
+
+def test_small_tables_of_simhash_are_few_files_whatever_the_partitions(spark):
+    """Each file costs its writer processes, and a round writes two tables: with 64 partitions, 64 files each before."""
+    fps = [(1 << i) - 1 for i in range(40)]  # a chain of one bit each: several rounds
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        shared.clean(spark)
+        prints = shared.written(spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long"), "prints")
+        named = simhash.named(prints).collect()
+        folders = [f for f in shared._made[shared.shared_dir(spark)] if any(k in f for k in ("labels", "edges", "classes", "large"))]
+        files = [len(glob.glob(f"{shared.local_path(f)}/part-*")) for f in folders]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r["component_id"] for r in named} == {0} and len(named) == 40
+    assert len(files) > 5 and max(files) == 1
