@@ -1,14 +1,22 @@
-"""Near copies by word shingles: min-hash bands propose, the exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash with pigeonhole blocks proposes, the exact Jaccard similarity decides.
 
 A text's shingles are the 64-bit hashes of each SIZE successive words, as a set; a text of
 fewer words (but not none) is one shingle. Texts of equal sets are one class from the start.
-Each of BANDS keys is made of ROWS least values of the set under different mixings, so a pair
-of similarity s shares none with probability (1 - s**ROWS)**BANDS: 3e-8 at 0.8. Classes
-that share a key are compared by their whole sets, and link at a similarity of LEAST or more.
-
-Sets of classes that share a key are written once to files in the shared folder, which
-workers map into memory. Keys of equal groups are searched once. A group is searched within a
-task: each found class leaves the search, so a group of copies takes one pass over its sets. In
+A class has PRINTS fingerprints of 64 bits, each by another mixing of its shingles: a bit is set
+where over half of the mixed hashes have it. Each is cut into four blocks, so two that differ in
+at most three bits share a block, as in simhash.py; classes that share any block are verified by
+the distance of all their fingerprints (at most FAR of their bits; first of HEAD of them, at most
+HEAD_FAR), and those that a chain of such pairs joins are a group.
+
+Fingerprints of sets at a similarity of 0.8 differ in 15.2 % of their bits (9.7 of 64), so one
+alone would not do: all 4 * PRINTS blocks differ with probability (1 - 0.848**16)**192, 6e-7 (for
+four shingles against five, where a bit is a vote of few, 0.813 and 9e-4). FAR is six standard
+deviations above that. Groups are then compared by their whole sets, and classes link at a
+similarity of LEAST or more.
+
+Fingerprints, and the sets of classes in groups, are written once to files in the shared folder,
+which workers map into memory. A group is searched within a task: each found class leaves the
+search, so a group of copies takes one pass over its sets. In
 groups of over PLAIN classes a member is compared with those alone that share one of its rarest
 shingles, of which two that link have one in common: pages of one template, however many, are
 hardly compared at all. The index takes some 10 bytes for a fifth of the group's shingles.
@@ -34,10 +42,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import extended, fresh, local_path, spare, written
-from .simhash import labelled
+from .simhash import components, labelled
 from .tables import BLOBS, Gather, Table, buckets_for, firsts, stored
 
-SIZE, LEAST, ROWS, BANDS = 5, 0.8, 3, 24
+SIZE, LEAST = 5, 0.8
+#: Fingerprints of a class; those that are compared first; shares of bits in which classes of a group differ at most.
+PRINTS, HEAD, HEAD_FAR, FAR = 48, 4, 1 / 3, 0.23
+#: Rows of keys that are looked through at a time; members of a key that are compared by pairs.
+ROWS, PAIRS = 1 << 17, 64
 #: Shingles that a comparison takes at a time; members that are compared without an index; files of sets that a task keeps mapped.
 STEP, PLAIN, MAPS = 1 << 21, 64, 256
 
@@ -70,21 +82,26 @@ def classes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(h: np.ndarray, bounds: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """(sets that are not empty, bands) keys."""
-    at = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(at), bands), np.uint64)
+def fingerprints(h: np.ndarray, bounds: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """(sets that are not empty, prints) fingerprints. Votes are counted in the eight bytes of a word, 255 shingles at a time."""
+    size = np.diff(bounds)
+    at, size = bounds[:-1][size > 0], size[size > 0]
     if not len(at):
-        return out
-    with np.errstate(over="ignore"):
-        odd = tx.mix(np.arange(1, rows * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        for b in range(bands):
-            key = np.full(len(at), b + 1, np.uint64)
-            for r in range(rows):
-                m = odd[b * rows + r]
-                x = (h ^ m) * (m | np.uint64(1))
-                key = tx.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(x ^ (x >> np.uint64(32)), at))
-            out[:, b] = key
+        return np.zeros((0, prints), np.uint64)
+    parts = -(-size // 255)
+    first = np.append(0, np.cumsum(parts)[:-1])
+    start = np.repeat(at, parts) + 255 * tx.ranges(np.zeros(len(at), np.int64), parts)
+    start, lanes = np.append(start, bounds[-1]), np.uint64(0x0101010101010101)
+    odd = tx.mix(np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    votes, out = np.empty((len(start) - 1, 8, 8), np.uint8), np.empty((len(at), prints), np.uint64)
+    for i in range(prints):
+        for lo in range(0, len(start) - 1, 256):
+            hi = min(lo + 256, len(start) - 1)
+            x = tx.mix(h[start[lo] : start[hi]] ^ odd[i])
+            for j in range(8):  # bit j of each byte
+                votes[lo:hi, :, j] = np.add.reduceat((x >> np.uint64(j)) & lanes, start[lo:hi] - start[lo]).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(votes, first, axis=0, dtype=np.int64)
+        out[:, i] = np.packbits(2 * ones > size[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view(np.uint64)[:, 0]
     return out
 
 
@@ -106,23 +123,131 @@ def with_class(docs: DataFrame, name: str) -> DataFrame:
     return mapped(docs, lambda rows, h, bounds: pa.RecordBatch.from_arrays([*rows.columns, pa.array(classes(h, bounds).view(np.int64))], names=names), extended(docs, f"`{name}` long"))
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, class `fp` and band keys of every row."""
+def prints(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, class `fp` and `place` of every row: file and row of its class and fingerprints in a folder; null for an empty set."""
 
-    def visit(rows, h, bounds):
-        keys = band_keys(h, bounds)
-        at = np.append(0, np.cumsum((np.diff(bounds) > 0) * keys.shape[1])).astype(np.int32)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(classes(h, bounds).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "fp", "keys"])
+    def run(batches):
+        file, n = TaskContext.get().taskAttemptId(), 0
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{file}.prints", "wb") as out:
+            for b in batches:
+                for lo, hi, data, off in tx.blocks(b.column(1)):
+                    h, bounds = shingles(data, off)
+                    fps, some = classes(h, bounds), np.diff(bounds) > 0
+                    out.write(np.column_stack([fps[some], fingerprints(h, bounds)]).tobytes())
+                    place = (file << 32) + n + np.cumsum(some) - 1
+                    n += int(some.sum())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.array(place, pa.int64(), mask=~some)], names=["doc_id", "fp", "place"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, place long")
+
+
+class Files:
+    """Arrays in the files of a folder, mapped into memory, MAPS of them at a time."""
+
+    def __init__(self, folder: str, kind: str):
+        self.folder, self.kind, self.maps = folder, kind, collections.OrderedDict()
+
+    def of(self, file: int) -> np.ndarray:
+        if file not in self.maps:
+            if len(self.maps) >= MAPS:
+                self.maps.popitem(last=False)
+            self.maps[file] = np.memmap(f"{self.folder}/{file}.{self.kind}", np.uint64, "r")
+        self.maps.move_to_end(file)
+        return self.maps[file]
+
+    def rows(self, places: np.ndarray, columns: int) -> np.ndarray:
+        """The class and the first fingerprints of each place, `columns` words in all."""
+        out, file = np.empty((len(places), columns), np.uint64), places >> 32
+        order = np.argsort(file, kind="stable")
+        cut = np.append(firsts(file[order]), len(order))
+        for lo, hi in zip(cut, cut[1:]):
+            at = order[lo:hi]
+            out[at] = self.of(int(file[at[0]])).reshape(-1, 1 + PRINTS)[places[at] & 0xFFFFFFFF, :columns]
+        return out
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), visit, "doc_id long, fp long, keys array<long>")
 
+def distant(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Whether fingerprints a and b, by rows without their class, differ in over a share of their bits."""
+    return np.bitwise_count(a[..., 1:] ^ b[..., 1:]).sum(-1, dtype=np.int64) > most * 64 * (a.shape[-1] - 1)
+
+
+def near_places(key: np.ndarray, place: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of classes that join those of each key as all pairs of near fingerprints would; keys are sorted."""
+    new = firsts(key)
+    size = np.diff(np.append(new, len(key)))
+    keep = np.repeat(size > 1, size)
+    key, place = key[keep], place[keep]
+    size = size[size > 1]
+    none = np.zeros(0, np.uint64)
+    if not len(key):
+        return none, none
+    head, wide, a, b = files.rows(place, 1 + HEAD), np.repeat(size > PAIRS, size), [], []
+    for d in range(1, min(int(size.max()), PAIRS)):
+        at = np.flatnonzero((key[:-d] == key[d:]) & ~wide[d:])
+        if not len(at):
+            continue
+        at = at[~distant(head[at], head[at + d], HEAD_FAR)]
+        pairs = np.unique(np.stack([place[at], place[at + d]], 1), axis=0)
+        for lo in range(0, len(pairs), STEP >> 7):
+            x, y = (files.rows(p, 1 + PRINTS) for p in pairs[lo : lo + (STEP >> 7)].T)
+            near = ~distant(x, y, FAR)
+            a.append(x[near, 0])
+            b.append(y[near, 0])
+    for lo, n in zip((np.cumsum(size) - size)[size > PAIRS], size[size > PAIRS]):
+        left = np.arange(lo, lo + n)  # a search from each member not yet found, over those not yet found
+        while len(left) > 1:
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                k = todo.pop()
+                found = left[~distant(head[left], head[k], HEAD_FAR)]
+                if len(found):
+                    rows = files.rows(place[found], 1 + PRINTS)
+                    near = ~distant(rows, files.rows(place[[k]], 1 + PRINTS), FAR)
+                    found = found[near]
+                    left = np.setdiff1d(left, found, assume_unique=True)
+                    a.append(np.full(len(found), head[k, 0]))
+                    b.append(rows[near, 0])
+                    todo += found.tolist()
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def groups_of(found: DataFrame, folder: str) -> DataFrame:
+    """(key, fp) of the classes that near fingerprints join, by the prints(docs, folder) of all rows."""
+
+    def keys(batches):
+        files = Files(folder, "prints")
+        for b in batches:
+            place = b.column(0).to_numpy()
+            for lo in range(0, len(place), 1024):
+                some = place[lo : lo + 1024]
+                block = np.ascontiguousarray(files.rows(some, 1 + PRINTS)[:, 1:]).view(np.uint16)
+                key = (np.arange(4 * PRINTS, dtype=np.int32) << 16) + block
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(some, key.shape[1]))], names=["key", "place"])
 
-def groups_of(found: DataFrame) -> DataFrame:
-    """(key, fp) of the keys that classes share; of keys with the same classes only one."""
-    keyed = written(found.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.explode("keys").alias("key")), "jaccard-keys")
-    own = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *own).filter("n > 1").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
-    return written(keyed.join(shared.select("key"), "key"), "jaccard-groups")
+    def search(batches):
+        files, held, rows = Files(folder, "prints"), [], 0
+
+        def done(key, place):
+            a, b = near_places(key, place, files)
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= ROWS:
+                key, place = (np.concatenate(c) for c in zip(*held))
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if cut:
+                    yield done(key[:cut], place[:cut])
+                held, rows = [[key[cut:], place[cut:]]], len(key) - cut
+        if held:
+            yield done(*(np.concatenate(c) for c in zip(*held)))
+
+    places = found.filter("place is not null").groupBy("fp").agg(F.min("place").alias("place")).select("place")
+    near = places.mapInArrow(keys, "key int, place long").repartition("key").sortWithinPartitions("key", "place").mapInArrow(search, "a long, b long").distinct()
+    return components(near).select(F.col("label").alias("key"), F.col("node").alias("fp"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
@@ -242,25 +367,17 @@ def group_links(fps: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -
     return a, b
 
 
-def links(docs: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) links of the classes of a stored table prints(docs)."""
-    folder = local_path(fresh(docs.sparkSession, "jaccard"))
-    groups = groups_of(found)
+def links(docs: DataFrame, found: DataFrame, folder: str, least: float = LEAST) -> DataFrame:
+    """(a, b) links of the classes of a stored table prints(docs, folder)."""
+    groups = groups_of(found, folder)
     placed = groups.join(sets_of(docs, groups.select("fp"), folder), "fp").select("key", "fp", "file", "start", "n")
 
     def search(batches):
-        maps, held, key = collections.OrderedDict(), [], None
+        files, held, key = Files(folder, "sets"), [], None
 
         def done():
             rows = np.concatenate(held, 1)
-            sets = []
-            for f, s, n in rows[1:].T.tolist():
-                if f not in maps:
-                    if len(maps) >= MAPS:
-                        maps.popitem(last=False)
-                    maps[f] = np.memmap(f"{folder}/{f}.sets", np.uint64, "r")
-                maps.move_to_end(f)
-                sets.append(maps[f][s : s + n])
+            sets = [files.of(f)[s : s + n] for f, s, n in rows[1:].T.tolist()]
             a, b = group_links(rows[0], sets, least)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -284,9 +401,10 @@ def links(docs: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of links, that of the least doc_id; all columns stay."""
-    found = written(prints(docs), "jaccard-prints")
+    folder = local_path(fresh(docs.sparkSession, "jaccard"))
+    found = written(prints(docs, folder), "jaccard-prints")
     own, fp, doc = spare(docs, "_fp"), spare(docs, "_kept_fp"), spare(docs, "_kept_id")
-    kept = labelled(found.select("doc_id", "fp"), links(docs, found)).filter("fp = kept_fp").select(F.col("fp").alias(fp), F.col("component_id").alias(doc))
+    kept = labelled(found.select("doc_id", "fp"), links(docs, found, folder)).filter("fp = kept_fp").select(F.col("fp").alias(fp), F.col("component_id").alias(doc))
     # By id and class, so that no row of a large group meets its copies in one task.
     rows = with_class(docs, own).join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(fp)), "left_semi")
     return rows.dropDuplicates(["doc_id", own]).drop(own)

@@ -138,3 +138,33 @@ def test_small_tables_of_simhash_are_few_files_whatever_the_partitions(spark):
             spark.conf.set(k, v)
     assert {r["component_id"] for r in named} == {0} and len(named) == 40
     assert len(files) > 5 and max(files) == 1
+
+
+def test_near_copies_are_proposed_by_simhash_blocks(spark):
+    """Every pair of a similarity of 0.8 or more shares a block of a fingerprint and passes both distances."""
+    rng = random.Random(5)
+    rows = template_pages(80)  # near each other, below 0.8: by pairs and, of one key, by the search
+    for n in (9, 12, 30, 200):
+        for _ in range(25):
+            w = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(w)))
+            rows.append((len(rows), " ".join([*w, "more"])))
+            if n >= 60:
+                w[n // 2] = "other"
+                rows.append((len(rows), " ".join(w)))
+    folder = shared.local_path(shared.fresh(spark, "jaccard"))
+    found = shared.written(jaccard.prints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder), "prints")
+    group = {r["fp"]: r["key"] for r in jaccard.groups_of(found, folder).collect()}
+    fps, sets = sets_of(rows)
+    fps, near = fps.view(np.int64).tolist(), 0
+    for i in range(80, len(rows)):
+        for j in range(80, i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                near += 1
+                assert group[fps[i]] == group[fps[j]]
+    assert near >= 125
+    places = np.array([r["place"] for r in found.collect()])
+    files, key = jaccard.Files(folder, "prints"), np.zeros(len(places), np.int32)
+    wide = {frozenset(p) for p in zip(*(x.tolist() for x in jaccard.near_places(key, places, files)))}
+    assert len({f for p in wide for f in p}) >= len({f for f in group})  # one key of all: the search finds what pairs do
