@@ -6,7 +6,9 @@ A class has PRINTS fingerprints of 64 bits, each by another mixing of its shingl
 where over half of the mixed hashes have it. Each is cut into four blocks, so two that differ in
 at most three bits share a block, as in simhash.py; classes that share any block are verified by
 the distance of all their fingerprints (at most FAR of their bits; first of HEAD of them, at most
-HEAD_FAR), and those that a chain of such pairs joins are a group.
+HEAD_FAR), and those that a chain of such pairs joins are a group. A task sends no pairs but links to
+the least class of what they join, one at most for each class, and what the tasks send is thinned
+alike, LINKS at a time: links grow with the classes, not with the square of a group.
 
 Fingerprints of sets at a similarity of 0.8 differ in 15.2 % of their bits (9.7 of 64), so one
 alone would not do: all 4 * PRINTS blocks differ with probability (1 - 0.848**16)**192, 6e-7 (for
@@ -50,6 +52,8 @@ SIZE, LEAST = 5, 0.8
 PRINTS, HEAD, HEAD_FAR, FAR = 48, 4, 1 / 3, 0.23
 #: Rows of keys that are looked through at a time; members of a key that are compared by pairs.
 ROWS, PAIRS = 1 << 17, 64
+#: Links that a task holds before it sends them on.
+LINKS = 1 << 20
 #: Shingles that a comparison takes at a time; members that are compared without an index; files of sets that a task keeps mapped.
 STEP, PLAIN, MAPS = 1 << 21, 64, 256
 
@@ -172,8 +176,23 @@ def distant(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
     return np.bitwise_count(a[..., 1:] ^ b[..., 1:]).sum(-1, dtype=np.int64) > most * 64 * (a.shape[-1] - 1)
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, each being the least node of its kind, where the nodes of each pair (a, b) have become of one kind."""
+    ends, at = np.unique(np.concatenate([label[a], label[b]]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ends))
+    while (x != y).any():
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+        x, y = root[x], root[y]
+    to = np.arange(len(label))
+    to[ends] = ends[root]
+    return to[label]
+
+
 def near_places(key: np.ndarray, place: np.ndarray, files: Files) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of classes that join those of each key as all pairs of near fingerprints would; keys are sorted."""
+    """Pairs (a, b) of classes that join those of each key as all pairs of near fingerprints would; keys are
+    sorted. At most one pair for each class, with the least of those it is joined with, whatever the keys."""
     new = firsts(key)
     size = np.diff(np.append(new, len(key)))
     keep = np.repeat(size > 1, size)
@@ -182,34 +201,67 @@ def near_places(key: np.ndarray, place: np.ndarray, files: Files) -> tuple[np.nd
     none = np.zeros(0, np.uint64)
     if not len(key):
         return none, none
-    head, wide, a, b = files.rows(place, 1 + HEAD), np.repeat(size > PAIRS, size), [], []
+    places, node = np.unique(place, return_inverse=True)
+    head, wide, label = files.rows(places, 1 + HEAD), np.repeat(size > PAIRS, size), np.arange(len(places))
+    order = np.argsort(head[:, 0].view(np.int64))  # as components() orders them: its rounds are fewer
+    places, head, node = places[order], head[order], np.argsort(order)[node]
     for d in range(1, min(int(size.max()), PAIRS)):
         at = np.flatnonzero((key[:-d] == key[d:]) & ~wide[d:])
         if not len(at):
             continue
-        at = at[~distant(head[at], head[at + d], HEAD_FAR)]
-        pairs = np.unique(np.stack([place[at], place[at + d]], 1), axis=0)
-        for lo in range(0, len(pairs), STEP >> 7):
-            x, y = (files.rows(p, 1 + PRINTS) for p in pairs[lo : lo + (STEP >> 7)].T)
-            near = ~distant(x, y, FAR)
-            a.append(x[near, 0])
-            b.append(y[near, 0])
+        x, y = node[at], node[at + d]
+        some = label[x] != label[y]  # what is joined needs no pair
+        x, y = x[some], y[some]
+        some = ~distant(head[x], head[y], HEAD_FAR)
+        x, y = np.divmod(np.unique(x[some] * len(places) + y[some]), len(places))
+        for lo in range(0, len(x), STEP >> 7):
+            i, j = x[lo : lo + (STEP >> 7)], y[lo : lo + (STEP >> 7)]
+            near = ~distant(files.rows(places[i], 1 + PRINTS), files.rows(places[j], 1 + PRINTS), FAR)
+            label = joined(label, i[near], j[near])
     for lo, n in zip((np.cumsum(size) - size)[size > PAIRS], size[size > PAIRS]):
-        left = np.arange(lo, lo + n)  # a search from each member not yet found, over those not yet found
+        left, a, b = node[lo : lo + n], [], []  # a search from each member not yet found, over those not yet found
         while len(left) > 1:
             todo, left = [left[0]], left[1:]
             while todo and len(left):
                 k = todo.pop()
-                found = left[~distant(head[left], head[k], HEAD_FAR)]
-                if len(found):
-                    rows = files.rows(place[found], 1 + PRINTS)
-                    near = ~distant(rows, files.rows(place[[k]], 1 + PRINTS), FAR)
-                    found = found[near]
-                    left = np.setdiff1d(left, found, assume_unique=True)
-                    a.append(np.full(len(found), head[k, 0]))
-                    b.append(rows[near, 0])
-                    todo += found.tolist()
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+                same = label[left] == label[k]
+                near = left[~same]
+                near = near[~distant(head[near], head[k], HEAD_FAR)]
+                if len(near):
+                    near = near[~distant(files.rows(places[near], 1 + PRINTS), files.rows(places[[k]], 1 + PRINTS), FAR)]
+                    a.append(np.full(len(near), k))
+                    b.append(near)
+                todo += left[same].tolist() + near.tolist()
+                left = np.setdiff1d(left[~same], near, assume_unique=True)
+        if a:
+            label = joined(label, np.concatenate(a), np.concatenate(b))
+    some = np.flatnonzero(label != np.arange(len(places)))
+    return head[label[some], 0], head[some, 0]
+
+
+def forests(links):
+    """Links (a, b), arrays of classes, that join what those given do: one at most for each class, LINKS at a time."""
+    held, n = [], 0
+
+    def thinned():
+        a, b = np.concatenate(held, 1)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = joined(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+        some = np.flatnonzero(label != np.arange(len(nodes)))
+        return np.stack([nodes[label[some]], nodes[some]])
+
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+    for a, b in links:
+        held.append(np.stack([a, b]))
+        n += len(a)
+        if n >= LINKS:
+            held = [thinned()]
+            n = held[0].shape[1]
+            if n >= LINKS // 2:
+                yield batch(held[0])
+                held, n = [], 0
+    if n:
+        yield batch(thinned())
 
 
 def groups_of(found: DataFrame, folder: str) -> DataFrame:
@@ -225,13 +277,11 @@ def groups_of(found: DataFrame, folder: str) -> DataFrame:
                 key = (np.arange(4 * PRINTS, dtype=np.int32) << 16) + block
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(some, key.shape[1]))], names=["key", "place"])
 
-    def search(batches):
+    def near(batches):
         files, held, rows = Files(folder, "prints"), [], 0
 
         def done(key, place):
-            a, b = near_places(key, place, files)
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in range(2)], names=["a", "b"])
+            return [x.view(np.int64) for x in near_places(key, place, files)]
 
         for batch in batches:
             held.append([c.to_numpy() for c in batch.columns])
@@ -246,8 +296,10 @@ def groups_of(found: DataFrame, folder: str) -> DataFrame:
             yield done(*(np.concatenate(c) for c in zip(*held)))
 
     places = found.filter("place is not null").groupBy("fp").agg(F.min("place").alias("place")).select("place")
-    near = places.mapInArrow(keys, "key int, place long").repartition("key").sortWithinPartitions("key", "place").mapInArrow(search, "a long, b long").distinct()
-    return components(near).select(F.col("label").alias("key"), F.col("node").alias("fp"))
+    keyed = places.mapInArrow(keys, "key int, place long").repartition("key").sortWithinPartitions("key", "place")
+    sent = written(keyed.mapInArrow(lambda batches: forests(near(batches)), "a long, b long").distinct(), "jaccard-near")
+    few = sent.coalesce(sent.count() // LINKS + 1).mapInArrow(lambda batches: forests([c.to_numpy() for c in b.columns] for b in batches), "a long, b long")
+    return components(few).select(F.col("label").alias("key"), F.col("node").alias("fp"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:

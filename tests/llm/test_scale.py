@@ -168,3 +168,83 @@ def test_near_copies_are_proposed_by_simhash_blocks(spark):
     files, key = jaccard.Files(folder, "prints"), np.zeros(len(places), np.int32)
     wide = {frozenset(p) for p in zip(*(x.tolist() for x in jaccard.near_places(key, places, files)))}
     assert len({f for p in wide for f in p}) >= len({f for f in group})  # one key of all: the search finds what pairs do
+
+
+def near_pages(n, seed=8):
+    """Copies of one page of 60 words, each with two words changed: near each other, with few blocks in common."""
+    rng = random.Random(seed)
+    page = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(page)
+        for k in rng.sample(range(60), 2):
+            w[k] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_of_near_copies_grow_with_the_copies_not_with_their_square(spark):
+    links = {}
+    for n in (100, 400):
+        folder = shared.local_path(shared.fresh(spark, "jaccard"))
+        found = shared.written(jaccard.prints(spark.createDataFrame(near_pages(n), "doc_id long, text string").repartition(3), folder), "prints")
+        groups = [r["key"] for r in jaccard.groups_of(found, folder).collect()]
+        edges = [f for f in shared._made[shared.shared_dir(spark)] if "simhash-edges" in f][-1]
+        links[n] = spark.read.parquet(edges).count()
+        assert len(groups) == n and len(set(groups)) == 1
+    assert links == {100: 2 * 99, 400: 2 * 399}  # both directions of a tree
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_keys_join_what_all_pairs_of_near_fingerprints_do(spark, seed):
+    """Keys of two to many members, some of over PAIRS, against a search of all pairs of each key."""
+    rng = random.Random(seed)
+    rows = [*near_pages(90, seed), *template_pages(40, seed), *((0, " ".join(f"v{rng.randrange(5000)}" for _ in range(40))) for _ in range(60))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    folder = shared.local_path(shared.fresh(spark, "jaccard"))
+    found = jaccard.prints(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), folder).collect()
+    places, files = np.array([r["place"] for r in found]), jaccard.Files(folder, "prints")
+    members = [rng.sample(range(len(rows)), n) for n in (1, 2, 3, 5, 8, 20, 64, 65, 100, 150)]
+    key = np.repeat(np.arange(len(members), dtype=np.int32), list(map(len, members)))
+    place = np.concatenate([np.sort(places[m]) for m in members])
+    wide = {p: files.rows(np.array([p]), 1 + jaccard.PRINTS)[0] for p in places.tolist()}
+
+    def component(pairs):
+        label = {int(r[0]): int(r[0]) for r in wide.values()}
+        for a, b in pairs:
+            lo, hi = sorted((label[a], label[b]))
+            label = {k: lo if v == hi else v for k, v in label.items()}
+        return label
+
+    all_pairs = []
+    for m in members:
+        for i, j in ((i, j) for i in m for j in m if i < j):
+            x, y = wide[int(places[i])], wide[int(places[j])]
+            if not jaccard.distant(x[: 1 + jaccard.HEAD], y[: 1 + jaccard.HEAD], jaccard.HEAD_FAR) and not jaccard.distant(x, y, jaccard.FAR):
+                all_pairs.append((int(x[0]), int(y[0])))
+    a, b = (x.tolist() for x in jaccard.near_places(key, place, files))
+    assert component(zip(a, b)) == component(all_pairs) and len(all_pairs) > len(rows)
+    assert len(set(b)) == len(b) < len(rows)  # one link at most for each class
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_forests_join_what_all_links_do(monkeypatch, most):
+    """Long chains, stars and random links, all at once and some at a time."""
+    monkeypatch.setattr(jaccard, "LINKS", most)
+    rng = random.Random(4)
+    nodes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    pairs = [*zip(nodes[:100], nodes[1:100]), *((nodes[100], x) for x in nodes[101:200]), *(rng.sample(nodes[200:], 2) for _ in range(150))]
+    rng.shuffle(pairs)
+    batches = [np.array(pairs[i : i + 7]).T for i in range(0, len(pairs), 7)]
+    sent = [tuple(r.values()) for b in jaccard.forests([np.zeros((2, 0), np.int64), *batches]) for r in b.to_pylist()]
+
+    def component(pairs):
+        label = {x: x for x in nodes}
+        for a, b in pairs:
+            lo, hi = sorted((label[a], label[b]))
+            label = {k: lo if v == hi else v for k, v in label.items()}
+        return label
+
+    assert component(sent) == component(pairs) and len(sent) <= len(pairs)
+    assert most == 40 or len(sent) == len(nodes) - len(set(component(pairs).values()))
+    assert list(jaccard.forests([])) == [] and list(jaccard.forests([np.zeros((2, 0), np.int64)])) == []
