@@ -181,13 +181,17 @@ def sliced(signal: Column, start: Column, end: Column, rate: int) -> Column:
     return F.slice(signal, lo + 1, F.greatest((end * rate).cast("int") - lo, F.lit(0)))
 
 
-def accepted(heard: DataFrame, holes: DataFrame, min_words: int = 2, min_mean: float = 0.5) -> DataFrame:
+def accepted(heard: DataFrame, holes: DataFrame, min_words: int = 2, min_mean: float = 0.5, order: tuple[str, ...] = ("start", "end")) -> DataFrame:
     """Words heard in holes (media_id, hole, start, end, probability) that count: most of each
-    lies in its hole, and the hole has at least min_words of them with a mean of min_mean."""
+    lies in its hole, and the hole has at least min_words of them with a mean of min_mean. A mean is
+    summed up in `order`, so that one which is just at min_mean does not hang on how rows are dealt out."""
     h = holes.select(KEY, "hole", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
     inside = F.least("end", "_hi") - F.greatest("start", "_lo") > 0.5 * F.greatest(F.col("end") - F.col("start"), F.lit(0.02))
     words = heard.join(h, [KEY, "hole"]).filter(inside).drop("_lo", "_hi")
-    good = words.groupBy(KEY, "hole").agg(F.count("*").alias("_n"), F.avg("probability").alias("_p")).filter((F.col("_n") >= min_words) & (F.col("_p") >= min_mean))
+    said = F.struct(*order, F.col("probability").cast("double").alias("probability"))
+    lists = words.groupBy(KEY, "hole").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("probability").isNotNull(), said))).alias("_p"))
+    mean = F.try_divide(F.aggregate("_p", F.lit(0.0), lambda sum, x: sum + x["probability"]), F.size("_p"))
+    good = lists.filter((F.col("_n") >= min_words) & (mean >= min_mean))
     return words.join(good.select(KEY, "hole"), [KEY, "hole"], "left_semi")
 
 
