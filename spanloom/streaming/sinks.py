@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,10 +92,14 @@ def outcomes(events: DataFrame) -> DataFrame:
     return events.groupBy(KEY).agg(last.alias("_l"), F.count("*").alias("answers")).select(KEY, "_l.status", "_l.step", "_l.reason", "answers")
 
 
+def refusal(length: Column, sink: Sink = REEL) -> Column:
+    """Why a video (path, and the length of its caption) is not sent at all; null if it is sent."""
+    return F.when(F.col("path").isNull(), F.lit("no such file")).when(length > sink.caption, F.lit(f"caption is over {sink.caption} characters"))
+
+
 def refused(videos: DataFrame, sink: Sink = REEL) -> DataFrame:
     """Videos (media_id, path, caption) that are not sent at all, with the reason."""
-    why = F.when(F.col("path").isNull(), F.lit("no such file")).when(F.length("caption") > sink.caption, F.lit(f"caption is over {sink.caption} characters"))
-    return videos.select(KEY, why.alias("reason")).filter("reason is not null")
+    return videos.select(KEY, refusal(F.length("caption"), sink).alias("reason")).filter("reason is not null")
 
 
 def follow(answers: DataFrame, sink: Sink) -> DataFrame:

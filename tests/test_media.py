@@ -41,3 +41,12 @@ def test_hole_words_of_a_table_of_files(spark, tmp_path):
         (folder / f"part-{i}.parquet").write_bytes((tmp_path / f"{i}.parquet").read_bytes())
     got = [r["media_id"] for r in QUERIES["hole_words"](spark, str(tmp_path / "sf")).collect()]
     assert sorted(m for m in got if m < 10) == [1, 1, 1]
+
+
+def test_captions_of_refused_videos_are_not_made(spark, tmp_path):
+    """A caption of 10^9 * 3 characters does not fit a string; of the same media, one video is refused and one sent."""
+    rows = [(1, 10**9), (2, 9), (3, 733), (4, 734), (5, 10), (5, 18)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    long, none = "caption is over 2200 characters", "no such file"
+    want = [(1, "failed", long), (2, "failed", none), (3, "published", None), (4, "failed", long), (5, "failed", none), (5, "published", None)]
+    assert sorted(map(tuple, QUERIES["published_videos"](spark, str(tmp_path)).collect()), key=repr) == want
