@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import STOP_WORDS, Fillers, Retakes, Silence
 from ..functions.text import content_words, ends_sentence, grouped, normalized, stripped
 from .fold import folded, greatest, least
-from .intervals import KEY
+from .intervals import KEY, dealt
 
 def by_idx():
     return W.partitionBy(KEY).orderBy("idx")
@@ -47,7 +47,7 @@ def gaps(words: DataFrame, media: DataFrame) -> DataFrame:
     inner = words.select(KEY, F.col("end").alias("lo"), F.lead("start").over(by_idx()).alias("hi"), F.col("text").alias("before"), "idx")
     head = words.groupBy(KEY).agg(F.lit(0).alias("lo"), F.min_by("start", "idx").alias("hi"), F.lit("").alias("before"), (F.min("idx") - 1).alias("idx"), F.lit("leading").alias("kind"))
     kind = F.when(F.col("hi").isNull(), "trailing").otherwise("gap")
-    inner = inner.withColumn("kind", kind).join(media.select(KEY, "duration"), KEY).withColumn("hi", F.coalesce("hi", "duration")).drop("duration")
+    inner = inner.withColumn("kind", kind).join(dealt(media.select(KEY, "duration")), KEY).withColumn("hi", F.coalesce("hi", "duration")).drop("duration")
     return inner.unionByName(head)
 
 
@@ -68,7 +68,7 @@ def silences_heard(words: DataFrame, media: DataFrame, signal: DataFrame, frame:
     between = gaps(words, media).select(KEY, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), floor.cast("double").alias("floor"), "kind")
     inside = words.filter(F.col("end") - F.col("start") > config.max_word).select(KEY, F.col("start").cast("double").alias("lo"), F.col("end").cast("double").alias("hi"), F.lit(0.0).alias("floor"), F.lit("within-word").alias("kind"))
     every = between.unionByName(inside).filter(F.col("hi") - F.col("lo") > config.min_gap)
-    per = every.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "floor", "kind"))).alias("g")).join(signal.select(KEY, "db", "silence", "confident"), KEY, "left")
+    per = every.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "floor", "kind"))).alias("g")).join(dealt(signal.select(KEY, "db", "silence", "confident")), KEY, "left")
     shortest = max(round(config.min_gap / frame), 1)
 
     def stretches(holds: np.ndarray) -> np.ndarray:
@@ -185,12 +185,12 @@ def superseded(spans: DataFrame, words: DataFrame, config: Retakes = Retakes(),
     # end: words meet spans by the windows' lengths of time that these touch.
     span = config.window * unit
     soonest = F.min("start").over(W.partitionBy(KEY).orderBy("idx").rowsBetween(1, W.unboundedFollowing))
-    ends = numbered.join(tokens.select(KEY, F.col("idx").alias("last"), F.col("end").alias("_end"), soonest.alias("_low")), [KEY, "last"])
+    ends = numbered.join(dealt(tokens.select(KEY, F.col("idx").alias("last"), F.col("end").alias("_end"), soonest.alias("_low"))), [KEY, "last"])
     ends = ends.filter(F.col("_low") <= F.col("_end") + span).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / span), F.floor((F.col("_end") + span) / span))))
     places = numbered.withColumn("idx", F.explode(F.sequence("first", "last")))
-    own = places.join(tokens, [KEY, "idx"]).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_o"))
-    after = ends.join(tokens.withColumn("_b", F.floor(F.col("start") / span)), [KEY, "_b"]).filter((F.col("idx") > F.col("last")) & (F.col("start") <= F.col("_end") + span)).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_a"))
-    both = own.join(after, [KEY, "first", "last"], "left")
+    own = places.join(dealt(tokens), [KEY, "idx"]).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_o"))
+    after = ends.join(dealt(tokens.withColumn("_b", F.floor(F.col("start") / span))), [KEY, "_b"]).filter((F.col("idx") > F.col("last")) & (F.col("start") <= F.col("_end") + span)).groupBy(KEY, "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("_a"))
+    both = own.join(dealt(after), [KEY, "first", "last"], "left")
     texts = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<idx: bigint, t: string>>")), lambda x: x["t"])
     both = both.withColumn("_o", content_words(texts(F.col("_o")), stop_words)).withColumn("_a", texts(F.col("_a")))
     length = F.col("last") - F.col("first") + 1
@@ -204,7 +204,7 @@ def superseded(spans: DataFrame, words: DataFrame, config: Retakes = Retakes(),
 
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("_a") - F.col("_k")), shared))
     found = wide.select(KEY, "first", "last", (best / F.size("_o")).alias("overlap"))
-    return spans.join(found, [KEY, "first", "last"], "left")
+    return spans.join(dealt(found), [KEY, "first", "last"], "left")
 
 
 def retakes(words: DataFrame, config: Retakes = Retakes(), unit: float = 1) -> DataFrame:
@@ -213,7 +213,7 @@ def retakes(words: DataFrame, config: Retakes = Retakes(), unit: float = 1) -> D
     pairs = repeated_grams(words, config, unit).select(KEY, "first", (F.col("second") - 1).alias("last"), "gram").distinct()
     again = superseded(pairs, words, config, unit).filter(F.col("overlap") >= config.overlap)
     at = lambda c, t: words.select(KEY, F.col("idx").alias(c), F.col(t).alias(f"_{t}"))
-    placed = again.join(at("first", "start"), [KEY, "first"]).join(at("last", "end"), [KEY, "last"])
+    placed = again.join(dealt(at("first", "start")), [KEY, "first"]).join(dealt(at("last", "end")), [KEY, "last"])
     return placed.select(KEY, F.col("_start").alias("start"), F.col("_end").alias("end"), F.lit("ngram_repeat").alias("reason"), F.lit(config.confidence).alias("confidence"), F.col("gram").alias("detail"))
 
 
@@ -239,14 +239,14 @@ def validated(proposals: DataFrame, words: DataFrame, config: Retakes = Retakes(
     content comes again, 0.45 where the claimed replacement holds, else none. A media with a
     proposal out of range loses all; so does one whose spans cover over `ceiling` of its speech."""
     sizes = words.groupBy(KEY).agg(F.max("idx").alias("_top"), F.min("idx").alias("_low"), F.sum(F.col("end") - F.col("start")).alias("_speech"))
-    p = proposals.join(sizes, KEY)
+    p = proposals.join(dealt(sizes), KEY)
     wrong = F.col("first").isNull() | F.col("last").isNull() | (F.col("first") < F.col("_low")) | (F.col("last") > F.col("_top")) | (F.col("last") < F.col("first"))
     p = p.withColumn("_wrong", F.max(wrong.cast("int")).over(W.partitionBy(KEY))).filter("_wrong = 0")
     at = lambda c: words.select(KEY, F.col("idx").alias(c), F.col("start").alias(f"_s_{c}"), F.col("end").alias(f"_e_{c}"))
-    p = p.join(at("first"), [KEY, "first"]).join(at("last"), [KEY, "last"])
+    p = p.join(dealt(at("first")), [KEY, "first"]).join(dealt(at("last")), [KEY, "last"])
     following = words.select(KEY, (F.col("idx") - 1).alias("last"), F.col("start").alias("_next"))
-    p = p.join(following, [KEY, "last"], "left").filter(F.coalesce(F.col("_next") - F.col("_e_last") >= config.pause * unit, F.lit(True)))
-    p = p.join(at("r_first"), [KEY, "r_first"], "left")
+    p = p.join(dealt(following), [KEY, "last"], "left").filter(F.coalesce(F.col("_next") - F.col("_e_last") >= config.pause * unit, F.lit(True)))
+    p = p.join(dealt(at("r_first")), [KEY, "r_first"], "left")
     holds = (F.col("r_first") > F.col("last")) & (F.col("r_last") <= F.col("_top")) & (F.col("r_last") - F.col("r_first") + 1 >= 2) & (F.col("_s_r_first") - F.col("_e_last") <= config.horizon * unit)
     p = superseded(p, words, config, unit)
     sure = F.when(F.col("overlap") >= config.overlap, F.lit(0.7)).when(F.coalesce(holds, F.lit(False)), F.lit(0.45))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.intervals import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,7 +57,7 @@ def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.col("text").rlike(r"[.?!]$").cast("long")
     words = turns.withColumn("idx", F.row_number().over(order).cast("long")).withColumn("_stops", F.coalesce(F.sum(ends).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     start = F.col("idx") * 300 + F.col("_stops") * 600
-    return words.select("media_id", "idx", "text", start.alias("start"), (start + 240).alias("end"))
+    return dealt(words.select("media_id", "idx", "text", start.alias("start"), (start + 240).alias("end")))
 
 
 def vector_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
