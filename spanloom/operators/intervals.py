@@ -57,10 +57,10 @@ def invert(removals: DataFrame, media: DataFrame) -> DataFrame:
     """What spans leave of [0, duration); media without spans stay whole."""
     zero = F.lit(0)
     spans = removals.select(KEY, "start", "end", "idx").withColumn("_pm", F.max("end").over(_before(_ordered("start", "end", "idx"))))
-    spans = spans.join(media.select(KEY, "duration"), KEY)
+    spans = spans.join(dealt(media.select(KEY, "duration")), KEY)
     gaps = spans.select(KEY, F.greatest(F.coalesce("_pm", zero), zero).alias("start"), F.least("start", "duration").alias("end"))
     reach = removals.groupBy(KEY).agg(F.max("end").alias("_end"))
-    tails = media.join(reach, KEY, "left").select(KEY, F.greatest(F.coalesce("_end", zero), zero).alias("start"), F.col("duration").alias("end"))
+    tails = media.join(dealt(reach), KEY, "left").select(KEY, F.greatest(F.coalesce("_end", zero), zero).alias("start"), F.col("duration").alias("end"))
     return gaps.unionByName(tails).filter(F.col("end") > F.col("start"))
 
 
@@ -79,7 +79,7 @@ def drop_glitches(segments: DataFrame, words: DataFrame | None, least, wordless,
     if words is None:
         return long
     worded = contained(words.select(KEY, "start", "end"), long.select(KEY, "start", "end"), slack, bucket).select(KEY, F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.lit(True).alias("_held")).distinct()
-    return long.join(worded, [KEY, "start", "end"], "left").filter(F.coalesce("_held", length >= wordless)).select(*segments.columns)
+    return long.join(dealt(worded), [KEY, "start", "end"], "left").filter(F.coalesce("_held", length >= wordless)).select(*segments.columns)
 
 
 SACRIFICED = ("retake", "ngram_repeat", "filler")
@@ -106,12 +106,12 @@ def tiled(removals: DataFrame, media: DataFrame) -> DataFrame:
     """Pieces that tile [0, duration): removals (sorted by start) and what is between them;
     `reason` is null for the latter. Spans that start inside an earlier one keep their own piece."""
     w = _ordered("start", "end", "idx")
-    spans = removals.join(media.select(KEY, "duration"), KEY).withColumn("_s", F.greatest("start", F.lit(0))).withColumn("_e", F.least("end", "duration"))
+    spans = removals.join(dealt(media.select(KEY, "duration")), KEY).withColumn("_s", F.greatest("start", F.lit(0))).withColumn("_e", F.least("end", "duration"))
     spans = spans.withColumn("_pm", F.coalesce(F.max("_e").over(_before(w)), F.lit(0)))
     kept = spans.select(KEY, F.col("_pm").alias("start"), F.col("_s").alias("end"), F.lit(None).cast("string").alias("reason"))
     cut = spans.select(KEY, F.col("_s").alias("start"), F.col("_e").alias("end"), "reason")
     reach = spans.groupBy(KEY).agg(F.max("_e").alias("_end"))
-    tails = media.join(reach, KEY, "left").select(KEY, F.greatest(F.coalesce("_end", F.lit(0)), F.lit(0)).alias("start"), F.col("duration").alias("end"), F.lit(None).cast("string").alias("reason"))
+    tails = media.join(dealt(reach), KEY, "left").select(KEY, F.greatest(F.coalesce("_end", F.lit(0)), F.lit(0)).alias("start"), F.col("duration").alias("end"), F.lit(None).cast("string").alias("reason"))
     return kept.unionByName(cut).unionByName(tails).filter(F.col("end") > F.col("start"))
 
 
@@ -197,10 +197,10 @@ def contained(words: DataFrame, spans: DataFrame, slack=0, bucket=None) -> DataF
     s = spans.select(KEY, *[F.col(c).alias(f"s_{c}") for c in spans.columns if c != KEY])
     inside = (F.col("start") >= F.col("s_start") - slack) & (F.col("end") <= F.col("s_end") + slack)
     if bucket is None:
-        return words.join(s, KEY).filter(inside)
+        return words.join(dealt(s), KEY).filter(inside)
     touched = F.sequence(F.floor((F.col("s_start") - slack) / bucket), F.floor((F.col("s_end") + slack) / bucket))
     s = s.filter("s_end >= s_start").withColumn("_b", F.explode(touched))
-    return words.withColumn("_b", F.floor(F.col("start") / bucket)).join(s, [KEY, "_b"]).filter(inside).drop("_b")
+    return words.withColumn("_b", F.floor(F.col("start") / bucket)).join(dealt(s), [KEY, "_b"]).filter(inside).drop("_b")
 
 
 def kept_fraction(words: DataFrame, segments: DataFrame, bucket=None) -> DataFrame:

@@ -7,6 +7,8 @@ to the signal: index = clamp(int(t / frame), 0, n - 1). `frame` is a frame's len
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,9 +76,42 @@ def packed(frames: DataFrame, value: str = "db") -> DataFrame:
     return frames.groupBy(KEY).agg(F.transform(ordered, lambda x: x["v"]).alias(value))
 
 
-def index(t: Column, frame: float, signal: Column) -> Column:
+@dataclass(frozen=True)
+class Part:
+    """What is at hand of a packed signal of n frames: those from `first` on. Look-ups take it in place of the signal."""
+
+    n: Column
+    first: Column
+    frames: Column
+
+    @classmethod
+    def of(cls, name: str) -> Part:
+        return cls(*[F.col(f"{name}_{c}") for c in ("n", "first", "frames")])
+
+
+def part(name: str, signal: Column, frame: float, lo: Column, hi: Column) -> list[Column]:
+    """The columns of Part.of(name): the frames of times lo to hi, and two more on both sides. Rows that
+    each carry their media's whole signal are copied with it by every step; these are not."""
+    first = F.greatest(index(lo, frame, signal) - 2, F.lit(0))
+    frames = F.slice(signal, first + 1, F.greatest(index(hi, frame, signal) + 3 - first, F.lit(0)))
+    return [F.size(signal).alias(f"{name}_n"), first.alias(f"{name}_first"), frames.alias(f"{name}_frames")]
+
+
+def size(signal: Column | Part) -> Column:
+    return signal.n if isinstance(signal, Part) else F.size(signal)
+
+
+def _get(signal: Column | Part, i: Column) -> Column:
+    return F.get(signal.frames, i - signal.first) if isinstance(signal, Part) else F.get(signal, i)
+
+
+def _slice(signal: Column | Part, lo: Column, n: Column) -> Column:
+    return F.slice(signal.frames, lo - signal.first + 1, n) if isinstance(signal, Part) else F.slice(signal, lo + 1, n)
+
+
+def index(t: Column, frame: float, signal: Column | Part) -> Column:
     i = (t / frame).cast("int")
-    return F.least(F.greatest(i, F.lit(0)), F.greatest(F.size(signal) - 1, F.lit(0)))
+    return F.least(F.greatest(i, F.lit(0)), F.greatest(size(signal) - 1, F.lit(0)))
 
 
 def _steps(lo: Column, hi: Column) -> Column:
@@ -94,43 +129,43 @@ def loudest_between(start: Column, end: Column, signal: Column, frame: float) ->
     return F.coalesce(peak, F.lit(-90.0))
 
 
-def quietest_time_near(t: Column, signal: Column, frame: float, radius: float = 0.06, most: Column | None = None) -> Column:
+def quietest_time_near(t: Column, signal: Column | Part, frame: float, radius: float = 0.06, most: Column | None = None) -> Column:
     """The first quietest frame's time within the radius; t itself if even that is not below `most`."""
     lo, hi = index(t - radius, frame, signal), index(t + radius, frame, signal)
-    window = F.slice(signal, lo + 1, F.greatest(hi - lo + 1, F.lit(1)))
+    window = _slice(signal, lo, F.greatest(hi - lo + 1, F.lit(1)))
     least = F.array_min(window)
     found = (lo + F.array_position(window, least).cast("int") - 1) * F.lit(frame)
     quiet = F.lit(True) if most is None else least < most
-    return F.when((F.size(signal) > 0) & (hi > lo) & quiet, found).otherwise(t)
+    return F.when((size(signal) > 0) & (hi > lo) & quiet, found).otherwise(t)
 
 
-def retreat_to_quiet(t: Column, signal: Column, frame: float, silence: Column, limit: float) -> Column:
+def retreat_to_quiet(t: Column, signal: Column | Part, frame: float, silence: Column, limit: float) -> Column:
     """The last quiet frame at or before t, not further back than `limit`; t if it is quiet or none is."""
     here, floor = index(t, frame, signal), index(t - limit, frame, signal)
-    quiet = F.filter(_steps(floor, here), lambda i: F.get(signal, i) < silence)
-    return F.when((F.size(signal) == 0) | (F.get(signal, here) < silence) | (F.size(quiet) == 0), t).otherwise(F.array_max(quiet) * F.lit(frame))
+    quiet = F.filter(_steps(floor, here), lambda i: _get(signal, i) < silence)
+    return F.when((size(signal) == 0) | (_get(signal, here) < silence) | (F.size(quiet) == 0), t).otherwise(F.array_max(quiet) * F.lit(frame))
 
 
-def advance_to_quiet(t: Column, signal: Column, frame: float, silence: Column, limit: float) -> Column:
+def advance_to_quiet(t: Column, signal: Column | Part, frame: float, silence: Column, limit: float) -> Column:
     """The first quiet frame at or after t, not further than `limit`; t if it is quiet or none is."""
     here, ceiling = index(t, frame, signal), index(t + limit, frame, signal)
-    quiet = F.filter(_steps(here, ceiling), lambda i: F.get(signal, i) < silence)
-    return F.when((F.size(signal) == 0) | (F.get(signal, here) < silence) | (F.size(quiet) == 0), t).otherwise(F.array_min(quiet) * F.lit(frame))
+    quiet = F.filter(_steps(here, ceiling), lambda i: _get(signal, i) < silence)
+    return F.when((size(signal) == 0) | (_get(signal, here) < silence) | (F.size(quiet) == 0), t).otherwise(F.array_min(quiet) * F.lit(frame))
 
 
-def quiet_run_from(t: Column, signal: Column, frame: float, level: Column, limit: Column, backwards: bool = False) -> Column:
+def quiet_run_from(t: Column, signal: Column | Part, frame: float, level: Column, limit: Column, backwards: bool = False) -> Column:
     """How long the signal stays below `level` from t on (or back from the frame before), up to `limit`."""
     n = F.bround(limit / frame).cast("int")
     here = index(t, frame, signal)
     if backwards:
         room = F.least(n, here)
-        loud = F.filter(_steps(here - room, here - 1), lambda i: F.get(signal, i) >= level)
+        loud = F.filter(_steps(here - room, here - 1), lambda i: _get(signal, i) >= level)
         taken = F.when(F.size(loud) > 0, here - 1 - F.array_max(loud)).otherwise(room)
     else:
-        room = F.least(n, F.size(signal) - here)
-        loud = F.filter(_steps(here, here + room - 1), lambda i: F.get(signal, i) >= level)
+        room = F.least(n, size(signal) - here)
+        loud = F.filter(_steps(here, here + room - 1), lambda i: _get(signal, i) >= level)
         taken = F.when(F.size(loud) > 0, F.array_min(loud) - here).otherwise(room)
-    return F.when((F.size(signal) == 0) | (n <= 0), F.lit(0.0)).otherwise(taken * F.lit(frame))
+    return F.when((size(signal) == 0) | (n <= 0), F.lit(0.0)).otherwise(taken * F.lit(frame))
 
 
 def onset_near(t: Column, signal: Column, frame: float, silence: Column, radius: float = 0.12) -> Column:
