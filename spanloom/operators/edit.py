@@ -11,6 +11,8 @@ repeats them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..config import DEFAULT, Preset
 from . import detect as dt
 from . import edl
 from . import intervals as iv
-from .intervals import KEY
+from .intervals import KEY, dealt
 
 FRAME = 0.01
 VOICE_FRAME = 0.032
@@ -31,7 +33,7 @@ def _numbered(spans: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that the session names in spark.checkpoint.dir. A local session (tests) that names
+    """df as a checkpoint (Parquet files) in the folder that the session names in spark.checkpoint.dir. A local session (tests) that names
     none gets one below the warehouse; a cluster raises, since its machines would not share it."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -39,7 +41,10 @@ def settled(df: DataFrame) -> DataFrame:
         if not said and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(said or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    # Files, since they are packed, and tasks read the columns that they need of them.
+    path = f"{context.getCheckpointDir().rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return dealt(spark.read.parquet(path))
 
 
 def cleared(spark: SparkSession) -> bool:
@@ -57,7 +62,7 @@ def repaired(words: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | Non
     there is a signal, else as they are."""
     if track is not None and preset.voice.enabled:
         moved = edl.aligned(words, track, VOICE_FRAME, preset.voice.threshold, preset.voice.max_shift, preset.silence.max_word)
-        return words.drop("start", "end").join(moved, [KEY, "idx"])
+        return words.drop("start", "end").join(dealt(moved), [KEY, "idx"])
     if signal is not None:
         return edl.trimmed(words, edl.levelled(signal), frame, preset.silence.max_word, preset.silence.min_gap)
     return words
@@ -84,10 +89,10 @@ def applied(removals: DataFrame, media: DataFrame, words: DataFrame, preset: Pre
     if signal is not None:
         merged = edl.snapped(merged, words, edl.levelled(signal), FRAME, preset.relax)
     sums = merged.groupBy(KEY, "level").agg(F.sum(F.col("end") - F.col("start")).alias("_sum"))
-    every = media.select(KEY, "duration", level).join(sums, [KEY, "level"], "left")
+    every = media.select(KEY, "duration", level).join(dealt(sums), [KEY, "level"], "left")
     fits = F.coalesce("_sum", F.lit(0.0)) <= F.col("duration") * preset.budget
     chosen = every.groupBy(KEY).agg(F.coalesce(F.min(F.when(fits, F.col("level"))), F.lit(n - 1)).alias("level"))
-    return merged.join(chosen, [KEY, "level"]).drop("level")
+    return merged.join(dealt(chosen), [KEY, "level"]).drop("level")
 
 
 def _breathed(segments: DataFrame, words: DataFrame, preset: Preset, signal: DataFrame | None) -> DataFrame:
@@ -102,7 +107,7 @@ def decisions(merged: DataFrame, media: DataFrame, words: DataFrame, preset: Pre
     is long; a media of which nothing would be left stays whole, without removals."""
     left = iv.drop_glitches(iv.invert(_numbered(merged), media), words, preset.min_segment, preset.wordless, 0.01, edl.BUCKET).select(KEY, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     left = settled(left)
-    some = left.select(KEY).distinct()
+    some = dealt(left.select(KEY).distinct())
     whole = media.join(some, KEY, "left_anti").select(KEY, F.lit(0.0).alias("start"), F.col("duration").cast("double").alias("end"))
     segments = _breathed(left, words, preset, signal).unionByName(whole)
     return segments.unionByName(merged.join(some, KEY, "left_semi"), allowMissingColumns=True)
@@ -110,8 +115,9 @@ def decisions(merged: DataFrame, media: DataFrame, words: DataFrame, preset: Pre
 
 def proposed(words: DataFrame, media: DataFrame, preset: Preset = DEFAULT, signal: DataFrame | None = None, track: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
     """decisions() of raw words: repaired, searched by all detectors, merged within the budget.
-    Levels of signals are taken once, for all steps."""
-    signal = None if signal is None else settled(edl.levelled(signal))
+    Levels of signals are taken once, for all steps; the signals themselves are read again, not stored again."""
+    if signal is not None and "silence" not in signal.columns:
+        signal = signal.join(settled(edl.levelled(signal).select(KEY, "silence", "confident")), KEY, "left")
     spoken = settled(repaired(words, preset, signal, track))
     found = settled(detected(spoken, media, preset, signal, proposals))
     merged = settled(applied(found, media, spoken, preset, signal))

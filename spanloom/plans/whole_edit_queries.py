@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import edit, reframe
@@ -12,12 +14,32 @@ NAMES = {"start": "s", "end": "e"}
 
 
 def _inputs(spark, sf_dir):
-    """Words and media in seconds, and a repeating 10 ms signal of quiet and loud stretches."""
+    """Words and media in seconds, stored once, and a repeating 10 ms signal of quiet and loud stretches."""
     w = src.conversation_words(spark, sf_dir).withColumn("probability", (F.col("idx") % 10) / 10.0)
-    words = w.withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000)
-    media = words.groupBy("media_id").agg((F.max("end") + 1.0).alias("duration"))
-    frames = F.transform(F.sequence(F.lit(0), (F.col("duration") / edit.FRAME).cast("int")), lambda i: F.when((i * 7 + F.col("media_id") * 3) % 230 < 90, -70.0).otherwise(-20.0 - (i % 11)))
-    return words, media, media.select("media_id", frames.alias("db"))
+    words = edit.settled(w.withColumn("start", F.col("start") / 1000).withColumn("end", F.col("end") / 1000))
+    media = edit.settled(words.groupBy("media_id").agg((F.max("end") + 1.0).alias("duration")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return words, media, media.repartition(parts, "media_id").mapInArrow(_signals, "media_id long, db array<double>")
+
+
+def _signals(batches, most=1 << 20):
+    """Signals of media (media_id, duration), in batches of some `most` frames."""
+
+    def batch(keys, signals):
+        offsets = np.cumsum([0, *map(len, signals)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(signals))], names=["media_id", "db"])
+
+    for b in batches:
+        keys, signals = [], []
+        for key, duration in zip(b.column("media_id").to_pylist(), b.column("duration").to_pylist()):
+            i = np.arange(int(duration / edit.FRAME) + 1)
+            keys.append(key)
+            signals.append(np.where(np.fmod(i * 7 + key * 3, 230) < 90, -70.0, -20.0 - i % 11))
+            if sum(map(len, signals)) >= most:
+                yield batch(keys, signals)
+                keys, signals = [], []
+        if keys:
+            yield batch(keys, signals)
 
 
 @query()
