@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import STOP_WORDS, Fillers, Retakes, Silence
 from ..functions.text import content_words, ends_sentence, grouped, normalized, stripped
 from .fold import folded, greatest, least
+from . import signals as sg
 from .intervals import KEY, dealt
 
 def by_idx():
@@ -68,21 +69,24 @@ def silences_heard(words: DataFrame, media: DataFrame, signal: DataFrame, frame:
     between = gaps(words, media).select(KEY, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), floor.cast("double").alias("floor"), "kind")
     inside = words.filter(F.col("end") - F.col("start") > config.max_word).select(KEY, F.col("start").cast("double").alias("lo"), F.col("end").cast("double").alias("hi"), F.lit(0.0).alias("floor"), F.lit("within-word").alias("kind"))
     every = between.unionByName(inside).filter(F.col("hi") - F.col("lo") > config.min_gap)
-    per = every.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "floor", "kind"))).alias("g")).join(dealt(signal.select(KEY, "db", "silence", "confident")), KEY, "left")
+    near = every.join(dealt(signal.select(KEY, "db", "silence", "confident")), KEY, "left")
+    near = near.select(*every.columns, "silence", "confident", *sg.part("_s", F.col("db"), frame, F.col("lo"), F.col("hi")))
     shortest = max(round(config.min_gap / frame), 1)
 
     def stretches(holds: np.ndarray) -> np.ndarray:
         edges = np.flatnonzero(np.diff(np.concatenate([[False], holds, [False]]).astype(np.int8)))
         return edges.reshape(-1, 2)
 
-    def cuts(g, db, silence, confident):
-        if db is None or not len(db):
+    def cuts(g):
+        if pd.isna(g["_s_n"]) or g["_s_n"] <= 0:
             return [] if g["kind"] == "within-word" else [(g["lo"], g["hi"])]
-        at = lambda t: min(max(int(t / frame), 0), len(db) - 1)
-        speech = lambda a, b: max((int(y - x) for x, y in stretches(db[at(a) : at(b)] > confident)), default=0) * frame
+        n, first, db = int(g["_s_n"]), int(g["_s_first"]), np.asarray(g["_s_frames"], float)
+        at = lambda t: min(max(int(t / frame), 0), n - 1)
+        between = lambda a, b: db[a - first : max(b, a) - first]
+        speech = lambda a, b: max((int(y - x) for x, y in stretches(between(at(a), at(b)) > g["confident"])), default=0) * frame
         lo, hi = at(g["lo"]), at(g["hi"])
         out = []
-        for a, b in stretches(db[lo:hi] < silence):
+        for a, b in stretches(between(lo, hi) < g["silence"]):
             if b - a < shortest:
                 continue
             a, b = float((lo + a) * frame), float((lo + b) * frame)
@@ -97,13 +101,10 @@ def silences_heard(words: DataFrame, media: DataFrame, signal: DataFrame, frame:
 
     def run(batches):
         for p in batches:
-            rows = []
-            for r in p.to_dict("records"):
-                db = None if r["db"] is None else np.asarray(r["db"], float)
-                rows += [(r[KEY], a, b, g["floor"], g["kind"]) for g in r["g"] for a, b in cuts(g, db, r["silence"], r["confident"])]
+            rows = [(g[KEY], a, b, g["floor"], g["kind"]) for g in p.to_dict("records") for a, b in cuts(g)]
             yield pd.DataFrame(rows, columns=[KEY, "lo", "hi", "floor", "kind"])
 
-    found = per.mapInPandas(run, f"{KEY} long, lo double, hi double, floor double, kind string").filter(F.col("hi") - F.col("lo") > config.min_gap)
+    found = near.mapInPandas(run, f"{KEY} long, lo double, hi double, floor double, kind string").filter(F.col("hi") - F.col("lo") > config.min_gap)
     cut = found.select(KEY, F.greatest(F.col("lo") + config.pad, "floor").alias("start"), (F.col("hi") - config.pad).alias("end"), F.col("kind").alias("detail"))
     return cut.filter(F.col("end") - F.col("start") > config.least).select(KEY, "start", "end", F.lit("silence").alias("reason"), F.lit(1.0).alias("confidence"), "detail")
 

@@ -46,3 +46,12 @@ def test_a_part_of_a_signal_serves_as_the_whole(spark):
 
     both = rows.select(F.array(*found(db)).alias("a"), F.array(*found(sg.Part.of("_p"))).alias("b")).collect()
     assert len(both) == 450 and all(r["a"] == r["b"] for r in both) and len({tuple(r["a"]) for r in both}) > 100
+
+
+def test_detectors_do_not_broadcast(spark, sf_dir):
+    """Nor do removals as they are applied: words or signals that do not fit a task's memory end the whole edit."""
+    words, media, signal = whole._inputs(spark, sf_dir)
+    signal = edl.levelled(signal)
+    found = edit.detected(words, media, signal=signal)
+    assert broadcasts(found) == 0
+    assert broadcasts(edit.applied(edit.settled(found), media, words, signal=signal)) == 0
